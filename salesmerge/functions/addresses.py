@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DIRECTIONS, ORDINALS, STREET_TYPES, UNIT_WORDS
 from .places import normalize_municipality, normalize_zip
-from .text import blank_to_null, squeeze, strip, word_map
-
-_UNIT_VALUE = r"([A-Z0-9][A-Z0-9\-]*)\b"
-
+from .text import first_match, let, squeeze, strip, word_map
 
 def _unit_pattern(strict: bool) -> str:
     gap = r"(?:\.\s*|\s+)" if strict else r"\.?\s*"
-    words = "|".join(UNIT_WORDS)
-    return rf"\b(?:{words}){gap}{_UNIT_VALUE}|#\s*{_UNIT_VALUE}"
+    return rf"(?:\b(?:{'|'.join(UNIT_WORDS)}){gap}|#\s*)([A-Z0-9][A-Z0-9\-]*)\b"
 
 
 def split_unit(address: Column, strict: bool = False) -> tuple[Column, Column]:
@@ -26,13 +22,9 @@ def split_unit(address: Column, strict: bool = False) -> tuple[Column, Column]:
     """
     text = strip(F.upper(F.coalesce(address, F.lit(""))))
     pattern = _unit_pattern(strict)
-    unit = F.coalesce(
-        blank_to_null(F.regexp_extract(text, "(?U)" + pattern, 1)),
-        blank_to_null(F.regexp_extract(text, "(?U)" + pattern, 2)),
-    )
     # Anchored at both ends, so that only the first designator goes.
-    rest = strip(F.regexp_replace(text, rf"(?Us)^(.*?)(?:{pattern})(.*)$", "$1 $4"))
-    return rest, unit
+    rest = strip(F.regexp_replace(text, rf"(?Us)^(.*?){pattern}(.*)$", "$1 $3"))
+    return rest, first_match(text, "(?U)" + pattern)
 
 
 # No value of one list is a key of another, so one lookup replaces three.
@@ -43,11 +35,11 @@ _SHORT_DIRECTIONS = "|".join(DIRECTIONS.values())
 def normalize_address(address: Column) -> Column:
     """Comparison form: one spelling per house, unit removed."""
     rest, _ = split_unit(address)
-    text = F.regexp_replace(rest, "&", " AND ")
-    text = F.regexp_replace(text, r"(?U)[^A-Z0-9\s\x1c-\x1f\-]", " ")
+    text = F.replace(rest, F.lit("&"), F.lit(" AND "))
+    text = F.regexp_replace(text, r"[^A-Z0-9\- ]+", " ")
     # Hyphens stay inside a token and go at its ends.
-    text = F.regexp_replace(text, r"(?U)(?<![^\s])-+|-+(?![^\s])", "")
-    text = squeeze(text)
+    text = F.regexp_replace(text, "-+(?![^ ])|-(?<![^ ]-)-*", "")
+    text = F.trim(F.regexp_replace(text, " {2,}", " "))
     forms = word_map(_TOKEN_FORMS)
     tokens = F.transform(F.split(text, " "), lambda t: F.coalesce(F.try_element_at(forms, t), t))
     # A trailing direction is noise while two other tokens remain.
@@ -60,18 +52,20 @@ def normalize_address(address: Column) -> Column:
 
 def title_case_address(address: Column) -> Column:
     """Display casing: words capitalized, directions and ordinals in upper case."""
-    text = squeeze(F.coalesce(address, F.lit("")))
+    # Most addresses hold no such token; then one call does for the whole line.
+    special = rf"(?iU)(?:^| )(?:{_SHORT_DIRECTIONS}|\d+(?:ST|ND|RD|TH))(?: |$)"
 
     def token(word: Column) -> Column:
         upper = F.upper(word)
         keep = upper.isin(*DIRECTIONS.values()) | upper.rlike(r"(?U)^\d+(ST|ND|RD|TH)$")
         return F.when(keep, upper).otherwise(F.initcap(word))
 
-    # Most addresses hold no such token; then one call does for the whole line.
-    special = rf"(?iU)(?:^| )(?:{_SHORT_DIRECTIONS}|\d+(?:ST|ND|RD|TH))(?: |$)"
-    return F.when(
-        text.rlike(special), F.array_join(F.transform(F.split(text, " "), token), " ")
-    ).otherwise(F.initcap(text))
+    return let(
+        squeeze(F.coalesce(address, F.lit(""))),
+        lambda text: F.when(
+            text.rlike(special), F.array_join(F.transform(F.split(text, " "), token), " ")
+        ).otherwise(F.initcap(text)),
+    )
 
 
 def display_address(address: Column, unit: Column) -> Column:

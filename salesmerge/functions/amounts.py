@@ -6,13 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import EPOCH_MILLIS_ABOVE, MONTHS, PRICE_PATTERN, PRICE_SUFFIXES
-from .text import strip
+from .text import let, strip
 
 
 def whole_dollars(amount: Column) -> Column:
     """Nearest whole dollar (ties to even); null unless positive."""
-    price = F.rint(amount).try_cast("bigint")
-    return F.when(price > 0, price)
+    return let(F.rint(amount).try_cast("bigint"), lambda price: F.when(price > 0, price))
 
 
 def parse_price_number(value: Column) -> Column:
@@ -22,12 +21,10 @@ def parse_price_number(value: Column) -> Column:
 def parse_price(text: Column) -> Column:
     """"$1,250,000", "1.25M", "1250000.00" -> whole dollars, else null."""
     pattern = "(?iU)" + PRICE_PATTERN
-    number = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", "").try_cast("double")
-    suffix = F.upper(F.regexp_extract(text, pattern, 2))
-    factor = F.lit(1.0)
-    for word, size in PRICE_SUFFIXES.items():
-        factor = F.when(suffix == word, float(size)).otherwise(factor)
-    return whole_dollars(number * factor)
+    number = F.replace(F.regexp_extract(text, pattern, 1), F.lit(",")).try_cast("double")
+    factors = F.create_map(*[F.lit(x) for w, n in PRICE_SUFFIXES.items() for x in (w, float(n))])
+    factor = F.try_element_at(factors, F.upper(F.regexp_extract(text, pattern, 2)))
+    return whole_dollars(number * F.coalesce(factor, F.lit(1.0)))
 
 
 _EPOCH_END = 253402300800  # first second of year 10000
@@ -86,9 +83,10 @@ def _iso_week_date(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """A date out of the layouts sources use; null when none fits."""
-    cleaned = strip(F.substring_index(F.regexp_replace(strip(text), "Z", ""), ".", 1))
+    cleaned = strip(F.substring_index(F.replace(strip(text), F.lit("Z")), ".", 1))
     return (
-        F.when(text.rlike("(?i)[a-z]{3}"), F.try_to_date(rewrite(cleaned, _NAMED_LAYOUTS), "y-MMM-d"))
+        F.when(text.rlike(r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"), text.try_cast("date"))
+        .when(text.rlike("(?i)[a-z]{3}"), F.try_to_date(rewrite(cleaned, _NAMED_LAYOUTS), "y-MMM-d"))
         .when(text.contains("W"), _iso_week_date(cleaned))
         .when(text.rlike(r"(?U)^\s*\d{10,}\s*$"), parse_date_number(strip(text).try_cast("double")))
         .otherwise(rewrite(cleaned, _LAYOUTS).try_cast("date"))

@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import PLACE_CLASS_WORDS
-from .text import blank_to_null, squeeze, strip
+from .text import first_match, squeeze, strip
 
 _CLASS = "|".join(PLACE_CLASS_WORDS)
 
 
 def normalize_municipality(name: Column) -> Column:
     """ "Radnor Township", "RADNOR TWP" and "Radnor" become RADNOR."""
-    text = squeeze(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), "[.,]", " "))
+    text = F.upper(F.coalesce(name, F.lit("")))
+    text = F.trim(F.regexp_replace(text, r"(?U)[.,\s\x1c-\x1f]+", " "))
     text = F.regexp_replace(text, rf"(?U)^(?:{_CLASS})\s+OF\s+", "")
     return squeeze(F.regexp_replace(text, rf"(?U)\b(?:{_CLASS})\b", " "))
 
@@ -25,8 +26,5 @@ def normalize_county(name: Column) -> Column:
 
 def normalize_zip(value: Column) -> Column:
     """Five digits, a +4 part dropped and a lost leading zero restored; else null."""
-    text = strip(value.cast("string"))
-    return F.coalesce(
-        blank_to_null(F.regexp_extract(text, r"(?U)^(\d{5})(?:-\d{4})?$", 1)),
-        F.lpad(blank_to_null(F.regexp_extract(text, r"(?U)^(\d{4})$", 1)), 5, "0"),
-    )
+    padded = F.regexp_replace(strip(value.cast("string")), r"(?U)^(\d{4})$", "0$1")
+    return first_match(padded, r"(?U)^(\d{5})(?:-\d{4})?$")

@@ -75,12 +75,11 @@ def parse_reports(raw: DataFrame) -> DataFrame:
     parsed = conform(raw).withColumns(
         {
             "address": strip(F.coalesce(F.col("address"), F.lit(""))),
-            "price": F.coalesce(
-                parse_price_number(F.col("price_num")), parse_price(F.col("price_text"))
-            ),
-            "sale_date": F.coalesce(
-                parse_date_number(F.col("sale_date_num")), parse_date(F.col("sale_date_text"))
-            ),
+            "price": F.when(F.col("price_num").isNotNull(), parse_price_number(F.col("price_num")))
+            .otherwise(parse_price(F.col("price_text"))),
+            "sale_date": F.when(
+                F.col("sale_date_num").isNotNull(), parse_date_number(F.col("sale_date_num"))
+            ).otherwise(parse_date(F.col("sale_date_text"))),
         }
     )
     return parsed.withColumn(
@@ -92,14 +91,24 @@ def parse_reports(raw: DataFrame) -> DataFrame:
     )
 
 
+def _parsed_once(parsed: DataFrame, keep: Column) -> DataFrame:
+    """Filter on parsed columns without parsing twice.
+
+    A plain filter would be pushed below the projection and repeat its expressions
+    there; a generator over zero or one row evaluates each of them once.
+    """
+    row = F.struct(*parsed.columns)
+    return parsed.select(F.inline(F.filter(F.array(row), lambda r: r["unusable"].isNull() == keep)))
+
+
 def quarantine(raw: DataFrame) -> DataFrame:
     """The unusable records, whole, each with its reason."""
-    return parse_reports(raw).filter(F.col("unusable").isNotNull())
+    return _parsed_once(parse_reports(raw), F.lit(False))
 
 
 def build_report(raw: DataFrame, run_ts: datetime | None = None) -> DataFrame:
     """Usable reports in the fixed layout, each with the key of its property."""
-    usable = parse_reports(raw).filter(F.col("unusable").isNull())
+    usable = _parsed_once(parse_reports(raw), F.lit(True))
     base, unit = split_unit(F.col("address"))
     split = usable.withColumns(
         {
