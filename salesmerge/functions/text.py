@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Everything that counts as blank, so that both ends can be trimmed without a regex.
 BLANKS = (
-    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0       "
-    "         　"
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        "
+    "        　"
 )
 # (?U) gives \s, \d, \w and \b their Unicode meaning. Single spaces stay untouched.
 _UNEVEN_BLANKS = r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]"

@@ -356,8 +356,13 @@ def merge_events(assigned: DataFrame) -> DataFrame:
     )
 
     def best(name: str, kind: str) -> Column:
-        pair = F.struct(F.col("order"), F.col(name).alias("value"))
-        return F.max(F.when(_has_value(name, kind), pair)).alias(name)
+        # Without any value, the blank of the last leading report stays as it is.
+        def ranked(tier: int) -> Column:
+            return F.struct(F.lit(tier).alias("tier"), "order", F.col(name).alias("value"))
+
+        return F.max(
+            F.when(_has_value(name, kind), ranked(1)).when(F.col("leads"), ranked(0))
+        ).alias(name)
 
     kinds = {f.name: f.dataType.typeName() for f in _FIELDS}
     per_shape = keyed.groupBy("property_key", "salt", "event_seq", "raw_shape").agg(
