@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import (
     MONTHS,
@@ -18,7 +19,7 @@ from .amounts import parse_date, rewrite
 from .text import blank_to_null, squeeze, strip
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     # The named-entity table has over two thousand entries and special cases;
     # the standard library's is used as it is.

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import LISTABLE_COLUMNS, LOOKBACK_DAYS
@@ -18,8 +18,14 @@ from ..operators.nearest import nearest_event
 from ..operators.places import extract_reports_from_text, gazetteer_match, known_places
 from ..operators.qualify import label_reports, qualify, reject_counts, source_counts
 from ..operators.reports import build_report, parse_reports, quarantine, reports_union
-from ..operators.resolve import assign_events, rank_lookup, resolve_events, run_totals
-from ..schema import SourceSpec
+from ..operators.resolve import (
+    assign_events,
+    merge_events,
+    rank_lookup,
+    resolve_events,
+    run_totals,
+)
+from ..schema import SourceSpec, page_record_ord
 from ..session import configure, shared_folder, spread, stage
 from ..sources.feature_json import feature_reports, scan_feature_json
 from ..sources.feeds import scan_feed_xml
@@ -97,9 +103,16 @@ def shown_sales(rows: DataFrame) -> DataFrame:
     )
 
 
-def scalar(name: str, *columns) -> Query:
+def scalar(name: str, function: Callable[..., Column], *inputs: str) -> Query:
     """A function over the whole raw-report view."""
-    return lambda spark, folder: X.raw_reports(spark, folder).select("record_ord", *columns)
+    return lambda spark, folder: X.raw_reports(spark, folder).select(
+        "record_ord", function(*[F.col(i) for i in inputs]).alias(name)
+    )
+
+
+def _split_unit(spark, folder):
+    base, unit = addresses.split_unit(F.col("address"))
+    return X.raw_reports(spark, folder).select("record_ord", base.alias("base"), unit.alias("unit"))
 
 
 def headlines(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,7 +305,7 @@ def _resolve(specs=X.SPECS, window=14):
 def _merge_records(spark, folder):
     ranked = rank_lookup(kept(spark, folder, X.REVERSED_SPECS), X.REVERSED_SPECS)
     assigned = assign_events(ranked, 45)
-    merged = shown_sales(resolve_from(assigned))
+    merged = shown_sales(merge_events(assigned))
     several = assigned.groupBy("property_key", "event_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return merged.join(several, ["property_key", "event_seq"], "left_semi").select(
         "property_key", "event_seq", "price", "source", "beds", "sqft", "buyer", "raw_seq",
@@ -300,12 +313,6 @@ def _merge_records(spark, folder):
     )
 
 
-def resolve_from(assigned: DataFrame) -> DataFrame:
-    from ..operators.resolve import merge_events
-
-    return merge_events(assigned)
-
-
 def _run_totals(spark, folder):
     return run_totals(assign_events(rank_lookup(kept(spark, folder), X.SPECS)))
 
@@ -468,8 +475,6 @@ def _column_name(spark, folder):
 
 def _scan_features(spark, folder):
     features, _ = scan_feature_json(feature_pages(spark, folder))
-    from ..schema import page_record_ord
-
     placed = features.withColumn("record_ord", page_record_ord(F.col("page_no"), F.col("pos")))
     return placed.select(
         _place_of().alias("record_ord"),
@@ -558,22 +563,17 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    c = F.col
-    base, unit = addresses.split_unit(c("address"))
     plain: dict[str, Query] = {
-        "split_unit": scalar("split_unit", base.alias("base"), unit.alias("unit")),
-        "normalize_address": scalar("n", addresses.normalize_address(c("address")).alias("normalized")),
-        "normalize_municipality": scalar(
-            "n", places.normalize_municipality(c("municipality")).alias("normalized")
-        ),
-        "normalize_county": scalar("n", places.normalize_county(c("county")).alias("normalized")),
-        "normalize_zip": scalar("n", places.normalize_zip(c("zip_code")).alias("zip5")),
-        "parse_price": scalar("n", amounts.parse_price(c("price_text")).alias("price")),
-        "parse_date": scalar("n", amounts.parse_date(c("sale_date_text")).alias("sale_date")),
-        "title_case_address": scalar("n", addresses.title_case_address(c("address")).alias("titled")),
+        "split_unit": _split_unit,
+        "normalize_address": scalar("normalized", addresses.normalize_address, "address"),
+        "normalize_municipality": scalar("normalized", places.normalize_municipality, "municipality"),
+        "normalize_county": scalar("normalized", places.normalize_county, "county"),
+        "normalize_zip": scalar("zip5", places.normalize_zip, "zip_code"),
+        "parse_price": scalar("price", amounts.parse_price, "price_text"),
+        "parse_date": scalar("sale_date", amounts.parse_date, "sale_date_text"),
+        "title_case_address": scalar("titled", addresses.title_case_address, "address"),
         "property_key": scalar(
-            "n",
-            addresses.property_key(c("address"), c("zip_code"), c("municipality")).alias("property_key"),
+            "property_key", addresses.property_key, "address", "zip_code", "municipality"
         ),
         "display_address": _display,
         "build_report": _build,
@@ -627,13 +627,13 @@ def queries() -> dict[str, Query]:
         "extract_reports_from_html": _html_reports,
         "strip_html": _strip_html,
         "extract_price": lambda s, d: _texts(s, d).select(
-            "record_ord", prose.extract_price(c("text")).alias("price")
+            "record_ord", prose.extract_price(F.col("text")).alias("price")
         ),
         "extract_address": lambda s, d: _texts(s, d).select(
-            "record_ord", prose.extract_address(c("text")).alias("address")
+            "record_ord", prose.extract_address(F.col("text")).alias("address")
         ),
         "parse_feed_date": lambda s, d: headlines(s, d).select(
-            "record_ord", prose.parse_feed_date(c("published")).alias("published_on")
+            "record_ord", prose.parse_feed_date(F.col("published")).alias("published_on")
         ),
         "gazetteer_match": _gazetteer,
         "scan_feed_xml": _scan_feed,
