@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.places import normalize_county, normalize_municipality
-from ..schema import Area, small_side
+from ..schema import Area, local_frame, small_side
 
 
-def area_signals(spark: SparkSession, areas: Sequence[Area]) -> tuple[DataFrame, int]:
-    """One row per (kind, value) naming the first area that claims it, and a row bound.
+def area_signals(
+    spark: SparkSession, areas: Sequence[Area]
+) -> dict[str, dict[str, tuple[int, str]]]:
+    """Per kind of signal, the first area that claims each value.
 
     Priority is configuration order with sub-county areas before county-wide ones;
-    a sub-county area is never matched by county.
+    a sub-county area is never matched by county. Only the configuration's own rows
+    pass through here.
     """
     ordered = [a for a in areas if a.is_specific] + [a for a in areas if not a.is_specific]
     rows = []
@@ -24,19 +27,17 @@ def area_signals(spark: SparkSession, areas: Sequence[Area]) -> tuple[DataFrame,
         rows += [("municipality", m, priority, area.name) for m in area.municipalities]
         if not area.is_specific:
             rows += [("county", c, priority, area.name) for c in area.counties]
-    frame = spark.createDataFrame(rows, "kind STRING, value STRING, priority INT, area STRING")
+    frame = local_frame(spark, rows, "kind STRING, value STRING, priority INT, area STRING")
     value = (
         F.when(F.col("kind") == "municipality", normalize_municipality(F.col("value")))
         .when(F.col("kind") == "county", normalize_county(F.col("value")))
         .otherwise(F.col("value"))
     )
-    signals = (
-        frame.withColumn("value", value)
-        .filter("value <> ''")
-        .groupBy("kind", "value")
-        .agg(F.min(F.struct("priority", "area")).alias("claim"))
-    )
-    return signals, len(rows)
+    claims: dict[str, dict[str, tuple[int, str]]] = {"zip": {}, "municipality": {}, "county": {}}
+    for row in frame.withColumn("value", value).collect():
+        if row["value"]:
+            claims[row["kind"]].setdefault(row["value"], (row["priority"], row["area"]))
+    return claims
 
 
 def match_area(
@@ -47,7 +48,8 @@ def match_area(
     Three equality joins against small dimensions, no condition with OR. Rows
     outside `where` get no area and skip the name normalization.
     """
-    signals, bound = area_signals(reports.sparkSession, areas)
+    spark = reports.sparkSession
+    claims = area_signals(spark, areas)
     wanted = F.lit(True) if where is None else where
     keyed = reports.withColumns(
         {
@@ -56,13 +58,13 @@ def match_area(
             "_county": F.when(wanted, normalize_county(F.col("county"))),
         }
     )
-    kinds = ("zip", "municipality", "county")
-    for kind in kinds:
-        side = signals.filter(F.col("kind") == kind).select(
-            F.col("value").alias(f"_{kind}"), F.col("claim").alias(f"_{kind}_claim")
+    for kind, by_value in claims.items():
+        rows = [(value, *claim) for value, claim in by_value.items()]
+        side = local_frame(spark, rows, f"_{kind} STRING, priority INT, area STRING").select(
+            f"_{kind}", F.struct("priority", "area").alias(f"_{kind}_claim")
         )
-        keyed = keyed.join(small_side(side, bound), f"_{kind}", "left")
-    best = F.least(*[F.col(f"_{kind}_claim") for kind in kinds])
+        keyed = keyed.join(small_side(side, len(rows)), f"_{kind}", "left")
+    best = F.least(*[F.col(f"_{kind}_claim") for kind in claims])
     return keyed.withColumn("area", best["area"]).select(*_with(reports.columns, "area"))
 
 

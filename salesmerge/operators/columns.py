@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
@@ -18,37 +18,41 @@ from ..fixed_values import (
 from ..functions.paths import normalize_column_name
 
 
-def _hints(spark: SparkSession) -> DataFrame:
-    rows = [(t, list(hints)) for t, hints in COLUMN_HINTS.items()]
-    return spark.createDataFrame(rows, "target STRING, hints ARRAY<STRING>")
-
-
 def match_columns(columns: DataFrame) -> DataFrame:
     """Best column per (layer, target) of `columns(layer, ordinal, name, type)`.
 
     A column scores for a target by the first hint its name holds: more for an exact
     name, less for one at an end, least for one inside, and less the later the hint.
     Its type must suit the target. Equal scores go to the first column of the layer.
-    The fifteen targets are a fixed list, so each column meets each of them once.
+    The fifteen targets are a fixed list, tried on each column in place.
     """
-    normalized = columns.withColumn("normalized", normalize_column_name(F.col("name")))
-    name, hints = F.col("normalized"), F.col("hints")
-    scores = F.transform(
-        hints,
-        lambda hint, i: F.when(name == hint, EXACT_HINT_SCORE - i)
-        .when(name.startswith(hint) | name.endswith(hint), EDGE_HINT_SCORE - i)
-        .when(name.contains(hint), INNER_HINT_SCORE - i),
-    )
-    first = F.try_element_at(F.filter(scores, lambda s: s.isNotNull()), F.lit(1))
+    name = F.col("normalized")
     numeric = F.col("type").isin(*NUMERIC_COLUMN_TYPES)
     text = F.col("type").isin(*TEXT_COLUMN_TYPES)
-    suits = (
-        F.when(F.col("target").isin(*NUMERIC_TARGETS), numeric)
-        .when(F.col("target") == "sale_date", numeric | text | F.col("type").isin(*DATE_COLUMN_TYPES))
-        .otherwise(numeric | text)
+
+    def score(target: str) -> Column:
+        if target in NUMERIC_TARGETS:
+            suits = numeric
+        elif target == "sale_date":
+            suits = numeric | text | F.col("type").isin(*DATE_COLUMN_TYPES)
+        else:
+            suits = numeric | text
+        by_hint = [
+            F.when(name == hint, EXACT_HINT_SCORE - i)
+            .when(name.startswith(hint) | name.endswith(hint), EDGE_HINT_SCORE - i)
+            .when(name.contains(hint), INNER_HINT_SCORE - i)
+            for i, hint in enumerate(COLUMN_HINTS[target])
+        ]
+        return F.when(suits, F.coalesce(*by_hint))
+
+    scores = F.array(
+        *[F.struct(F.lit(t).alias("target"), score(t).alias("score")) for t in COLUMN_HINTS]
+    )
+    scored = (
+        columns.filter("name <> ''")
+        .withColumn("normalized", normalize_column_name(F.col("name")))
+        .select("layer", "ordinal", "name", F.inline(F.filter(scores, lambda s: s["score"] > 0)))
     )
-    pairs = normalized.filter("name <> ''").crossJoin(F.broadcast(_hints(columns.sparkSession)))
-    scored = pairs.filter(suits).withColumn("score", first).filter("score > 0")
     return (
         scored.groupBy("layer", "target")
         .agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,42 +11,72 @@ from pyspark.sql import functions as F
 from ..functions.places import normalize_municipality
 from ..functions.prose import extract_address, extract_price, parse_feed_date
 from ..functions.text import blank_to_null
-from ..schema import Area, small_side
+from ..schema import Area, local_frame, small_side
+
+
+@dataclass(frozen=True)
+class Place:
+    """A configured place name: as compared, as words, and as shown."""
+
+    name: str
+    words: str
+    display: str
+    ord: int
+
+
+# Beyond this many names one pattern over all of them costs more than a join.
+PATTERN_NAMES = 500
+_WORDS = r"(?U)[^\w]+"
 
 
 def known_places(
     spark: SparkSession, areas: Sequence[Area], extra: Sequence[str] = ()
-) -> tuple[DataFrame, int]:
-    """Place names to look for (name, ord, display) and their number.
+) -> list[Place]:
+    """The place names to look for, out of the configuration.
 
     A name configured twice keeps its first position and its last spelling.
     """
     listed = [m for area in areas for m in area.municipalities] + list(extra)
-    frame = spark.createDataFrame(list(enumerate(listed)), "ord INT, display STRING")
-    names = (
-        frame.withColumn("name", normalize_municipality(F.col("display")))
-        .filter("name <> ''")
-        .groupBy("name")
-        .agg(F.max_by("display", "ord").alias("display"), F.min("ord").alias("ord"))
+    frame = local_frame(spark, [(m,) for m in listed], "display STRING").withColumn(
+        "name", normalize_municipality(F.col("display"))
     )
-    return names, len(listed)
+    places: dict[str, Place] = {}
+    for row in frame.withColumn("words", F.array_join(F.split("name", _WORDS), " ")).collect():
+        if row["name"]:
+            ord_ = places[row["name"]].ord if row["name"] in places else len(places)
+            places[row["name"]] = Place(row["name"], row["words"], row["display"], ord_)
+    return list(places.values())
 
 
-_WORDS = r"(?U)[^\w]+"
-
-
-def gazetteer_match(texts: DataFrame, key: str, places: tuple[DataFrame, int]) -> DataFrame:
+def gazetteer_match(texts: DataFrame, key: str, places: Sequence[Place]) -> DataFrame:
     """Add `place`: the longest known name that stands as whole words in `text`.
 
-    The normalized text is cut into words and its runs of words, as long as the longest
-    name, are matched by equality, so cost follows the text and not the number of names.
-    Ties go to the name listed first.
+    Ties go to the name listed first. A usual list of names is one pattern that finds,
+    at every word, the longest name starting there: no join and no shuffle. For a long
+    list the text's runs of words are joined with the names by equality.
     """
-    names, bound = places
-    worded = names.withColumn("words", F.array_join(F.split("name", _WORDS), " ")).withColumn(
-        "n_words", F.size(F.split("words", " "))
+    if not places:
+        return texts.withColumn("place", F.lit(None).cast("string"))
+    if len(places) > PATTERN_NAMES:
+        return _gazetteer_join(texts, key, places)
+    by_length = sorted(places, key=lambda p: (-len(p.name), p.ord))
+    names = "|".join(r"\Q" + p.name + r"\E" for p in by_length)
+    found = F.regexp_extract_all(
+        normalize_municipality(F.col("text")), F.lit(rf"(?U)\b(?=({names})\b)"), F.lit(1)
+    )
+    # Place in the sorted list: the smallest is the longest name, listed first.
+    order = F.create_map(*[F.lit(x) for i, p in enumerate(by_length) for x in (p.name, i + 1)])
+    shown = F.array(*[F.lit(p.display) for p in by_length])
+    first = F.array_min(F.transform(found, lambda n: F.try_element_at(order, n)))
+    return texts.withColumn("place", F.try_element_at(shown, first))
+
+
+def _gazetteer_join(texts: DataFrame, key: str, places: Sequence[Place]) -> DataFrame:
+    rows = [(p.name, p.words, p.display, p.ord) for p in places]
+    names = local_frame(
+        texts.sparkSession, rows, "name STRING, words STRING, display STRING, ord INT"
     )
-    longest = worded.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]
+    longest = max(len(p.words.split(" ")) for p in places)
     normalized = texts.select(key, normalize_municipality(F.col("text")).alias("normalized"))
     words = normalized.withColumn("w", F.split("normalized", _WORDS))
     runs = F.flatten(
@@ -58,7 +89,7 @@ def gazetteer_match(texts: DataFrame, key: str, places: tuple[DataFrame, int]) -
         )
     )
     candidates = words.select(key, "normalized", F.explode(F.array_distinct(runs)).alias("words"))
-    hits = candidates.join(small_side(worded, bound), "words").filter(
+    hits = candidates.join(small_side(names, len(rows)), "words").filter(
         # Word runs ignore what stands between the words; the name itself does not.
         F.expr(r"rlike(normalized, concat('(?U)\\b\\Q', name, '\\E\\b'))")
     )
@@ -69,7 +100,7 @@ def gazetteer_match(texts: DataFrame, key: str, places: tuple[DataFrame, int]) -
 
 
 def extract_reports_from_text(
-    entries: DataFrame, source: str, places: tuple[DataFrame, int], county: str | None = None
+    entries: DataFrame, source: str, places: Sequence[Place], county: str | None = None
 ) -> DataFrame:
     """Feed entries (record_ord, title, summary, link, published) to raw reports.
 

@@ -15,6 +15,7 @@ from ..fixed_values import (
     QUERY_LIMIT,
 )
 from ..functions.addresses import display_address
+from ..schema import local_frame
 from ..session import stage
 
 NEWEST_FIRST = (F.desc, "sale_date"), (F.desc, "price"), (F.asc, "event_id")
@@ -81,7 +82,7 @@ def _ranked_page(sales: DataFrame, limit: int, offset: int) -> DataFrame:
         total += row["n"]
     if not starts:
         return ordered
-    first = sales.sparkSession.createDataFrame(starts, "_file STRING, _start BIGINT")
+    first = local_frame(sales.sparkSession, starts, "_file STRING, _start BIGINT")
     rank = F.col("_start") + F.col("_row")
     return (
         rows.join(F.broadcast(first), "_file")
@@ -130,9 +131,8 @@ def market_stats(shown: DataFrame, sales: DataFrame, min_price: int = MIN_PRICE)
         F.floor(F.percentile("price", F.lit(0.5))).cast("bigint").alias("median_price"),
         F.coalesce(F.sum("price"), F.lit(0)).cast("bigint").alias("total_volume"),
     )
-    tracked = count_sales(sales, min_price=min_price).withColumnRenamed("n", "tracked")
-    # One row each.
-    return cards.crossJoin(tracked)
+    tracked = count_sales(sales, min_price=min_price).scalar()
+    return cards.select("*", tracked.alias("tracked"))
 
 
 def money(value: Column) -> Column:

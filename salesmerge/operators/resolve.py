@@ -26,19 +26,30 @@ Dates more than a window apart never interact, so the replay works on date islan
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEDUPE_WINDOW_DAYS
-from ..schema import REPORT_SCHEMA, SALE_SCHEMA, SourceSpec, small_side, sources_frame
+from ..schema import (
+    REPORT_SCHEMA,
+    SALE_SCHEMA,
+    SourceSpec,
+    local_frame,
+    small_side,
+    sources_frame,
+)
 from ..session import stage
 
 _OPEN_END = 2**63 - 1
 _VERSIONS = (
     "array<struct<event_seq:bigint,day:int,rank:int,from_seq:bigint,to_seq:bigint>>"
 )
+# One (date, rank) of a property may hold most reports; its repeats are searched in splits.
+_REPEAT_SPLITS = 32
 # A property below this many reports is never worth splitting over several tasks.
 HOT_KEY_ROWS = 1_000_000
 
@@ -192,7 +203,11 @@ def event_versions(narrow: DataFrame, window_days: int) -> DataFrame:
         spans = open_.select("property_key", "island", F.inline("open_windows"))
         extra = stage(
             narrow.filter("late = 1")
-            .join(spans, ["property_key", "day", "rank"])
+            .withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(_REPEAT_SPLITS)).cast("int"))
+            .join(
+                spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_REPEAT_SPLITS - 1)))),
+                ["property_key", "day", "rank", "salt"],
+            )
             .filter("seq > after_seq AND seq < before_seq")
             .groupBy("property_key", "island", "day", "rank", "after_seq")
             .agg(F.min("seq").alias("seq")),
@@ -253,17 +268,34 @@ def _matched(reports: DataFrame, versions: DataFrame, on: list[str], window: int
                 "leads": is_stored | (F.col("best.from_seq") == F.col("seq")),
             }
         )
-        .drop("best", "versions", "first_day", "last_day")
+        .withColumn("is_new", ~is_stored & (F.col("event_seq") == F.col("seq")))
+        .drop("best", "versions", "first_day", "last_day", "stored_seq", "day")
     )
 
 
+@dataclass(frozen=True)
+class Matches:
+    """Reports with their events, in lanes that are each partitioned for merging.
+
+    The first lane is partitioned by property; the second, if any, holds the largest
+    properties, partitioned by property and `salt`.
+    """
+
+    lanes: list[DataFrame]
+
+    @property
+    def reports(self) -> DataFrame:
+        plain = [lane.drop("salt") for lane in self.lanes]
+        return reduce(lambda a, b: a.unionByName(b), plain)
+
+
 def assign_events(
     reports: DataFrame,
     window_days: int = DEDUPE_WINDOW_DAYS,
     stored: DataFrame | None = None,
     staged: bool = False,
     hot_key_rows: int = HOT_KEY_ROWS,
-) -> DataFrame:
+) -> Matches:
     """Ranked reports with the event each one belongs to.
 
     Adds `event_seq` (the `seq` of the report that opened the event), `leads` (the
@@ -287,31 +319,27 @@ def assign_events(
 
     hot = _hot_keys(versions, hot_key_rows)
     if not hot:
-        matched = _matched(rows, versions, ["property_key"], window_days).withColumn("salt", F.lit(0))
-    else:
-        keys = F.broadcast(
-            rows.sparkSession.createDataFrame(hot, "property_key STRING, splits BIGINT")
-        )
-        cold = _matched(
-            rows.join(keys, "property_key", "left_anti"), versions, ["property_key"], window_days
-        ).withColumn("salt", F.lit(0))
-        # Rows of a large property spread over its splits, each with a copy of the events.
-        salted_rows = rows.join(keys, "property_key").withColumn(
-            "salt", F.pmod(F.xxhash64("seq"), F.col("splits")).cast("int")
-        )
-        salted_versions = versions.join(keys, "property_key").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), (F.col("splits") - 1).cast("int")))
-        )
-        spread = _matched(
-            salted_rows.drop("splits"),
-            salted_versions.drop("splits"),
-            ["property_key", "salt"],
-            window_days,
-        )
-        matched = cold.unionByName(spread)
-    return matched.withColumn(
-        "is_new", (F.col("late") == 1) & (F.col("event_seq") == F.col("seq"))
-    ).drop("stored_seq", "day")
+        return Matches([_matched(rows, versions, ["property_key"], window_days)])
+    keys = F.broadcast(local_frame(rows.sparkSession, hot, "property_key STRING, splits BIGINT"))
+    cold = rows.join(keys, "property_key", "left_anti")
+    # Rows of a large property spread over its splits, each with a copy of the events.
+    salted_rows = rows.join(keys, "property_key").withColumn(
+        "salt", F.pmod(F.xxhash64("seq"), F.col("splits")).cast("int")
+    )
+    salted_versions = versions.join(keys, "property_key").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), (F.col("splits") - 1).cast("int")))
+    )
+    return Matches(
+        [
+            _matched(cold, versions, ["property_key"], window_days),
+            _matched(
+                salted_rows.drop("splits"),
+                salted_versions.drop("splits"),
+                ["property_key", "salt"],
+                window_days,
+            ),
+        ]
+    )
 
 
 # --- merging --------------------------------------------------------------------------
@@ -337,13 +365,18 @@ def _merge_raw(payloads: Column) -> Column:
     )
 
 
-def merge_events(assigned: DataFrame) -> DataFrame:
+def merge_events(matches: Matches) -> DataFrame:
     """One merged row per event.
 
     Sort key of a report within its event: a leading report by its `seq`, any other
     behind all leading ones and the earlier the better. Per field the best report that
     has a value (not null, "" or 0) decides; per raw key the best report that has it.
     """
+    return reduce(lambda a, b: a.unionByName(b), [_merged(lane) for lane in matches.lanes])
+
+
+def _merged(assigned: DataFrame) -> DataFrame:
+    """Merge one lane: within each split of a property first, then across its splits."""
     order = F.when(F.col("leads"), F.col("seq") + 1).otherwise(-(F.col("seq") + 1))
     keyed = assigned.withColumns(
         {
@@ -365,7 +398,8 @@ def merge_events(assigned: DataFrame) -> DataFrame:
         ).alias(name)
 
     kinds = {f.name: f.dataType.typeName() for f in _FIELDS}
-    per_shape = keyed.groupBy("property_key", "salt", "event_seq", "raw_shape").agg(
+    split = [c for c in ("property_key", "salt") if c in assigned.columns]
+    per_shape = keyed.groupBy(*split, "event_seq", "raw_shape").agg(
         *[best(name, kind) for name, kind in kinds.items()],
         F.max(F.when(F.col("leads"), F.struct("order", "source"))).alias("source"),
         F.max(F.when(F.col("raw").isNotNull(), F.struct("order", "raw"))).alias("raw"),
@@ -402,8 +436,8 @@ def resolve_events(
     return merge_events(assign_events(ranked, window_days, before, hot_key_rows=hot_key_rows))
 
 
-def run_totals(assigned: DataFrame) -> DataFrame:
+def run_totals(matches: Matches) -> DataFrame:
     """Reports that opened an event and reports that joined one, as one row."""
-    return assigned.filter("late = 1").agg(
+    return matches.reports.filter("late = 1").agg(
         F.count_if("is_new").alias("new_sales"), F.count_if(~F.col("is_new")).alias("updated_sales")
     )

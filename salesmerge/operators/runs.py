@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import DRY_RUN_LIMIT
-from ..schema import SourceSpec, small_side, sources_frame
+from ..schema import SourceSpec, local_frame, sources_frame
 from .qualify import source_counts
 
 
@@ -43,10 +43,10 @@ def dry_run_preview(kept: DataFrame, limit: int = DRY_RUN_LIMIT) -> DataFrame:
 def drop_failed_sources(raw: DataFrame, failures: DataFrame) -> DataFrame:
     """A source with any failed payload contributes nothing; the others are untouched.
 
-    `failures` has one row per failed payload (source, status, message). There is one
-    group per source, so its distinct sources are few.
+    `failures` has one row per failed payload (source, status, message). Its distinct
+    sources are no more than the configured ones, which bounds the broadcast.
     """
-    return raw.join(failures.select("source").distinct(), "source", "left_anti")
+    return raw.join(F.broadcast(failures.select("source").distinct()), "source", "left_anti")
 
 
 def source_failures(failures: DataFrame) -> DataFrame:
@@ -71,8 +71,8 @@ def source_runs(
     if only:
         configured = configured.filter(F.col("source").isin(*only))
     if failures is None:
-        failures = spark.createDataFrame(
-            [], "source STRING, page_no BIGINT, status STRING, message STRING"
+        failures = local_frame(
+            spark, [], "source STRING, page_no BIGINT, status STRING, message STRING"
         )
     counts = source_counts(labelled).withColumnRenamed("message", "dropped")
     joined = (
@@ -124,5 +124,6 @@ def health_summary(sales: DataFrame, runs: DataFrame, log: DataFrame) -> DataFra
             "sources"
         )
     )
-    # One row each.
-    return tracked.crossJoin(run).crossJoin(status).withColumn("ok", F.lit(True))
+    return tracked.select(
+        "*", run.scalar().alias("last_run"), status.scalar().alias("sources"), F.lit(True).alias("ok")
+    )

@@ -25,7 +25,7 @@ from ..operators.resolve import (
     resolve_events,
     run_totals,
 )
-from ..schema import SourceSpec, page_record_ord
+from ..schema import SourceSpec, local_frame, page_record_ord
 from ..session import configure, shared_folder, spread, stage
 from ..sources.feature_json import feature_reports, scan_feature_json
 from ..sources.feeds import scan_feed_xml
@@ -306,7 +306,7 @@ def _merge_records(spark, folder):
     ranked = rank_lookup(kept(spark, folder, X.REVERSED_SPECS), X.REVERSED_SPECS)
     assigned = assign_events(ranked, 45)
     merged = shown_sales(merge_events(assigned))
-    several = assigned.groupBy("property_key", "event_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = assigned.reports.groupBy("property_key", "event_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return merged.join(several, ["property_key", "event_seq"], "left_semi").select(
         "property_key", "event_seq", "price", "source", "beds", "sqft", "buyer", "raw_seq",
         "raw_parcel", "raw_note",
@@ -326,7 +326,8 @@ def _runs(spark, folder):
 
 
 def _bad_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [("vendor_b", 7, "error", "later page"), ("vendor_b", 3, "misconfigured", "bad page 3")],
         "source STRING, page_no BIGINT, status STRING, message STRING",
     )

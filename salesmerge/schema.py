@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Text as a source wrote it, before parsing. Price and date keep the number a
 # JSON source sent apart from text, because the two parse differently.
@@ -137,12 +139,20 @@ class SourceSpec:
     municipality: str | None = None
 
 
+def local_frame(spark: SparkSession, rows: Sequence[tuple], fields: str) -> DataFrame:
+    """A small table held in the plan itself, so that its exact size is known to Spark."""
+    schema = to_arrow_schema(T.StructType.fromDDL(fields))
+    records = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=schema))
+
+
 def sources_frame(spark: SparkSession, specs: Sequence[SourceSpec]) -> DataFrame:
     rows = [
         (ord_, s.name, s.rank, s.enabled, s.county, s.municipality)
         for ord_, s in enumerate(specs)
     ]
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         rows,
         "source_ord INT, source STRING, rank INT, enabled BOOLEAN, county STRING, municipality STRING",
     )

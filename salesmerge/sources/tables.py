@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed_values import COMMAND_EXPORT_COLUMNS, DEFAULT_STATE
-from ..schema import SALE_SCHEMA
+from ..schema import SALE_SCHEMA, local_frame
 
 BUCKETS = 64
 _COMMIT_SCHEMA = "version BIGINT, bucket INT, batch_id BIGINT"
@@ -61,7 +61,7 @@ def write_sales(
     )
     touched = range(buckets) if touched is None else touched
     entries = [(version, int(b), batch_id) for b in touched]
-    spark.createDataFrame(entries, _COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
+    local_frame(spark, entries, _COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
         f"{path}/commits"
     )
     return version
