@@ -345,24 +345,21 @@ def assign_events(
 # --- merging --------------------------------------------------------------------------
 
 
-def _has_value(name: str, kind: str) -> Column:
-    blank = F.col(name) == ("" if kind == "string" else 0)
-    return F.col(name).isNotNull() if kind == "date" else F.col(name).isNotNull() & ~blank
+def _has_value(value: Column, kind: str) -> Column:
+    return value.isNotNull() if kind == "date" else value.isNotNull() & (value != ("" if kind == "string" else 0))
 
 
-def _merge_raw(payloads: Column) -> Column:
-    """Union of JSON objects; a key comes from the first payload, best first, that has it."""
+def _merge_raw(members: Column) -> Column:
+    """Union of JSON objects; a key comes from the first member, best first, that has it."""
     as_map = lambda text: F.try_parse_json(text).cast("map<string,variant>")
     merged = F.aggregate(
-        payloads,
+        F.filter(members, lambda m: m["row"]["raw"].isNotNull()),
         F.create_map().cast("map<string,variant>"),
-        lambda done, p: F.map_concat(
-            done, F.map_filter(as_map(p["raw"]), lambda k, _: ~F.map_contains_key(done, k))
+        lambda done, m: F.map_concat(
+            done, F.map_filter(as_map(m["row"]["raw"]), lambda k, _: ~F.map_contains_key(done, k))
         ),
     )
-    return F.when(F.size(payloads) == 1, payloads[0]["raw"]).when(
-        F.size(payloads) > 1, F.to_json(merged, {"ignoreNullFields": "false"})
-    )
+    return F.to_json(merged, {"ignoreNullFields": "false"})
 
 
 def merge_events(matches: Matches) -> DataFrame:
@@ -376,50 +373,61 @@ def merge_events(matches: Matches) -> DataFrame:
 
 
 def _merged(assigned: DataFrame) -> DataFrame:
-    """Merge one lane: within each split of a property first, then across its splits."""
-    order = F.when(F.col("leads"), F.col("seq") + 1).otherwise(-(F.col("seq") + 1))
+    """Merge one lane: within each split of a property first, then across its splits.
+
+    Of the reports that fill the same fields and carry the same raw keys only the best
+    can contribute anything, so a plain maximum first leaves one report per such shape.
+    Just these are gathered: a few per event, however many reports it has.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in _FIELDS}
+    filled = [F.when(_has_value(F.col(n), kind), F.lit(n)) for n, kind in kinds.items()]
+    shape = F.concat_ws(
+        ",", *filled, F.lit(""), F.array_sort(F.coalesce(F.json_object_keys("raw"), F.array()))
+    )
     keyed = assigned.withColumns(
         {
-            "order": order,
-            # Payloads with the same keys: only the best one can contribute.
-            "raw_shape": F.when(
-                F.col("island_n") > 1, F.xxhash64(F.array_sort(F.json_object_keys("raw")))
-            ),
+            "order": F.when(F.col("leads"), F.col("seq") + 1).otherwise(-(F.col("seq") + 1)),
+            "shape": F.when(F.col("island_n") > 1, shape),
+            "row": F.struct(*kinds, "source", "raw"),
         }
     )
-
-    def best(name: str, kind: str) -> Column:
-        # Without any value, the blank of the last leading report stays as it is.
-        def ranked(tier: int) -> Column:
-            return F.struct(F.lit(tier).alias("tier"), "order", F.col(name).alias("value"))
-
-        return F.max(
-            F.when(_has_value(name, kind), ranked(1)).when(F.col("leads"), ranked(0))
-        ).alias(name)
-
-    kinds = {f.name: f.dataType.typeName() for f in _FIELDS}
     split = [c for c in ("property_key", "salt") if c in assigned.columns]
-    per_shape = keyed.groupBy(*split, "event_seq", "raw_shape").agg(
-        *[best(name, kind) for name, kind in kinds.items()],
-        F.max(F.when(F.col("leads"), F.struct("order", "source"))).alias("source"),
-        F.max(F.when(F.col("raw").isNotNull(), F.struct("order", "raw"))).alias("raw"),
+    per_shape = keyed.groupBy(*split, "event_seq", "shape").agg(
+        F.max_by("row", "order").alias("row"),
+        F.max("order").alias("order"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
     per_event = per_shape.groupBy("property_key", "event_seq").agg(
-        *[F.max(name)["value"].alias(name) for name in kinds],
-        F.max("source")["source"].alias("source"),
-        F.sort_array(F.collect_list("raw"), asc=False).alias("payloads"),
+        F.collect_list(F.struct("order", "row")).alias("members"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
-    return per_event.withColumns(
-        {
-            "raw": _merge_raw(F.col("payloads")),
-            "event_id": F.substring(
-                F.sha1(F.concat_ws("|", "property_key", "event_seq").cast("binary")), 1, 20
-            ),
-        }
+    best_first = F.array_sort(
+        "members", lambda a, b: F.when(a["order"] > b["order"], -1).otherwise(1)
+    )
+    ordered = per_event.withColumn(
+        "members", F.when(F.size("members") > 1, best_first).otherwise(F.col("members"))
+    )
+    alone = F.size("members") == 1
+    # The first member is the last leading report: without any value its blank stays.
+    lead = F.col("members")[0]["row"]
+
+    def value(name: str, kind: str) -> Column:
+        holders = F.filter("members", lambda m: _has_value(m["row"][name], kind))
+        best = F.try_element_at(holders, F.lit(1))["row"][name]
+        return F.when(alone, lead[name]).otherwise(F.coalesce(best, lead[name]))
+
+    event_id = F.sha1(F.concat_ws("|", "property_key", "event_seq").cast("binary"))
+    return ordered.select(
+        F.substring(event_id, 1, 20).alias("event_id"),
+        "event_seq",
+        "property_key",
+        *[value(name, kind).alias(name) for name, kind in kinds.items()],
+        lead["source"].alias("source"),
+        F.when(alone, lead["raw"]).otherwise(_merge_raw(F.col("members"))).alias("raw"),
+        "first_seen",
+        "last_seen",
     ).select(*SALE_SCHEMA.fieldNames())
 
 
