@@ -22,13 +22,7 @@ _NUMERIC = {"beds": "double", "baths": "double", "sqft": "bigint", "lot_acres":
 
 def conform(raw: DataFrame) -> DataFrame:
     """Exactly the raw-report columns; unknown ones go, missing ones become null."""
-    known = {name.lower(): name for name in raw.columns}
-    return raw.select(
-        *[
-            (F.col(known[f.name]) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in RAW_REPORT_SCHEMA.fields
-        ]
-    )
+    return raw.to(RAW_REPORT_SCHEMA)
 
 
 def reports_union(
@@ -71,8 +65,8 @@ def optional_number(value: Column, kind: str) -> Column:
 
 
 def parse_reports(raw: DataFrame) -> DataFrame:
-    """Raw reports with parsed price and date and, where unusable, the reason."""
-    parsed = conform(raw).withColumns(
+    """Conformed raw reports with parsed price and date and, where unusable, the reason."""
+    parsed = raw.withColumns(
         {
             "address": strip(F.coalesce(F.col("address"), F.lit(""))),
             "price": F.when(F.col("price_num").isNotNull(), parse_price_number(F.col("price_num")))

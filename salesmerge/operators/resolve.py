@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEDUPE_WINDOW_DAYS
+from ..functions.text import let
 from ..schema import (
     REPORT_SCHEMA,
     SALE_SCHEMA,
@@ -45,11 +46,13 @@ from ..schema import (
 from ..session import stage
 
 _OPEN_END = 2**63 - 1
-_VERSIONS = (
-    "array<struct<event_seq:bigint,day:int,rank:int,from_seq:bigint,to_seq:bigint>>"
-)
+_STATES = "array<struct<event_seq:bigint,day:int,rank:int,from_seq:bigint>>"
+_VERSIONS = "array<struct<event_seq:bigint,day:int,rank:int,from_seq:bigint,to_seq:bigint>>"
+# An island with more versions than this is cut into date slices for lookups.
+_SLICE_VERSIONS = 16
 # One (date, rank) of a property may hold most reports; its repeats are searched in splits.
 _REPEAT_SPLITS = 32
+_CELL = ("late", "seq", "day", "rank", "last_seq", "n")
 # A property below this many reports is never worth splitting over several tasks.
 HOT_KEY_ROWS = 1_000_000
 
@@ -91,47 +94,54 @@ def _at(seq: Column):
 def _replay(candidates: Column, window: int) -> Column:
     """Run the rule over an island's candidates; every state an event went through."""
 
-    def version(event_seq: Column, c: Column) -> Column:
+    def state(event_seq: Column, c: Column) -> Column:
         return F.struct(
-            event_seq.alias("event_seq"),
-            c["day"].alias("day"),
-            c["rank"].alias("rank"),
+            event_seq.alias("event_seq"), c["day"].alias("day"), c["rank"].alias("rank"),
             c["seq"].alias("from_seq"),
-            F.lit(_OPEN_END).alias("to_seq"),
         )
 
-    def step(versions: Column, c: Column) -> Column:
-        is_open = lambda v: v["to_seq"] == _OPEN_END
-        nearest = _near(versions, c["day"], window, is_open)
+    def version(v: Column, to_seq: Column) -> Column:
+        return F.struct(
+            v["event_seq"].alias("event_seq"), v["day"].alias("day"), v["rank"].alias("rank"),
+            v["from_seq"].alias("from_seq"), to_seq.alias("to_seq"),
+        )
+
+    def step(done: Column, c: Column) -> Column:
+        nearest = _near(done["live"], c["day"], window, lambda v: F.lit(True))
 
         def apply(best: Column) -> Column:
-            def close(v: Column) -> Column:
-                ends = is_open(v) & (v["event_seq"] == best["event_seq"])
-                return F.struct(
-                    v["event_seq"].alias("event_seq"),
-                    v["day"].alias("day"),
-                    v["rank"].alias("rank"),
-                    v["from_seq"].alias("from_seq"),
-                    F.when(ends, c["seq"]).otherwise(v["to_seq"]).alias("to_seq"),
-                )
-
-            opened = F.concat(versions, F.array(version(c["seq"], c)))
-            moved = F.concat(
-                F.transform(versions, close), F.array(version(best["event_seq"], c))
+            is_best = lambda v: v["event_seq"] == best["event_seq"]
+            opened = F.struct(
+                F.concat(done["live"], F.array(state(c["seq"], c))).alias("live"),
+                done["past"].alias("past"),
+            )
+            moved = F.struct(
+                F.transform(
+                    done["live"], lambda v: F.when(is_best(v), state(v["event_seq"], c)).otherwise(v)
+                ).alias("live"),
+                F.concat(
+                    done["past"],
+                    F.transform(F.filter(done["live"], is_best), lambda v: version(v, c["seq"])),
+                ).alias("past"),
             )
             return (
                 F.when((c["late"] == 0) | best.isNull(), opened)
                 .when(best["rank"] < c["rank"], moved)
-                .otherwise(versions)
+                .otherwise(done)
             )
 
-        # A one-element transform names `nearest`, so that it is computed once.
-        return F.element_at(F.transform(F.array(nearest), apply), 1)
+        return let(nearest, apply)
+
+    def finish(done: Column) -> Column:
+        open_end = F.lit(_OPEN_END)
+        return F.concat(done["past"], F.transform(done["live"], lambda v: version(v, open_end)))
 
     first = candidates[0]
-    return F.when(
-        F.size(candidates) == 1, F.array(version(first["seq"], first)).cast(_VERSIONS)
-    ).otherwise(F.aggregate(candidates, F.array().cast(_VERSIONS), step))
+    start = F.struct(F.array().cast(_STATES).alias("live"), F.array().cast(_VERSIONS).alias("past"))
+    single = F.array(version(state(first["seq"], first), F.lit(_OPEN_END)))
+    return F.when(F.size(candidates) == 1, single).otherwise(
+        F.aggregate(candidates, start, step, finish)
+    )
 
 
 def _open_windows(cells: Column, versions: Column, window: int) -> Column:
@@ -175,59 +185,91 @@ def _islands(narrow: DataFrame, window: int) -> DataFrame:
     numbered = cells.withColumn("starts", starts).withColumn(
         "island", F.sum("starts").over(by_day.rowsBetween(W.unboundedPreceding, 0))
     )
-    cell = F.struct("late", "seq", "day", "rank", "last_seq")
     return numbered.groupBy("property_key", "island").agg(
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
-        F.sum("n").alias("n"),
+        F.sum("n").alias("island_n"),
         # Bounded by distinct dates x ranks, not by reports.
-        F.sort_array(F.collect_list(cell)).alias("cells"),
+        F.sort_array(F.collect_list(F.struct(*_CELL))).alias("cells"),
+    )
+
+
+def _slices(window: int) -> Column:
+    """An island cut by date: each slice with its cells and the versions in reach."""
+    width, reach = 4 * window + 2, 2 * window
+    days = F.transform("cells", lambda c: c["day"])
+    first, last = F.array_min(days), F.array_max(days)
+
+    def cut(start: Column) -> Column:
+        end = F.least(start + width - 1, last)
+        return F.struct(
+            start.alias("first_day"),
+            end.alias("last_day"),
+            F.filter("cells", lambda c: c["day"].between(start, end)).alias("cells"),
+            F.filter("versions", lambda v: v["day"].between(start - reach, end + reach)).alias("versions"),
+        )
+
+    whole = F.struct(
+        first.alias("first_day"), last.alias("last_day"), F.col("cells"), F.col("versions")
+    )
+    return F.when(F.size("versions") <= _SLICE_VERSIONS, F.array(whole)).otherwise(
+        F.filter(
+            F.transform(F.sequence(first, last, F.lit(width)), cut), lambda s: F.size(s["cells"]) > 0
+        )
     )
 
 
 def _replayed(islands: DataFrame, window: int) -> DataFrame:
+    versions = islands.withColumn("versions", _replay(F.col("cells"), window))
+    sliced = versions.select("property_key", "island", "island_n", F.inline(_slices(window)))
     return stage(
-        islands.withColumn("versions", _replay(F.col("cells"), window)).withColumn(
-            "open_windows", _open_windows(F.col("cells"), F.col("versions"), window)
+        sliced.withColumns(
+            {
+                "n": F.aggregate("cells", F.lit(0).cast("bigint"), lambda total, c: total + c["n"]),
+                "open_windows": _open_windows(F.col("cells"), F.col("versions"), window),
+            }
         ),
-        "islands",
+        "events",
     )
 
 
 def event_versions(narrow: DataFrame, window_days: int) -> DataFrame:
-    """The full (date, rank) history of every event, per property and date island."""
-    islands = _replayed(_islands(narrow, window_days), window_days)
+    """The full (date, rank) history of every event, by property, island and date slice."""
+    slices = _replayed(_islands(narrow, window_days), window_days)
     settled = None
+    island = ["property_key", "island"]
     while True:
-        open_ = islands.filter(F.size("open_windows") > 0)
-        spans = open_.select("property_key", "island", F.inline("open_windows"))
+        open_ = slices.filter(F.size("open_windows") > 0)
+        if open_.isEmpty():
+            break
+        spans = open_.select(*island, F.inline("open_windows")).withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(_REPEAT_SPLITS - 1)))
+        )
         extra = stage(
             narrow.filter("late = 1")
             .withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(_REPEAT_SPLITS)).cast("int"))
-            .join(
-                spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_REPEAT_SPLITS - 1)))),
-                ["property_key", "day", "rank", "salt"],
-            )
+            .join(spans, ["property_key", "day", "rank", "salt"])
             .filter("seq > after_seq AND seq < before_seq")
-            .groupBy("property_key", "island", "day", "rank", "after_seq")
+            .groupBy(*island, "day", "rank", "after_seq")
             .agg(F.min("seq").alias("seq")),
             "repeats",
-        ) if not open_.isEmpty() else None
-        if extra is None or extra.isEmpty():
-            return islands if settled is None else settled.unionByName(islands)
-        # Replay again just the islands that gained candidates; the others are final.
-        cell = F.struct(
-            F.lit(1).alias("late"), "seq", "day", "rank", F.col("seq").alias("last_seq")
         )
-        gained = extra.groupBy("property_key", "island").agg(F.collect_list(cell).alias("gained"))
-        done = islands.join(gained, ["property_key", "island"], "left_anti")
+        if extra.isEmpty():
+            break
+        # Replay again just the islands that gained candidates; the others are final.
+        gained = extra.withColumns(
+            {"late": F.lit(1), "last_seq": F.col("seq"), "n": F.lit(0).cast("bigint")}
+        ).groupBy(*island).agg(F.collect_list(F.struct(*_CELL)).alias("gained"))
+        done = slices.join(gained, island, "left_anti")
         settled = done if settled is None else settled.unionByName(done)
-        islands = _replayed(
-            islands.join(gained, ["property_key", "island"])
+        whole = slices.groupBy(*island).agg(
+            F.first("island_n").alias("island_n"), F.flatten(F.collect_list("cells")).alias("cells")
+        )
+        slices = _replayed(
+            whole.join(gained, island)
             .withColumn("cells", F.sort_array(F.concat("cells", "gained")))
-            .drop("gained", "versions", "open_windows"),
+            .drop("gained"),
             window_days,
         )
+    return slices if settled is None else settled.unionByName(slices)
 
 
 # --- matching reports to events -------------------------------------------------------
@@ -249,7 +291,7 @@ def _hot_keys(versions: DataFrame, floor: int) -> list[tuple[str, int]]:
 
 
 def _matched(reports: DataFrame, versions: DataFrame, on: list[str], window: int) -> DataFrame:
-    here = versions.select(*on, "first_day", "last_day", "versions", F.col("n").alias("island_n"))
+    here = versions.select(*on, "first_day", "last_day", "versions", "island_n")
     joined = reports.join(here, on).filter(F.col("day").between(F.col("first_day"), F.col("last_day")))
     only = F.col("versions")[0]
     best = F.when(

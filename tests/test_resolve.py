@@ -137,8 +137,8 @@ def test_replay_state_is_bounded_by_dates_and_ranks(spark):
         (F.col("id") % 5).cast("int").alias("rank"), F.col("id").alias("seq"),
         F.lit(1).alias("late"), F.lit(None).cast("bigint").alias("stored_seq"))
     versions = event_versions(rows, 14)
-    biggest = versions.agg(F.max(F.size("cells"))).first()[0]
-    assert biggest <= 30 * 5 * 2
+    sizes = versions.agg(F.sum(F.size("cells")).alias("cells"), F.sum("n").alias("n")).first()
+    assert sizes.cells <= 30 * 5 * 2 and sizes.n == 20_000
 
 
 def test_repeat_after_the_event_moved_away(spark):
