@@ -186,6 +186,8 @@ def _islands(narrow: DataFrame, window: int) -> DataFrame:
         "island", F.sum("starts").over(by_day.rowsBetween(W.unboundedPreceding, 0))
     )
     return numbered.groupBy("property_key", "island").agg(
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
         F.sum("n").alias("island_n"),
         # Bounded by distinct dates x ranks, not by reports.
         F.sort_array(F.collect_list(F.struct(*_CELL))).alias("cells"),
@@ -195,8 +197,7 @@ def _islands(narrow: DataFrame, window: int) -> DataFrame:
 def _slices(window: int) -> Column:
     """An island cut by date: each slice with its cells and the versions in reach."""
     width, reach = 4 * window + 2, 2 * window
-    days = F.transform("cells", lambda c: c["day"])
-    first, last = F.array_min(days), F.array_max(days)
+    first, last = F.col("first_day"), F.col("last_day")
 
     def cut(start: Column) -> Column:
         end = F.least(start + width - 1, last)
@@ -261,7 +262,10 @@ def event_versions(narrow: DataFrame, window_days: int) -> DataFrame:
         done = slices.join(gained, island, "left_anti")
         settled = done if settled is None else settled.unionByName(done)
         whole = slices.groupBy(*island).agg(
-            F.first("island_n").alias("island_n"), F.flatten(F.collect_list("cells")).alias("cells")
+            F.min("first_day").alias("first_day"),
+            F.max("last_day").alias("last_day"),
+            F.first("island_n").alias("island_n"),
+            F.flatten(F.collect_list("cells")).alias("cells"),
         )
         slices = _replayed(
             whole.join(gained, island)
