@@ -72,7 +72,7 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _stored:
         path = f"{shared_folder(spark)}/sales-{uuid.uuid4().hex}"
-        write_sales(resolve_events(kept(spark, folder), X.SPECS), path)
+        write_sales(resolve_events(kept(spark, folder), X.SPECS), path, buckets=_BUCKETS)
         _stored[key] = read_sales(spark, path)
     return _stored[key]
 
@@ -129,6 +129,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 # --- pages built from the tables ---------------------------------------------------------
 
 _PAGE_ROWS = 100
+_BUCKETS = 8  # of the small sales tables written here
 
 
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
@@ -353,14 +354,15 @@ def _incremental(spark, folder):
     for part in (~later, later):
         rows.filter(part).write.mode("append").parquet(f"{base}/landed")
         incremental_resolve(
-            spark, f"{base}/landed", f"{base}/sales", X.SPECS, f"{base}/checkpoint"
+            spark, f"{base}/landed", f"{base}/sales", X.SPECS, f"{base}/checkpoint",
+            buckets=_BUCKETS,
         ).awaitTermination()
     return shown_sales(read_sales(spark, f"{base}/sales"))
 
 
 def _write_read(spark, folder):
     path = f"{shared_folder(spark)}/sales-{uuid.uuid4().hex}"
-    write_sales(resolve_events(kept(spark, folder), X.SPECS), path)
+    write_sales(resolve_events(kept(spark, folder), X.SPECS), path, buckets=_BUCKETS)
     return shown_sales(read_sales(spark, path))
 
 
