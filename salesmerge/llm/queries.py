@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from salesmerge.llm import language_id
+from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
 from salesmerge.session import configure
 
@@ -21,9 +24,27 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), path)
 
 
+def _fold(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole document encoded by the ranks and decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(_table(spark, folder, "documents"), path)
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole document, learned from three quarters of the labelled rows."""
+    documents = _table(spark, folder, "documents")
+    model = language_id.fit(documents, _fold(4) != 2)
+    predicted = language_id.predict(documents, model, reject=False)
+    return predicted.select("doc_id", (_fold(4) == 2).alias("held_out"), *predicted.columns[1:])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op2_token_counts,)
+    own = (op2_token_counts, op8_byte_bpe, op9_language_id)
     return {query.__name__: query for query in own}
 
 

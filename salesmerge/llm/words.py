@@ -133,11 +133,12 @@ def words(piece: Slice, marks: frozenset[int] = SPACES, fold: bool = False) -> W
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span."""
+    """64-bit hash of the bytes (or of other numbers) of each span."""
+    values = _VALUES[False][data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(1))
     up, down = _POWERS.upto(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_VALUES[False][data] * up[: len(data)], out=sums[1:])
+        np.cumsum(values * up[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
