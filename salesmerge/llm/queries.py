@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from salesmerge.llm import language_id
 from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
+from salesmerge.llm.substring_dedup import remove_repeats
 from salesmerge.session import configure
 
 
@@ -42,9 +43,15 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predicted.select("doc_id", (_fold(4) == 2).alias("held_out"), *predicted.columns[1:])
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every whole document without repeated passages of 35 words."""
+    cut = remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op2_token_counts, op8_byte_bpe, op9_language_id)
+    own = (op2_token_counts, op8_byte_bpe, op9_language_id, op10_substring_dedup)
     return {query.__name__: query for query in own}
 
 
