@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from salesmerge.llm import language_id
 from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
+from salesmerge.llm.decontamination import contamination
 from salesmerge.llm.minhash_dedup import near_duplicates
 from salesmerge.llm.substring_dedup import remove_repeats
 from salesmerge.session import configure
@@ -30,6 +31,13 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that every whole document contains."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    found = contamination(documents, _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "contaminated", "items", "similarity")
+
+
 def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of near-duplicates of every whole document."""
     return near_duplicates(_table(spark, folder, "documents"))
@@ -57,7 +65,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op2_token_counts, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
+    own = (op2_token_counts, op3_decontamination, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
     return {query.__name__: query for query in own}
 
 
