@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmerge.llm import language_id
+from salesmerge.llm import toxicity as toxic
 from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
 from salesmerge.llm.decontamination import contamination
@@ -38,6 +39,21 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "items", "similarity")
 
 
+def toxicity_machine(documents: DataFrame, labels: DataFrame) -> toxic.Machine:
+    """Trained on the labelled documents of four folds out of five."""
+    marks = labels.where("doc_id IS NOT NULL").select("doc_id", "toxic").distinct()
+    learning = documents.where(_fold(5) != 0).join(marks, "doc_id")
+    return toxic.fit(learning.select(F.col("doc_id").alias("id"), "toxic", "text"))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole document, learned from four fifths of the labelled rows."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    machine = toxicity_machine(documents, _table(spark, folder, "labels"))
+    scored = toxic.toxicity(documents, machine)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of near-duplicates of every whole document."""
     return near_duplicates(_table(spark, folder, "documents"))
@@ -65,7 +81,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op2_token_counts, op3_decontamination, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
+    own = (op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
     return {query.__name__: query for query in own}
 
 
