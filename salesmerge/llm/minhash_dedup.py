@@ -10,8 +10,10 @@ probability of their weighted Jaccard similarity. Texts that agree in all sample
 candidates, and a link is a candidate pair whose exact weighted similarity reaches the threshold.
 
 Equal texts are one class from the start. In each bucket of a band, texts are verified against
-the bucket's first text, so a bucket of n texts costs n checks. Only the texts that this leaves
-in different groups are then compared with each other, if their samples agree well enough.
+the bucket's best-known text, so a bucket of n texts costs n checks. Where candidates that hang
+together are still in different groups, they are dealt into tiles, and each pair of tiles is
+compared inside a task: pairs that share a bucket and agree in enough samples are verified until they
+are joined. No pair leaves the task but those that join two groups.
 """
 
 from __future__ import annotations
@@ -19,18 +21,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmerge.llm.rows import components, staged
-from salesmerge.llm.words import MARKS, Slice, mix, shingles, slices, valid, words
+from salesmerge.llm.words import MARKS, Slice, gather, mix, shingles, slices, valid, words
 
 SHINGLE = 5
 #: Buckets of the hashed document frequencies.
 BUCKETS = 1 << 18
 _DAMPING = 0.5
 _POOL = 1 << 14
+#: Texts of one tile; a task compares two tiles at most.
+TILE = 500
 #: Up to so many rows of 40 bytes a join side is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -158,37 +163,96 @@ def _signatures(
     return narrow.mapInArrow(sign, f"id {kind}, class string, samples array<int>")
 
 
+def _similarity(first, second, pair_a: np.ndarray, pair_b: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of text pair_a[i] of one bag set and pair_b[i] of the other."""
+    n = len(pair_a)
+    parts = []
+    for (row, hashes, count), chosen in ((first, pair_a), (second, pair_b)):
+        size = int(max(row.max(initial=-1), chosen.max(initial=-1))) + 1
+        bounds = np.searchsorted(row, np.arange(size + 1))
+        lengths = np.diff(bounds)[chosen]
+        at = gather(bounds[chosen], lengths)
+        parts.append((np.repeat(np.arange(n), lengths), hashes[at], count[at]))
+    row, hashes, weight = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    weight = weight * factor[_bucket(hashes)]
+    order = np.lexsort((hashes, row))
+    row, hashes, weight = row[order], hashes[order], weight[order]
+    pair = np.flatnonzero((row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1]))
+    low = np.bincount(row[pair], np.minimum(weight[pair], weight[pair + 1]), n)
+    return low / np.maximum(np.bincount(row, weight, n) - low, 1e-12)
+
+
 def _similar(pairs: DataFrame, factors, threshold: float) -> DataFrame:
     """Of the rows (x, y, text_x, text_y) the (x, y) of sufficient weighted Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = factors.value
         for batch in batches:
             for piece in slices(batch.column(2)):
                 size = piece.last - piece.first
-                low, high = np.zeros(size), np.zeros(size)
-                sides = [(bags(piece), 0)]
                 for other in slices(batch.column(3).slice(piece.first, size)):
-                    sides.append((bags(other), other.first))
-                row = np.concatenate([bag[0] + shift for bag, shift in sides])
-                hashes = np.concatenate([bag[1] for bag, _ in sides])
-                weight = np.concatenate([bag[2] for bag, _ in sides]) * factor[_bucket(hashes)]
-                order = np.lexsort((hashes, row))
-                row, hashes, weight = row[order], hashes[order], weight[order]
-                same = np.zeros(len(row), bool)
-                same[:-1] = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
-                pair = np.flatnonzero(same)
-                low += np.bincount(row[pair], np.minimum(weight[pair], weight[pair + 1]), size)
-                high += np.bincount(row, weight, size) - low
-                good = pa.array(low >= threshold * high - 1e-9)
-                own = batch.slice(piece.first, size)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0).filter(good), own.column(1).filter(good)], names=["x", "y"]
-                )
+                    at = np.arange(other.last - other.first)
+                    value = _similarity(bags(piece), bags(other), other.first + at, at, factors.value)
+                    good = pa.array(value >= threshold - 1e-9)
+                    own = batch.slice(piece.first + other.first, len(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [own.column(0).filter(good), own.column(1).filter(good)], names=["x", "y"]
+                    )
 
     return pairs.mapInArrow(check, "x string, y string")
 
 
+def _within(factors, threshold: float, bands: int, least: int):
+    """Links between different groups of a tile pair, as few as connect what all would."""
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"x": [], "y": []}, dtype=object)
+        tile = tile.drop_duplicates("class").sort_values("class", ignore_index=True)
+        names, label = tile["class"].to_numpy(), tile["component"].factorize()[0]
+        signs = np.array(tile["samples"].tolist(), np.int32)
+        side = (tile["tile"] == tile["a"]).to_numpy()
+        one_tile = bool((tile["a"] == tile["b"]).iloc[0])
+        first, second, agreeing = [], [], []
+        for i in range(len(tile) - 1):
+            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            if not one_tile:
+                other = other[side[other] != side[i]]
+            same = signs[other] == signs[i]
+            agree = same.sum(1)
+            met = same.reshape(len(other), bands, signs.shape[1] // bands).all(2).any(1) & (agree >= least)
+            first.append(np.full(int(met.sum()), i))
+            second.append(other[met])
+            agreeing.append(agree[met])
+        if not first or not sum(map(len, first)):
+            return none
+        a, b = np.concatenate(first), np.concatenate(second)
+        order = np.argsort(-np.concatenate(agreeing), kind="stable")
+        a, b = a[order], b[order]
+        column = pa.array(tile["text"], pa.large_string())
+        found = [(piece.first, bags(piece)) for piece in slices(column)]
+        own = (
+            np.concatenate([row + shift for shift, (row, _, _) in found]),
+            np.concatenate([bag[1] for _, bag in found]),
+            np.concatenate([bag[2] for _, bag in found]),
+        )
+        sizes = np.bincount(own[0], minlength=len(tile))
+        links = []
+        while len(a):
+            # The most promising pairs first; pairs that a link has joined since need no check.
+            cost = np.cumsum(sizes[a] + sizes[b])
+            n = max(1, int(np.searchsorted(cost, 1_000_000)))
+            value = _similarity(own, own, a[:n], b[:n], factors.value)
+            for x, y in zip(a[:n][value >= threshold - 1e-9], b[:n][value >= threshold - 1e-9], strict=True):
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    links.append((names[x], names[y]))
+            a, b = a[n:], b[n:]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+        return pd.DataFrame(links, columns=["x", "y"], dtype=object) if links else none
+
+    return run
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast a staged table if it has few rows; otherwise leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -222,7 +286,7 @@ def near_duplicates(
         _signatures(documents, factors, bands * rows, id_column, text_column), "signatures"
     )
     usable = signed.where("samples IS NOT NULL")
-    classes = usable.groupBy("class").agg(F.first("samples").alias("samples"))
+    classes = staged(usable.groupBy("class").agg(F.first("samples").alias("samples")), "classes")
     keys = F.array(
         *[
             F.xxhash64(F.lit(b), F.slice("samples", 1 + b * rows, rows))
@@ -232,56 +296,65 @@ def near_duplicates(
     members = staged(
         classes.select("class", "samples", F.explode(keys).alias("bucket")), "members"
     )
-    buckets = members.groupBy("bucket").agg(
-        F.min("class").alias("x"), F.count("class").alias("n")
-    ).where("n > 1")
-    # First against each bucket's least class.
+    sizes = staged(members.groupBy("bucket").count().where("count > 1"), "buckets")
+    shared = staged(members.drop("samples").join(sizes, "bucket"), "shared")
+    # The text that meets most others is the likeliest source of the copies: it goes first.
+    fame = staged(shared.groupBy("class").agg(F.sum("count").alias("fame")), "fame")
+    ranked = shared.join(fame, "class").select("bucket", "class", "fame")
+    heads = staged(
+        ranked.groupBy("bucket").agg(F.max(F.struct("fame", "class"))["class"].alias("x")), "heads"
+    )
     star = staged(
-        members.join(buckets, "bucket").where("class != x").select("x", F.col("class").alias("y")).distinct(),
+        shared.join(heads, "bucket").where("class != x").select("x", F.col("class").alias("y")).distinct(),
         "star",
     )
-    shared = members.join(buckets, "bucket").select("class").distinct()
-    nodes = _small(staged(shared, "nodes"))
     texts = staged(
         documents.select(F.col(text_column).alias("text"), F.md5(text_column).alias("class"))
-        .join(nodes, "class", "left_semi")
+        .join(_small(fame.select("class")), "class", "left_semi")
         .groupBy("class")
         .agg(F.first("text").alias("text")),
         "texts",
     )
     links = _verified(star, texts, factors, threshold)
     grouped = staged(components(links), "groups")
-    # Then, in buckets of several groups, the texts of different groups.
-    labelled = (
-        members.join(buckets.select("bucket"), "bucket")
-        .join(grouped.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
+    # Candidates that hang together but are in several groups: all that share a bucket are compared.
+    wide = staged(components(star), "candidates").select(
+        F.col("node").alias("class"), F.col("component").alias("wide")
+    )
+    labelled = staged(
+        wide.join(grouped.withColumnRenamed("node", "class"), "class", "left").withColumn(
+            "component", F.coalesce("component", "class")
+        ),
+        "labelled",
     )
-    mixed = labelled.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low != high").select("bucket")
-    open_rows = staged(labelled.join(mixed, "bucket"), "open")
-    x = open_rows.select(
-        "bucket", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("samples").alias("sx")
+    open_groups = (
+        labelled.groupBy("wide")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+        .where("low != high")
+        .select("wide", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     )
-    y = open_rows.select(
-        "bucket", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("samples").alias("sy")
+    tiled = (
+        labelled.join(staged(open_groups, "open-groups"), "wide")
+        .withColumn("tile", F.pmod(F.xxhash64("class"), "tiles").cast("int"))
+        .join(classes, "class")
+        .join(texts, "class")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select(
+            "wide", "class", "component", "samples", "text", "tile",
+            F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"),
+        )
     )
-    agree = F.size(F.filter(F.zip_with("sx", "sy", lambda a, b: a == b), lambda same: same))
-    # At similarity `threshold` fewer agreements than this have a probability below 1e-4.
-    needed = bands * rows * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / (bands * rows)))
-    across = staged(
-        x.join(y, "bucket")
-        .where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (agree >= needed))
-        .select("x", "y")
-        .distinct()
-        .join(star, ["x", "y"], "left_anti"),
-        "across",
+    # At similarity `threshold` fewer agreements than this have a probability of about 0.001.
+    n = bands * rows
+    least = int(n * (threshold - 3 * np.sqrt(threshold * (1 - threshold) / n)))
+    more = staged(
+        tiled.groupBy("wide", "a", "b").applyInPandas(
+            _within(factors, threshold, bands, least), "x string, y string"
+        ),
+        "more-links",
     )
-    more = _verified(across, texts, factors, threshold)
     if not more.isEmpty():
-        links = links.union(more)
-        grouped = staged(components(links), "groups")
+        grouped = staged(components(links.union(more)), "groups")
     named = (
         signed.where("samples IS NOT NULL")
         .join(grouped.withColumnRenamed("node", "class"), "class", "left")
