@@ -13,6 +13,7 @@ from salesmerge.llm import toxicity as toxic
 from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
 from salesmerge.llm.decontamination import contamination
+from salesmerge.llm.embedding_dedup import near_duplicate_vectors
 from salesmerge.llm.minhash_dedup import near_duplicates
 from salesmerge.llm.substring_dedup import remove_repeats
 from salesmerge.session import configure
@@ -22,6 +23,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors by cosine."""
+    return near_duplicate_vectors(_table(spark, folder, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every whole document under the byte-level BPE vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,7 +87,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
+    own = (op1_embedding_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
     return {query.__name__: query for query in own}
 
 
