@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmerge.llm import language_id
+from salesmerge.llm import language_id, quality
 from salesmerge.llm import toxicity as toxic
 from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
@@ -65,6 +65,15 @@ def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight, quality and sampling of every whole document."""
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality", "doc_id")
+    ratio = quality.fit(documents.withColumnRenamed("doc_id", "id"), labels, _fold(5) != 0)
+    told = quality.classify(documents, ratio)
+    return told.select("doc_id", (_fold(5) == 0).alias("held_out"), *told.columns[1:])
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every whole document encoded by the ranks and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,7 +96,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op1_embedding_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op8_byte_bpe, op9_language_id, op10_substring_dedup)
+    own = (op1_embedding_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op6_quality, op8_byte_bpe, op9_language_id, op10_substring_dedup)
     return {query.__name__: query for query in own}
 
 
