@@ -284,12 +284,17 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
 
 
 def round_trip(
-    documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text"
+    documents: DataFrame,
+    path: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
     """Digests of `encode` and of decoding its ids, without moving the ids out of the task.
 
     Returns `id_column`, n_tokens, ids_sha256 (of the decimal ids joined by one space),
-    decoded_sha256 (of the decoded bytes). Rows and nulls as in `encode`.
+    decoded_sha256 (of the decoded bytes), and with `with_ids` the ids themselves. Rows and
+    nulls as in `encode`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,19 +308,26 @@ def round_trip(
                 sums = np.concatenate([[0], np.cumsum(sizes[back])]) if len(back) else np.zeros(1, int)
                 spans = list(zip(places[:-1].tolist(), places[1:].tolist(), strict=True))
                 digest = hashlib.sha256
+                ids = []
+                if with_ids:
+                    each = [x[0] for x in known]
+                    flat = np.concatenate([each[k] for k in back.tolist()] or [np.zeros(0, np.int32)])
+                    ids = [pa.ListArray.from_arrays(pa.array(sums[places].astype(np.int32)), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(piece.first, piece.last - piece.first),
                         pa.array(sums[places[1:]] - sums[places[:-1]], pa.int64()),
                         pa.array([digest(b" ".join(shown[a:b].tolist())).hexdigest() for a, b in spans]),
                         pa.array([digest(b"".join(text[a:b].tolist())).hexdigest() for a, b in spans]),
+                        *ids,
                     ],
-                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
                 )
 
     narrow = documents.select(id_column, text_column)
     kind = narrow.schema[0].dataType.simpleString()
     return narrow.mapInArrow(
         run,
-        f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        + ", ids array<int>" * with_ids,
     )

@@ -14,6 +14,7 @@ from salesmerge.llm.byte_bpe import round_trip
 from salesmerge.llm.token_counts import token_counts
 from salesmerge.llm.decontamination import contamination
 from salesmerge.llm.embedding_dedup import near_duplicate_vectors
+from salesmerge.llm.html_text import main_text
 from salesmerge.llm.minhash_dedup import near_duplicates
 from salesmerge.llm.substring_dedup import remove_repeats
 from salesmerge.session import configure
@@ -74,6 +75,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", (_fold(5) == 0).alias("held_out"), *told.columns[1:])
 
 
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every whole page."""
+    return main_text(_table(spark, folder, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every whole document encoded by the ranks and decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -96,7 +102,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    own = (op1_embedding_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op6_quality, op8_byte_bpe, op9_language_id, op10_substring_dedup)
+    own = (op1_embedding_dedup, op2_token_counts, op3_decontamination, op4_toxicity, op5_minhash_dedup, op6_quality, op7_html_text, op8_byte_bpe, op9_language_id, op10_substring_dedup)
     return {query.__name__: query for query in own}
 
 
