@@ -33,6 +33,8 @@ DECAY, SPAN = 0.7, 4
 #: Second and third character of a subsequence, counted from its first.
 _STEPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 RIDGE = 3.0
+#: Units of a block of the kernel matrix; bounds the driver's memory.
+BLOCK = 256
 #: Share of the toxic learning texts that must have a candidate unit or one like it.
 SUPPORT = 0.04
 _BEGIN, _END = 1, 2
@@ -113,6 +115,18 @@ def _spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, ends - sizes, ends
 
 
+def _dense(words: list[str], columns: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A row of values over the columns (subsequence keys; the words' own if None) for each word."""
+    own, keys, values = _vectors(*_spell(words))
+    if columns is None:
+        columns = np.unique(keys)
+    at = np.minimum(np.searchsorted(columns, keys), max(len(columns) - 1, 0))
+    hit = columns[at] == keys if len(columns) else np.zeros(len(keys), bool)
+    out = np.zeros((len(words), len(columns)), np.float32)
+    out[own[hit], at[hit]] = values[hit]
+    return columns, out
+
+
 @dataclass
 class Machine:
     """Weight of each known subsequence, and the line that turns a margin into a probability."""
@@ -135,24 +149,15 @@ class Machine:
 
 def _train(words: list[str], target: np.ndarray, weight: np.ndarray, landmarks: list[str], ridge: float) -> Machine:
     """Squared-hinge machine on Nyström features, by Newton steps on its support vectors."""
-    base_own, base_keys, base_values = _vectors(*_spell(landmarks))
-    columns, inside = np.unique(base_keys, return_inverse=True)
-    table = np.zeros((len(landmarks), len(columns)))
-    table[base_own, inside] = base_values
-    values, axes = np.linalg.eigh(table @ table.T)
+    columns, table = _dense(landmarks, None)
+    values, axes = np.linalg.eigh((table @ table.T).astype(np.float64))
     good = values > 1e-6
     root = axes[:, good] / np.sqrt(values[good])  # landmark kernel to features
-    own, keys, weights = _vectors(*_spell(words))
-    at = np.minimum(np.searchsorted(columns, keys), len(columns) - 1)
-    hit = columns[at] == keys
-    features = np.zeros((len(words), root.shape[1]))
-    basis = table.T @ root
-    for lo in range(0, len(words), 2000):  # bounded blocks
-        part = hit & (own >= lo) & (own < lo + 2000)
-        block = np.zeros((min(2000, len(words) - lo), len(columns)), np.float32)
-        block[own[part] - lo, at[part]] = weights[part]
-        features[lo : lo + 2000] = block @ basis
-    x = np.hstack([features, np.ones((len(words), 1))])
+    basis = table.T @ root.astype(np.float32)
+    x = np.ones((len(words), basis.shape[1] + 1), np.float32)
+    for lo in range(0, len(words), BLOCK):
+        part = words[lo : lo + BLOCK]
+        x[lo : lo + BLOCK, :-1] = _dense(part, columns)[1] @ basis
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
@@ -161,9 +166,9 @@ def _train(words: list[str], target: np.ndarray, weight: np.ndarray, landmarks:
         live = margin < 1
         if not live.any():
             break
-        own_x, own_w = x[live], weight[live][:, None]
-        new = np.linalg.solve(own_x.T @ (own_w * own_x) + np.diag(penalty),
-                              own_x.T @ (weight[live] * target[live]))
+        own_x = x[live].astype(np.float64) * np.sqrt(weight[live])[:, None]
+        right = own_x.T @ (np.sqrt(weight[live]) * target[live])
+        new = np.linalg.solve(own_x.T @ own_x + np.diag(penalty), right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -242,7 +247,7 @@ def fit(
     labelled: DataFrame,
     sample: int = 8_000,
     landmarks: int = 400,
-    negatives: int = 20_000,
+    negatives: int = 12_000,
     rounds: int = 3,
     seed: int = 7,
 ) -> Machine:
@@ -285,7 +290,7 @@ def fit(
         found.where("toxic = 1")
         .join(telling, "unit")
         .groupBy("id")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("odds", "unit")), asc=False), 1, 40).alias("best"))
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct("odds", "unit")), asc=False), 1, 12).alias("best"))
     )
     bags = [[(x["odds"], x["unit"]) for x in r["best"]] for r in staged(best, "toxic-units").collect()]
     listed = staged(counts.join(telling.select("unit"), "unit").select("unit", "bad"), "telling").collect()
@@ -333,7 +338,7 @@ def fit(
         top_units = [max((margin[u], u) for _, u in bag) for bag in bags]
         worst = [unit for value, unit in top_units if value > 0] or worst
         scored = text_margins(clean.select("unit", F.col("unit").alias("t")), machine, "unit", "t")
-        top = scored.orderBy(F.desc("margin"), "unit").limit(negatives // 4)
+        top = scored.orderBy(F.desc("margin"), "unit").limit(negatives // 6)
         hard |= {r["unit"] for r in top.collect()}
     marked = staged(text_margins(rows, machine, "id", "text"), "margins")
     pairs = marked.join(F.broadcast(chosen), "id").where("margin IS NOT NULL").select("toxic", "margin").toArrow()
@@ -350,18 +355,12 @@ def _supported(bags: list[list[tuple[float, str]]], bad: dict[str, int], least:
     names = sorted({unit for bag in bags for _, unit in bag})
     support = np.zeros(len(names))
     counts = np.array([bad[name] for name in names], float)
-    own, keys, values = _vectors(*_spell(names))
-    columns, inside = np.unique(keys, return_inverse=True)
-    for lo in range(0, len(names), 500):  # bounded blocks of the kernel matrix
-        block = np.zeros((min(500, len(names) - lo), len(columns)), np.float32)
-        part = (own >= lo) & (own < lo + 500)
-        block[own[part] - lo, inside[part]] = values[part]
-        for to in range(0, len(names), 500):
-            other = np.zeros((min(500, len(names) - to), len(columns)), np.float32)
-            part = (own >= to) & (own < to + 500)
-            other[own[part] - to, inside[part]] = values[part]
+    for lo in range(0, len(names), BLOCK):  # the kernel matrix, block by block
+        columns, block = _dense(names[lo : lo + BLOCK], None)
+        for to in range(0, len(names), BLOCK):
+            other = _dense(names[to : to + BLOCK], columns)[1]
             near = np.clip(2 * (block @ other.T) - 1, 0, 1)
-            support[lo : lo + 500] += near @ counts[to : to + 500]
+            support[lo : lo + BLOCK] += near @ counts[to : to + BLOCK]
     good = {name for name, n in zip(names, support, strict=True) if n >= least}
     kept = [[(odds, unit) for odds, unit in bag if unit in good] for bag in bags]
     return [bag for bag in kept if bag]
