@@ -41,8 +41,10 @@ def _build(shard: pd.DataFrame) -> pd.DataFrame:
     for level, nodes in enumerate(graph.layers):
         height[nodes] = level
     links = np.stack(graph.links, 1).reshape(len(shard), -1)
+    island = np.zeros(len(shard), bool)
+    island[graph.islands] = True
     return shard.assign(
-        place=np.arange(len(shard), dtype=np.int32), height=height, links=list(links)
+        place=np.arange(len(shard), dtype=np.int32), height=height, island=island, links=list(links)
     )
 
 
@@ -52,7 +54,8 @@ def _restore(nodes: pd.DataFrame) -> tuple[Graph, np.ndarray]:
     height = nodes["height"].to_numpy()
     layers = [np.flatnonzero(height >= level) for level in range(links.shape[1])]
     own = [np.ascontiguousarray(links[:, level]) for level in range(links.shape[1])]
-    return Graph(vectors.astype(np.float32), layers, own), vectors
+    islands = np.flatnonzero(nodes["island"].to_numpy(bool))
+    return Graph(vectors.astype(np.float32), layers, own, islands), vectors
 
 
 def _hits(graph: Graph, queries: np.ndarray, threshold: float, beam: int):
@@ -84,7 +87,7 @@ def _audit(graph: Graph, queries, row, node, threshold: float) -> float:
     true = 0
     for lo in range(0, len(graph.vectors), 50_000):
         part = graph.vectors[lo : lo + 50_000]
-        true += int((queries[chosen].astype(np.float32) @ part.T >= threshold).sum())
+        true += int((queries[chosen].astype(np.float32) @ part.T >= threshold + 1e-6).sum())
     found = int(np.isin(row, chosen).sum())
     return 1.0 if not true else min(1.0, found / true)
 
@@ -195,7 +198,7 @@ def near_duplicate_vectors(
     graph = staged(
         own.groupBy("dim", "shard").applyInPandas(
             _build,
-            "dim int, shard int, id bigint, n bigint, vector array<double>, place int, height int, links array<int>",
+            "dim int, shard int, id bigint, n bigint, vector array<double>, place int, height int, island boolean, links array<int>",
         ),
         "graphs",
     )

@@ -6,7 +6,7 @@ far and compare with each other directly. Many queries walk the graph side by si
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -22,6 +22,7 @@ class Graph:
     vectors: np.ndarray
     layers: list[np.ndarray]
     links: list[np.ndarray]  # of layer l: a row for each vector
+    islands: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 11) -> Graph:
@@ -35,8 +36,32 @@ class Graph:
         graph.links = [np.full((n, LINKS), -1, np.int32) for _ in layers]
         for level in range(top, -1, -1):
             graph._fill(level, draw)
+        graph.islands = graph._unreached()
         return graph
 
+    def _unreached(self) -> np.ndarray:
+        """A node of each part of the bottom layer that no walk from the entry can reach.
+
+        Tight groups of copies choose only each other as neighbours; every query looks at the
+        islands' nodes directly and starts at the nearest as well.
+        """
+        reached = np.zeros(len(self.vectors), bool)
+        out: list[int] = []
+        start = int(self.layers[-1][0])
+        while True:
+            front = np.array([start])
+            reached[front] = True
+            while len(front):
+                near = self.links[0][front].reshape(-1)
+                near = np.unique(near[near >= 0])
+                front = near[~reached[near]]
+                reached[front] = True
+            left = np.flatnonzero(~reached)
+            if not len(left):
+                return np.array(out, np.int64)
+            start = int(left[0])
+            out.append(start)
+
     def _fill(self, level: int, draw: np.ndarray) -> None:
         nodes = self.layers[level]
         nodes = nodes[np.argsort(draw[nodes], kind="stable")]  # upper nodes first
@@ -119,6 +144,11 @@ class Graph:
             starts = np.full((len(part), 1), self.layers[-1][0])
             for upper in range(len(self.layers) - 1, level, -1):
                 starts, _ = self._walk(part, starts, 4, upper, stamp)
+            if level == 0 and len(self.islands):
+                near = part @ self.vectors[self.islands].T
+                k = min(4, len(self.islands))
+                nearest = self.islands[np.argpartition(-near, k - 1, axis=1)[:, :k]]
+                starts = np.concatenate([starts, nearest], axis=1)
             if entry is not None and level == len(self.layers) - 1:
                 starts = np.tile(entry, (len(part), 1))
             ids[lo : lo + block], sims[lo : lo + block] = self._walk(part, starts, beam, level, stamp)
