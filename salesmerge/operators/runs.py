@@ -64,8 +64,12 @@ def source_runs(
     started_at: datetime,
     finished_at: datetime,
     only: Sequence[str] | None = None,
+    first_id: int = 0,
 ) -> DataFrame:
-    """The run's log rows, one per source run: status, counts and message."""
+    """The run's log rows, one per source run: status, counts and message.
+
+    Ids count on from `first_id`, in configured order.
+    """
     spark = labelled.sparkSession
     configured = sources_frame(spark, specs).filter("enabled")
     if only:
@@ -82,7 +86,7 @@ def source_runs(
     )
     failed = F.col("status").isNotNull()
     return joined.select(
-        F.col("source_ord").cast("bigint").alias("id"),
+        (F.col("source_ord") + F.lit(first_id)).cast("bigint").alias("id"),
         F.lit(run_id).alias("run_id"),
         "source",
         F.coalesce(F.col("status"), F.lit("ok")).alias("status"),

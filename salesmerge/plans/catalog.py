@@ -25,7 +25,7 @@ from ..operators.resolve import (
     resolve_events,
     run_totals,
 )
-from ..schema import SourceSpec, local_frame, page_record_ord
+from ..schema import PAGE_RECORD_BITS, RECORD_BITS, SourceSpec, local_frame, page_record_ord
 from ..session import configure, shared_folder, spread, stage
 from ..sources.feature_json import feature_reports, scan_feature_json
 from ..sources.feeds import scan_feed_xml
@@ -161,8 +161,8 @@ def _pages(rows: DataFrame, record, head: str, tail: str, glue: str = ",") -> Da
 
 def _place_of(column: str = "record_ord"):
     """Back from (page, position) to the record number the page was built from."""
-    page = F.shiftright(F.col(column), 16)
-    return page * _PAGE_ROWS + F.col(column).bitwiseAND(F.lit(2**16 - 1))
+    page = F.shiftright(F.col(column), PAGE_RECORD_BITS)
+    return page * _PAGE_ROWS + F.col(column).bitwiseAND(F.lit((1 << PAGE_RECORD_BITS) - 1))
 
 
 def feature_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,7 +250,7 @@ _CELL_MAP = {
 def _display(spark, folder):
     shown = addresses.display_address(F.col("address"), F.col("unit"))
     rows = reports(spark, folder)
-    return rows.select(F.col("seq").bitwiseAND(F.lit(2**40 - 1)).alias("record_ord"), shown.alias("display"))
+    return rows.select(F.col("seq").bitwiseAND(F.lit((1 << RECORD_BITS) - 1)).alias("record_ord"), shown.alias("display"))
 
 
 def _build(spark, folder):
@@ -262,7 +262,7 @@ def _build(spark, folder):
 
 def _quarantine(spark, folder):
     return quarantine(raw(spark, folder)).select(
-        F.col("seq").bitwiseAND(F.lit(2**40 - 1)).alias("record_ord"), "unusable"
+        F.col("seq").bitwiseAND(F.lit((1 << RECORD_BITS) - 1)).alias("record_ord"), "unusable"
     )
 
 

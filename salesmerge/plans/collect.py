@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..fixed_values import DEDUPE_WINDOW_DAYS, LOOKBACK_DAYS, MIN_PRICE
 from ..operators.qualify import label_reports, qualify
 from ..operators.reports import build_report, reports_union
 from ..operators.resolve import assign_events, merge_events, rank_lookup, run_totals
 from ..operators.runs import drop_failed_sources, run_row, source_runs
-from ..schema import Area, SourceSpec
+from ..schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, Area, SourceSpec
 from ..session import stage
-from ..sources.tables import append_log, read_sales, write_sales
+from ..sources.tables import append_log, read_log, read_sales, write_sales
+from ..streaming.incremental import check_order
 
 
 @dataclass
@@ -37,6 +39,8 @@ def collect_run(
     run_id: str,
     *,
     run_no: int = 0,
+    first_id: int = 0,
+    started_at: datetime | None = None,
     failures: DataFrame | None = None,
     stored: DataFrame | None = None,
     only: Sequence[str] | None = None,
@@ -44,7 +48,11 @@ def collect_run(
     lookback_days: int = LOOKBACK_DAYS,
     window_days: int = DEDUPE_WINDOW_DAYS,
 ) -> CollectionRun:
-    """Union, normalize, qualify, resolve and account, without writing any result."""
+    """Union, normalize, qualify, resolve and account, without writing any result.
+
+    With `started_at` the log rows hold that time and the time when the matching ended; otherwise
+    both are `run_ts`.
+    """
     raw = reports_union(frames, specs, run_no, only)
     if failures is not None:
         raw = drop_failed_sources(raw, failures)
@@ -56,19 +64,37 @@ def collect_run(
     before = rank_lookup(stored, specs) if stored is not None else None
     # Qualifying and ranking are cheap, so the staged rows are read again as they are.
     assigned = assign_events(rank_lookup(kept, specs), window_days, before, staged=stored is None)
+    begun = started_at or run_ts
+    ended = datetime.now(timezone.utc) if started_at else run_ts
     return CollectionRun(
         kept=kept,
         sales=merge_events(assigned),
-        source_runs=source_runs(labelled, failures, specs, run_id, run_ts, run_ts, only),
-        run=run_row(run_totals(assigned), run_id, run_ts, run_ts),
+        source_runs=source_runs(labelled, failures, specs, run_id, begun, ended, only, first_id),
+        run=run_row(run_totals(assigned), run_id, begun, ended),
     )
 
 
 def collect_and_store(folder: str, frames: Sequence[DataFrame], *args, **kwargs) -> CollectionRun:
-    """A run whose results land in `folder`: sales, source_runs and runs."""
+    """A run whose results land in `folder`: sales, source_runs and runs.
+
+    The run's number, which orders its reports after all earlier ones, and the ids of its log
+    rows follow from the logs already there.
+    """
     spark = frames[0].sparkSession
+    started = datetime.now(timezone.utc)
+    runs = read_log(spark, f"{folder}/runs", RUN_SCHEMA)
+    log = read_log(spark, f"{folder}/source_runs", SOURCE_RUN_SCHEMA)
     stored = read_sales(spark, f"{folder}/sales")
-    result = collect_run(frames, *args, stored=stored, **kwargs)
+    result = collect_run(
+        frames,
+        *args,
+        stored=stored,
+        run_no=runs.count() + 1,
+        first_id=(log.agg(F.max("id")).first()[0] or 0) + 1,
+        started_at=started,
+        **kwargs,
+    )
+    check_order(result.kept, stored)
     write_sales(result.sales, f"{folder}/sales")
     append_log(result.source_runs, f"{folder}/source_runs")
     append_log(result.run, f"{folder}/runs")

@@ -92,26 +92,39 @@ RUN_SCHEMA = (
 )
 
 # Bits of the ingestion order: run number, then source position, then record.
-SOURCE_BITS = 11
-RECORD_BITS = 40
-PAGE_RECORD_BITS = 16
+RUN_BITS = 13
+SOURCE_BITS = 7
+RECORD_BITS = 43
+PAGE_RECORD_BITS = 17
 
 # Largest configuration dimension that is sent to every executor.
 MAX_BROADCAST_ROWS = 100_000
 
 
+def within(value: Column, bits: int, what: str) -> Column:
+    """The number as it is, or an error if it needs more bits: packed orders never collide."""
+    value = value.cast("bigint")
+    message = F.concat(F.lit(f"{what} doesn't fit in {bits} bits: "), value.cast("string"))
+    fits = value.isNull() | ((value >= 0) & (value < (1 << bits)))
+    return F.when(fits, value).otherwise(F.raise_error(message).cast("bigint"))
+
+
 def ingest_seq(run_no: Column, source_ord: Column, record_ord: Column) -> Column:
-    """Ingestion order as one comparable BIGINT: run, source, record in source."""
+    """Ingestion order as one comparable BIGINT: run, source, record in source.
+
+    A number that doesn't fit its share fails the job.
+    """
     return (
-        F.shiftleft(run_no.cast("bigint"), SOURCE_BITS + RECORD_BITS)
-        + F.shiftleft(source_ord.cast("bigint"), RECORD_BITS)
-        + record_ord.cast("bigint")
+        F.shiftleft(within(run_no, RUN_BITS, "run number"), SOURCE_BITS + RECORD_BITS)
+        + F.shiftleft(within(source_ord, SOURCE_BITS, "source position"), RECORD_BITS)
+        + within(record_ord, RECORD_BITS, "record position")
     )
 
 
 def page_record_ord(page_no: Column, position: Column) -> Column:
     """Position of a record within its source: landed page, then place on the page."""
-    return F.shiftleft(page_no.cast("bigint"), PAGE_RECORD_BITS) + position.cast("bigint")
+    page = within(page_no, RECORD_BITS - PAGE_RECORD_BITS, "page number")
+    return F.shiftleft(page, PAGE_RECORD_BITS) + within(position, PAGE_RECORD_BITS, "place on a page")
 
 
 @dataclass(frozen=True)

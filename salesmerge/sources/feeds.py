@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prose import strip_html
 from ..functions.text import blank_to_null, strip
-from ..schema import page_record_ord
+from ..schema import PAGE_RECORD_BITS, page_record_ord, within
 from .landed import failure
 
 _ITEM = "array<struct<title string, description string, link string, pubDate string, `dc:date` string>>"
@@ -32,13 +32,14 @@ def scan_feed_xml(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     good = parsed.filter("doc._bad IS NULL")
     text = lambda c: F.coalesce(c, F.lit(""))
+    half = PAGE_RECORD_BITS - 1
     items = good.select(
         "source",
         "page_no",
         F.posexplode(F.coalesce(F.col("doc.channel.item"), F.col("doc.item"))).alias("pos", "e"),
     ).select(
         "source",
-        page_record_ord(F.col("page_no"), F.col("pos")).alias("record_ord"),
+        page_record_ord(F.col("page_no"), within(F.col("pos"), half, "feed item")).alias("record_ord"),
         strip(text(F.col("e.title"))).alias("title"),
         strip_html(F.col("e.description")).alias("summary"),
         strip(text(F.col("e.link"))).alias("link"),
@@ -49,7 +50,7 @@ def scan_feed_xml(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         "source", "page_no", F.posexplode("doc.entry").alias("pos", "e")
     ).select(
         "source",
-        page_record_ord(F.col("page_no"), F.col("pos") + 2**15).alias("record_ord"),
+        page_record_ord(F.col("page_no"), F.col("pos") + (1 << half)).alias("record_ord"),
         strip(text(F.col("e.title"))).alias("title"),
         strip_html(
             F.coalesce(blank_to_null(F.col("e.summary")), F.col("e.content"))

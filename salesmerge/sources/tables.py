@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,7 +14,9 @@ from ..fixed_values import COMMAND_EXPORT_COLUMNS, DEFAULT_STATE
 from ..schema import SALE_SCHEMA, local_frame
 
 BUCKETS = 64
-_COMMIT_SCHEMA = "version BIGINT, bucket INT, batch_id BIGINT"
+_COMMIT_SCHEMA = (
+    "version BIGINT, bucket INT, buckets INT, folder STRING, stream_id STRING, batch_id BIGINT"
+)
 _FILE_SCHEMA = T.StructType([*SALE_SCHEMA.fields, T.StructField("key_bucket", T.IntegerType())])
 
 
@@ -22,45 +25,66 @@ def key_bucket(buckets: int = BUCKETS) -> Column:
 
 
 def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """The commit rows, or None where no table has been written; any other error is raised."""
     try:
         return spark.read.schema(_COMMIT_SCHEMA).parquet(f"{path}/commits")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def committed_batches(spark: SparkSession, path: str) -> int:
-    """The highest batch id applied so far, or -1."""
+def is_committed(spark: SparkSession, path: str, stream_id: str, batch_id: int) -> bool:
+    """Whether this batch of this stream has been applied."""
     commits = _commits(spark, path)
-    found = None if commits is None else commits.agg(F.max("batch_id")).first()[0]
-    return -1 if found is None else found
+    if commits is None:
+        return False
+    return not commits.filter(
+        (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
+    ).isEmpty()
+
+
+def table_buckets(spark: SparkSession, path: str, wanted: int | None = None) -> int:
+    """The table's number of buckets; a new table takes `wanted`, an existing one must have it."""
+    commits = _commits(spark, path)
+    held = None if commits is None else commits.agg(F.max("buckets")).first()[0]
+    if held is None:
+        return wanted or BUCKETS
+    if wanted is not None and wanted != held:
+        raise ValueError(f"{path} has {held} buckets, not {wanted}")
+    return held
 
 
 def write_sales(
     sales: DataFrame,
     path: str,
     touched: Sequence[int] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     batch_id: int | None = None,
+    stream_id: str = "",
 ) -> int:
     """Write the rows of the touched buckets as a new version and commit it.
 
-    Files of a version are complete before its commit rows appear, and readers go by
-    the commits, so nobody sees half a batch. Untouched buckets keep their files.
+    Files of a version are complete before its commit rows name their folder, and readers go
+    by the commits, so nobody sees half a batch. The folder is a new one each time, so a retry
+    after a crash isn't in the way of what the crash left. Untouched buckets keep their files.
     `sales` must hold all rows of each touched bucket.
     """
     spark = sales.sparkSession
+    buckets = table_buckets(spark, path, buckets)
     commits = _commits(spark, path)
     last = None if commits is None else commits.agg(F.max("version")).first()[0]
     version = 0 if last is None else last + 1
+    folder = f"version={version}-{uuid.uuid4().hex}"
     rows = sales.select(*SALE_SCHEMA.fieldNames()).withColumn("key_bucket", key_bucket(buckets))
     (
         rows.hint("rebalance", "key_bucket")
         .sortWithinPartitions("key_bucket", "sale_date")
         .write.partitionBy("key_bucket")
-        .parquet(f"{path}/data/version={version}")
+        .parquet(f"{path}/data/{folder}")
     )
     touched = range(buckets) if touched is None else touched
-    entries = [(version, int(b), batch_id) for b in touched]
+    entries = [(version, int(b), buckets, folder, stream_id, batch_id) for b in touched]
     local_frame(spark, entries, _COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
         f"{path}/commits"
     )
@@ -70,7 +94,10 @@ def write_sales(
 def read_sales(
     spark: SparkSession, path: str, only_buckets: Sequence[int] | None = None
 ) -> DataFrame:
-    """The current rows: each bucket at its last committed version."""
+    """The current rows: each bucket at its last committed version.
+
+    A committed version whose files are gone is an error, never fewer rows.
+    """
     commits = _commits(spark, path)
     empty = spark.createDataFrame([], SALE_SCHEMA)
     if commits is None:
@@ -78,18 +105,13 @@ def read_sales(
     if only_buckets is not None:
         commits = commits.filter(F.col("bucket").isin(*only_buckets))
     # One row per bucket.
-    current = commits.groupBy("bucket").agg(F.max("version").alias("version")).collect()
-    by_version: dict[int, list[int]] = {}
+    current = commits.groupBy("bucket").agg(F.max_by("folder", "version").alias("folder")).collect()
+    by_folder: dict[str, list[int]] = {}
     for row in current:
-        by_version.setdefault(row["version"], []).append(row["bucket"])
+        by_folder.setdefault(row["folder"], []).append(row["bucket"])
     result = empty
-    for version, held in sorted(by_version.items()):
-        try:
-            part = spark.read.schema(_FILE_SCHEMA).parquet(
-                f"{path}/data/version={version}"
-            )
-        except AnalysisException:
-            continue
+    for folder, held in sorted(by_folder.items()):
+        part = spark.read.schema(_FILE_SCHEMA).parquet(f"{path}/data/{folder}")
         rows = part.filter(F.col("key_bucket").isin(*held)).drop("key_bucket")
         result = rows if result is empty else result.unionByName(rows)
     now = F.current_timestamp()
@@ -103,6 +125,16 @@ def read_sales(
     )
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows of a run log table; none where it hasn't been written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Add rows to a run log table."""
     rows.write.mode("append").parquet(path)

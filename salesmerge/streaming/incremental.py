@@ -12,7 +12,21 @@ from ..fixed_values import DEDUPE_WINDOW_DAYS
 from ..operators.resolve import resolve_events
 from ..schema import REPORT_SCHEMA, SourceSpec
 from ..session import stage
-from ..sources.tables import BUCKETS, committed_batches, key_bucket, read_sales, write_sales
+from ..sources.tables import is_committed, key_bucket, read_sales, table_buckets, write_sales
+
+
+def check_order(batch: DataFrame, stored: DataFrame) -> None:
+    """Fail if a report of a property doesn't come after the property's stored events.
+
+    Order decides which report leads an event, so an older one would be merged wrongly.
+    """
+    first = batch.groupBy("property_key").agg(F.min("seq").alias("seq"))
+    late = stored.join(first, "property_key").filter("seq <= event_seq").limit(1).collect()
+    if late:
+        raise ValueError(
+            f"report {late[0]['seq']} of {late[0]['property_key']} doesn't come after the stored "
+            "events: give the run a higher number"
+        )
 
 
 def apply_batch(
@@ -20,29 +34,33 @@ def apply_batch(
     path: str,
     specs: Sequence[SourceSpec],
     window_days: int = DEDUPE_WINDOW_DAYS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     batch_id: int | None = None,
+    stream_id: str = "",
 ) -> None:
     """Resolve one batch of reports against the stored events and commit the result.
 
-    A report's `seq` must exceed those of earlier batches. Only buckets the batch
-    touches are read and rewritten. A batch that was committed before is skipped, so
-    a restarted stream applies each batch once.
+    A report's `seq` must exceed those of its property's stored events. Only buckets the batch
+    touches are read and rewritten. A batch of a stream that was committed before is skipped, so
+    a restarted stream applies each batch once, and another stream all of its own.
     """
     spark = batch.sparkSession
-    if batch_id is not None and batch_id <= committed_batches(spark, path):
+    if batch_id is not None and is_committed(spark, path, stream_id, batch_id):
         return
     reports = stage(batch, "batch")
+    buckets = table_buckets(spark, path, buckets)
     # At most `buckets` values.
     touched = [r[0] for r in reports.select(key_bucket(buckets)).distinct().collect()]
     if not touched:
         return
-    stored = read_sales(spark, path, touched)
-    keys = reports.select("property_key").distinct()
-    concerned = stored.join(keys, "property_key", "left_semi")
-    others = stored.join(keys, "property_key", "left_anti")
+    keys = reports.select("property_key", F.lit(True).alias("touched")).distinct()
+    # The stored buckets are read and split once.
+    stored = stage(read_sales(spark, path, touched).join(keys, "property_key", "left"), "stored")
+    concerned = stored.filter("touched").drop("touched")
+    others = stored.filter("touched IS NULL").drop("touched")
+    check_order(reports, concerned)
     resolved = resolve_events(reports, specs, window_days, stored=concerned)
-    write_sales(resolved.unionByName(others), path, touched, buckets, batch_id)
+    write_sales(resolved.unionByName(others), path, touched, buckets, batch_id, stream_id)
 
 
 def incremental_resolve(
@@ -52,12 +70,12 @@ def incremental_resolve(
     specs: Sequence[SourceSpec],
     checkpoint: str,
     window_days: int = DEDUPE_WINDOW_DAYS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Apply every report file not seen yet, then stop.
 
-    All state is the sales table; the stream itself keeps none, so there is no
+    The checkpoint location names the stream. All state is the sales table; the stream itself keeps none, so there is no
     watermark: a late report is judged by the run date when it qualifies.
     """
     reader = spark.readStream.schema(REPORT_SCHEMA)
@@ -65,7 +83,7 @@ def incremental_resolve(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, path, specs, window_days, buckets, batch_id)
+        apply_batch(batch, path, specs, window_days, buckets, batch_id, checkpoint)
 
     return (
         reader.parquet(landed)

@@ -2,6 +2,10 @@ from datetime import datetime
 
 from conftest import AREAS, RUN_TS, SPECS, TODAY
 
+import pytest
+from pyspark.sql import functions as F
+
+from salesmerge.schema import ingest_seq, page_record_ord
 from salesmerge.operators import runs
 from salesmerge.plans.collect import collect_and_store, collect_run
 from salesmerge.schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, SourceSpec
@@ -91,9 +95,34 @@ def test_second_run_updates_the_stored_sales(spark, tmp_path):
     first = raw(spark, ("news", "123 North Wayne Avenue", "1490000", "2026-03-05", "19087"))
     second = raw(spark, ("county", *SALE))
     collect_and_store(folder, [first], SPECS, AREAS, TODAY, RUN_TS, "run1")
-    collect_and_store(folder, [second], SPECS, AREAS, TODAY, datetime(2026, 3, 21), "run2", run_no=1)
+    collect_and_store(folder, [second], SPECS, AREAS, TODAY, datetime(2026, 3, 21), "run2")
     (sale,) = read_sales(spark, f"{folder}/sales").collect()
     assert (sale.price, sale.source) == (1_500_000, "county")
     assert (sale.first_seen, sale.last_seen) == (RUN_TS, datetime(2026, 3, 21))
     totals = {r.run_id: (r.new_sales, r.updated_sales) for r in spark.read.parquet(f"{folder}/runs").collect()}
     assert totals == {"run1": (1, 0), "run2": (0, 1)}
+
+
+def test_rerun_of_the_same_input_updates_only(spark, tmp_path):
+    folder = str(tmp_path)
+    frame = raw(spark, ("county", *SALE), ("news", "9 Other Rd", "1490000", "2026-03-05", "19087"))
+    for run in ("run1", "run2"):
+        collect_and_store(folder, [frame], SPECS, AREAS, TODAY, RUN_TS, run)
+    totals = {r.run_id: (r.new_sales, r.updated_sales) for r in spark.read.parquet(f"{folder}/runs").collect()}
+    assert totals == {"run1": (2, 0), "run2": (0, 2)}
+    log = spark.read.parquet(f"{folder}/source_runs")
+    assert sorted(r.id for r in log.collect()) == [1, 2, 3, 4]
+    assert {r.run_id for r in runs.latest_source_status(log).collect()} == {"run2"}
+    assert all(r.started_at < r.finished_at for r in log.collect())
+
+
+def test_order_numbers_that_do_not_fit_fail(spark):
+    fits = spark.range(1).select(
+        ingest_seq(F.lit(5000), F.lit(3), page_record_ord(F.lit(20260314), F.lit(100_000))).alias("a"),
+        ingest_seq(F.lit(5000), F.lit(4), page_record_ord(F.lit(0), F.lit(0))).alias("b"),
+    ).first()
+    assert 0 < fits.a < fits.b
+    with pytest.raises(Exception, match="run number"):
+        spark.range(1).select(ingest_seq(F.col("id") + 9000, F.lit(0), F.lit(0))).collect()
+    with pytest.raises(Exception, match="place on a page"):
+        spark.range(1).select(page_record_ord(F.lit(1), F.col("id") + 200_000)).collect()

@@ -1,6 +1,8 @@
 from datetime import date
 
+import pytest
 from conftest import SPECS
+from pyspark.errors import AnalysisException
 
 from salesmerge.operators.query import export_rows, query_sales
 from salesmerge.operators.resolve import resolve_events
@@ -55,3 +57,47 @@ def test_committed_batch_is_not_applied_again(spark, make_reports, tmp_path):
     apply_batch(make_reports({}), table, SPECS, buckets=4, batch_id=0)
     apply_batch(make_reports({"price": "9000000", "sale_date": "2020-01-01"}), table, SPECS, buckets=4, batch_id=0)
     assert [r.sale_date for r in read_sales(spark, table).collect()] == [date(2026, 3, 1)]
+
+
+def test_retry_after_a_crash_before_the_commit(spark, make_reports, tmp_path):
+    path = str(tmp_path / "sales")
+    sales = resolve_events(make_reports({}), SPECS)
+    write_sales(sales, path, buckets=4)
+    # What a crash leaves: files of the next version, without a commit.
+    sales.write.parquet(f"{path}/data/version=1-crashed")
+    assert write_sales(sales, path) == 1
+    assert read_sales(spark, path).count() == 1
+
+
+def test_bucket_count_belongs_to_the_table(spark, make_reports, tmp_path):
+    path = str(tmp_path / "sales")
+    apply_batch(make_reports({}), path, SPECS, buckets=4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        write_sales(read_sales(spark, path), path, buckets=8)
+
+
+def test_absent_committed_version_is_an_error(spark, make_reports, tmp_path):
+    path = tmp_path / "sales"
+    write_sales(resolve_events(make_reports({}), SPECS), str(path), buckets=4)
+    (version,) = (path / "data").iterdir()
+    version.rename(tmp_path / "gone")
+    with pytest.raises(AnalysisException):
+        read_sales(spark, str(path)).count()
+
+
+def test_two_streams_into_one_table(spark, make_reports, tmp_path):
+    path = str(tmp_path / "sales")
+    for k, address in enumerate(["9 Old Gulph Rd", "11 Old Gulph Rd"]):
+        landed = str(tmp_path / f"landed{k}")
+        make_reports({"address": address}).write.parquet(landed)
+        incremental_resolve(
+            spark, landed, path, SPECS, str(tmp_path / f"checkpoint{k}"), buckets=4
+        ).awaitTermination()
+    assert sorted(r.address for r in read_sales(spark, path).collect()) == ["11 Old Gulph Rd", "9 Old Gulph Rd"]
+
+
+def test_older_reports_are_refused(spark, make_reports, tmp_path):
+    path = str(tmp_path / "sales")
+    apply_batch(make_reports({}), path, SPECS, buckets=4)
+    with pytest.raises(ValueError, match="doesn't come after"):
+        apply_batch(make_reports({}), path, SPECS)
