@@ -100,7 +100,7 @@ def weigh(rows: DataFrame, ratio: Ratio, id_column: str, text_column: str) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(piece.first, size),
-                        pa.array(np.bincount(row, logs[bucket], size)),
+                        pa.array(np.bincount(row, logs[bucket], size).astype(np.float64)),
                         pa.array(np.bincount(row, minlength=size), pa.int64()),
                     ],
                     names=["id", "log_weight", "grams"],
