@@ -68,6 +68,7 @@ def test_main_text(spark):
         (6, None, None), (7, f"{url}c", ""), (8, "http://two.example/x", "<p>A</p>"),
         (9, "http://two.example/y", "<p>A</p>"), (1, f"{url}a", ARTICLE), (None, f"{url}z", "<main>Here</main> there"),
         (10, f"{url}deep", "<tr><td>x" * 5000),
+        (11, "http://odd.example/", "<p>a<![foo[ x ]]><p>b<![\0[<!DOCTYPE [ <!X"),
     ]
     frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     rows = main_text(frame).collect()
@@ -79,6 +80,7 @@ def test_main_text(spark):
     assert (got[6].text, got[6].n_chars, got[7].text) == ("", 0, "")
     assert got[8].text == got[9].text == "A"  # a copy isn't boilerplate
     assert got[None].text == "Here"
+    assert got[11].text.startswith("a\n\nb")
     assert got[10].text.count("x") == 5000
     assert all(r.n_chars == len(r.text) for r in rows)
     assert main_text(frame.limit(0)).count() == 0
