@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.places import normalize_municipality
 from ..functions.prose import extract_address, extract_price, parse_feed_date
 from ..functions.text import blank_to_null
-from ..schema import Area, local_frame, small_side
+from ..schema import Area, local_frame
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Place:
     ord: int
 
 
-# Beyond this many names one pattern over all of them costs more than a join.
+# Names of one pattern.
 PATTERN_NAMES = 500
 _WORDS = r"(?U)[^\w]+"
 
@@ -48,55 +48,32 @@ def known_places(
     return list(places.values())
 
 
-def gazetteer_match(texts: DataFrame, key: str, places: Sequence[Place]) -> DataFrame:
+def gazetteer_match(texts: DataFrame, places: Sequence[Place]) -> DataFrame:
     """Add `place`: the longest known name that stands as whole words in `text`.
 
-    Ties go to the name listed first. A usual list of names is one pattern that finds,
-    at every word, the longest name starting there: no join and no shuffle. For a long
-    list the text's runs of words are joined with the names by equality.
+    Ties go to the name listed first. Each pattern holds a part of the names and finds, at every
+    word, the longest of them that starts there: no join, no shuffle, and no key to join on.
     """
     if not places:
         return texts.withColumn("place", F.lit(None).cast("string"))
-    if len(places) > PATTERN_NAMES:
-        return _gazetteer_join(texts, key, places)
     by_length = sorted(places, key=lambda p: (-len(p.name), p.ord))
-    names = "|".join(r"\Q" + p.name + r"\E" for p in by_length)
-    found = F.regexp_extract_all(
-        normalize_municipality(F.col("text")), F.lit(rf"(?U)\b(?=({names})\b)"), F.lit(1)
-    )
-    # Place in the sorted list: the smallest is the longest name, listed first.
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(by_length) for x in (p.name, i + 1)])
+    text = normalize_municipality(F.col("text"))
+    firsts = []
+    for start in range(0, len(by_length), PATTERN_NAMES):
+        part = by_length[start : start + PATTERN_NAMES]
+        names = "|".join(r"\Q" + p.name + r"\E" for p in part)
+        found = F.regexp_extract_all("normalized", F.lit(rf"(?U)\b(?=({names})\b)"), F.lit(1))
+        # Place in the sorted list: the smallest is the longest name, listed first.
+        order = F.create_map(*[F.lit(x) for i, p in enumerate(part) for x in (p.name, start + i + 1)])
+        firsts.append(F.array_min(_looked_up(found, order)))
     shown = F.array(*[F.lit(p.display) for p in by_length])
-    first = F.array_min(F.transform(found, lambda n: F.try_element_at(order, n)))
-    return texts.withColumn("place", F.try_element_at(shown, first))
+    first = F.array_min(F.array(*firsts))
+    normalized = texts.withColumn("normalized", text)
+    return normalized.withColumn("place", F.try_element_at(shown, first)).drop("normalized")
 
 
-def _gazetteer_join(texts: DataFrame, key: str, places: Sequence[Place]) -> DataFrame:
-    rows = [(p.name, p.words, p.display, p.ord) for p in places]
-    names = local_frame(
-        texts.sparkSession, rows, "name STRING, words STRING, display STRING, ord INT"
-    )
-    longest = max(len(p.words.split(" ")) for p in places)
-    normalized = texts.select(key, normalize_municipality(F.col("text")).alias("normalized"))
-    words = normalized.withColumn("w", F.split("normalized", _WORDS))
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice("w", i, n), " "),
-            ),
-        )
-    )
-    candidates = words.select(key, "normalized", F.explode(F.array_distinct(runs)).alias("words"))
-    hits = candidates.join(small_side(names, len(rows)), "words").filter(
-        # Word runs ignore what stands between the words; the name itself does not.
-        F.expr(r"rlike(normalized, concat('(?U)\\b\\Q', name, '\\E\\b'))")
-    )
-    best = hits.groupBy(key).agg(
-        F.max_by("display", F.struct(F.length("name"), -F.col("ord"))).alias("place")
-    )
-    return texts.join(best, key, "left")
+def _looked_up(found: Column, order: Column) -> Column:
+    return F.transform(found, lambda name: F.try_element_at(order, name))
 
 
 def extract_reports_from_text(
@@ -126,7 +103,7 @@ def extract_reports_from_text(
             )
         )
     )
-    placed = gazetteer_match(sold, "record_ord", places)
+    placed = gazetteer_match(sold, places)
     return placed.select(
         "record_ord",
         F.lit(source).alias("source"),

@@ -75,7 +75,9 @@ def _ranked_page(sales: DataFrame, limit: int, offset: int) -> DataFrame:
     ordered = stage(sales.orderBy(*_newest_first()), "ordered")
     rows = ordered.select("*", F.col("_metadata.file_name").alias("_file"),
                           F.col("_metadata.row_index").alias("_row"))
-    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy("_file").collect()
+    # Files are numbered in the order of their ranges; as text the numbers wouldn't sort.
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy(number).collect()
     starts, total = [], 0
     for row in counts:
         starts.append((row["_file"], total))

@@ -509,12 +509,12 @@ def _scan_html(spark, folder):
     pages = spread(X.table(spark, folder, "pages"), "page_id").select(
         F.lit("pages").alias("source"), F.col("page_id").alias("page_no"), F.col("html").alias("body"), "url"
     )
-    rows = scan_html_rows(pages, "nav li", {"address": "a", "source_url": "a"})
+    rows, _ = scan_html_rows(pages, "nav li", {"address": "a", "source_url": "a"})
     return rows.select(F.col("page_no").alias("page_id"), F.col("cells")["source_url"].alias("link"))
 
 
 def _html_reports(spark, folder):
-    rows = scan_html_rows(transfer_pages(spark, folder), "table.transfers tbody > tr", _CELL_MAP)
+    rows, _ = scan_html_rows(transfer_pages(spark, folder), "table.transfers tbody > tr", _CELL_MAP)
     ordered = reports_union([html_reports(rows)], [SourceSpec("landed", 40)])
     usable = parse_reports(ordered).filter("unusable IS NULL").withColumn("record_ord", F.col("seq"))
     return usable.select(
@@ -528,7 +528,7 @@ def _strip_html(spark, folder):
 
 def _gazetteer(spark, folder):
     places_ = known_places(spark, (), X.PLACES)
-    return gazetteer_match(_texts(spark, folder), "record_ord", places_).select("record_ord", "place")
+    return gazetteer_match(_texts(spark, folder), places_).select("record_ord", "place")
 
 
 def _scan_feed(spark, folder):

@@ -50,10 +50,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table of few files over all cores before heavy per-row work.
+    """Spread a table of few scan tasks over all cores before heavy per-row work.
 
-    A file with one row group is read by one task. Tables with at least a file per
-    core pass unchanged.
+    A file with one row group is read by one task. A table whose scan already has a task per
+    core, whatever its files, passes unchanged; rows and results are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import ROW_TEXT_CHARS
 from ..schema import RAW_REPORT_SCHEMA, page_record_ord
 from ..functions.text import blank_to_null
+from .landed import failure
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
@@ -20,6 +21,18 @@ _VOID = frozenset(
 _NO_TEXT = ("script", "style", "template")
 
 
+_CELLS, _ROWS = ("td", "th"), ("tbody", "thead", "tfoot")
+# Tags whose start ends an open element of its kind, up to the container it stands in.
+_ENDS = {
+    "td": (_CELLS, ("tr", "table")),
+    "th": (_CELLS, ("tr", "table")),
+    "tr": ((*_CELLS, "tr"), (*_ROWS, "table")),
+    **{tag: ((*_CELLS, "tr", *_ROWS), ("table",)) for tag in _ROWS},
+    "li": (("li",), ("ul", "ol")),
+    "option": (("option",), ("select",)),
+}
+
+
 class _Element:
     __slots__ = ("tag", "attrs", "parent", "children", "place", "count")
 
@@ -34,18 +47,27 @@ class _Element:
             parent.children.append(self)
 
     def descendants(self):
-        for child in self.children:
-            if isinstance(child, _Element):
+        """All elements below, in page order; iterative, since pages may nest deeply."""
+        waiting = [iter(self.children)]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+            elif isinstance(child, _Element):
                 yield child
-                yield from child.descendants()
+                waiting.append(iter(child.children))
 
     def strings(self):
-        for child in self.children:
-            if isinstance(child, str):
+        waiting = [iter(self.children)]
+        while waiting:
+            child = next(waiting[-1], None)
+            if child is None:
+                waiting.pop()
+            elif isinstance(child, str):
                 if child.strip():
                     yield child.strip()
             elif child.tag not in _NO_TEXT:
-                yield from child.strings()
+                waiting.append(iter(child.children))
 
     def text(self) -> str:
         return " ".join(self.strings())
@@ -57,6 +79,13 @@ class _Page(HTMLParser):
         self.root = self.open = _Element("", {}, None)
 
     def handle_starttag(self, tag, attrs):
+        if tag in _ENDS:
+            ended, stops = _ENDS[tag]
+            above = self.open
+            while above.parent is not None and above.tag not in stops:
+                if above.tag in ended:
+                    self.open = above.parent
+                above = above.parent
         element = _Element(tag, dict(attrs), self.open)
         if tag not in _VOID:
             self.open = element
@@ -92,7 +121,8 @@ def _compile(selector: str) -> list[tuple[str, list[tuple[str, str]]]]:
                 break
             end = m.end()
             kind = ("class", "id", "nth", "tag")[m.lastindex - 1]
-            conditions.append((kind, m.group(m.lastindex)))
+            value = m.group(m.lastindex)
+            conditions.append((kind, value.lower() if kind == "tag" else value))
         if not simple or end != len(simple):
             raise ValueError(f"selector not supported: {selector!r}")
         steps.append((combinator, conditions))
@@ -101,6 +131,14 @@ def _compile(selector: str) -> list[tuple[str, list[tuple[str, str]]]]:
     return steps
 
 
+def _compile_list(selectors: str) -> list:
+    return [_compile(selector) for selector in selectors.split(",")]
+
+
+def _selected_by(element: _Element, selectors) -> bool:
+    return any(_selected(element, steps) for steps in selectors)
+
+
 def _fits(element: _Element, conditions) -> bool:
     for kind, value in conditions:
         if kind == "tag" and value not in ("*", element.tag):
@@ -131,50 +169,68 @@ def _selected(element: _Element, steps) -> bool:
 
 
 _SCHEMA = (
-    "source STRING, page_no BIGINT, pos INT, cells MAP<STRING, STRING>, row_text STRING, url STRING"
+    "source STRING, page_no BIGINT, pos INT, cells MAP<STRING, STRING>, row_text STRING, url STRING, "
+    "error STRING"
 )
+# Rows that are handed on together.
+_CHUNK = 1000
 
 
 def scan_html_rows(
     payloads: DataFrame, row_selector: str, cell_map: Mapping[str, str]
-) -> DataFrame:
-    """Pages to one row per selected element: source, page_no, pos, cells, row_text, url.
-
-    Cell text has its blanks joined and trimmed; empty cells are absent. The cell
-    mapped to `source_url` yields its link. Selectors know tags, classes, ids,
-    `:nth-child(n)`, descendants and children. One page is parsed at a time.
+) -> tuple[DataFrame, DataFrame]:
+    """Pages to one row per selected element, and a failure row per page that can't be read.
+
+    Rows have source, page_no, pos, cells, row_text, url. Cell text has its blanks joined and
+    trimmed; empty cells are absent. The cell mapped to `source_url` yields its link. Selectors
+    know tags (any case), classes, ids, `:nth-child(n)`, descendants, children, and lists of these
+    separated by commas. Table parts and list items may lack their end tags. One page is parsed at a
+    time, and its rows are handed on in chunks.
     """
-    rows_by = _compile(row_selector)
-    cells_by = {target: _compile(selector) for target, selector in cell_map.items()}
+    rows_by = _compile_list(row_selector)
+    cells_by = {target: _compile_list(selector) for target, selector in cell_map.items()}
     has_url = "url" in payloads.columns
 
+    def read(source, page_no, body, url):
+        page = _Page()
+        page.feed(body or "")
+        page.close()
+        rows = (e for e in page.root.descendants() if _selected_by(e, rows_by))
+        for pos, row in enumerate(rows):
+            cells, missing = {}, dict(cells_by)
+            for e in row.descendants():  # all targets in one walk
+                for target in [t for t, steps in missing.items() if _selected_by(e, steps)]:
+                    del missing[target]
+                    if text := e.text():
+                        cells[target] = text
+                    if target == "source_url" and "href" in e.attrs:
+                        cells[target] = e.attrs["href"]
+                if not missing:
+                    break
+            yield source, page_no, pos, cells, row.text(), url, None
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["source", "page_no", "pos", "cells", "row_text", "url", "error"]
+        out = []
         for batch in batches:
-            out = []
             for source, page_no, body, url in batch.itertuples(index=False):
-                page = _Page()
-                page.feed(body or "")
-                page.close()
-                rows = (e for e in page.root.descendants() if _selected(e, rows_by))
-                for pos, row in enumerate(rows):
-                    cells = {}
-                    for target, steps in cells_by.items():
-                        cell = next((e for e in row.descendants() if _selected(e, steps)), None)
-                        if cell is None:
-                            continue
-                        if text := cell.text():
-                            cells[target] = text
-                        if target == "source_url" and "href" in cell.attrs:
-                            cells[target] = cell.attrs["href"]
-                    out.append((source, page_no, pos, cells, row.text(), url))
-            yield pd.DataFrame(
-                out, columns=["source", "page_no", "pos", "cells", "row_text", "url"]
-            )
+                try:
+                    for row in read(source, page_no, body, url):
+                        out.append(row)
+                        if len(out) == _CHUNK:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
+                except Exception as error:  # whatever a page holds, the others are read
+                    message = f"{source}: page can't be read ({type(error).__name__})"
+                    out.append((source, page_no, None, {}, None, url, message))
+        yield pd.DataFrame(out, columns=columns)
 
     pages = payloads.select(
         "source", "page_no", "body", F.col("url") if has_url else F.lit(None).cast("string").alias("url")
     )
-    return pages.mapInPandas(parse, _SCHEMA)
+    parsed = pages.mapInPandas(parse, _SCHEMA)
+    failures = parsed.filter("error IS NOT NULL").select(*failure("misconfigured", F.col("error")))
+    return parsed.filter("error IS NULL").drop("error"), failures
 
 
 def html_reports(rows: DataFrame) -> DataFrame:
