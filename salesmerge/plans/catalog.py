@@ -9,7 +9,14 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import LISTABLE_COLUMNS, LOOKBACK_DAYS
+from ..fixed_values import (
+    COMMAND_EXPORT_COLUMNS,
+    COMMAND_EXPORT_LIMIT,
+    DASHBOARD_EXPORT_COLUMNS,
+    DASHBOARD_EXPORT_LIMIT,
+    LISTABLE_COLUMNS,
+    LOOKBACK_DAYS,
+)
 from ..functions import addresses, amounts, paths, places, prose
 from ..operators import columns as layer_columns
 from ..operators import query, runs
@@ -168,11 +175,11 @@ def _place_of(column: str = "record_ord"):
 def feature_pages(spark: SparkSession, folder: str) -> DataFrame:
     feature = F.struct(
         F.struct(
-            F.col("address").alias("PROP_ADDR"),
-            F.col("municipality").alias("MUNI"),
+            F.col("address").alias("SITE_LINE"),
+            F.col("municipality").alias("PLACE_NM"),
             F.col("zip_code").alias("ZIP"),
-            F.col("amount").alias("SALE_PRICE"),
-            (F.unix_date("sold").cast("bigint") * 86_400_000).alias("SALE_DATE"),
+            F.col("amount").alias("CONSIDERATION"),
+            (F.unix_date("sold").cast("bigint") * 86_400_000).alias("RECORDED"),
             F.col("price_text").alias("PRICE_TEXT"),
         ).alias("attributes"),
         F.struct(
@@ -186,12 +193,12 @@ def vendor_pages(spark: SparkSession, folder: str) -> DataFrame:
     record = F.struct(
         F.struct(
             F.col("address").alias("line1"),
-            F.col("municipality").alias("locality"),
-            F.col("zip_code").alias("postal1"),
+            F.col("municipality").alias("town"),
+            F.col("zip_code").alias("code"),
         ).alias("address"),
         F.struct(
-            F.struct(F.col("amount").alias("saleamt")).alias("amount"),
-            F.col("sale_date_text").alias("salesearchdate"),
+            F.struct(F.col("amount").alias("total")).alias("amount"),
+            F.col("sale_date_text").alias("day"),
         ).alias("sale"),
         F.array(F.struct((F.col("record_ord") % 5000).alias("size"))).alias("building"),
     )
@@ -232,11 +239,11 @@ def transfer_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FEATURE_MAP = {
-    "address": "PROP_ADDR", "municipality": "MUNI", "zip_code": "ZIP", "county": "COUNTY_NAME",
+    "address": "SITE_LINE", "municipality": "PLACE_NM", "zip_code": "ZIP", "county": "COUNTY_NAME",
 }
 _VENDOR_MAP = {
-    "address": "address", "price": "sale.amount.saleamt", "sale_date": "sale.salesearchdate",
-    "municipality": "address.locality", "zip_code": "address.postal1", "sqft": "building.0.size",
+    "address": "address", "price": "sale.amount.total", "sale_date": "sale.day",
+    "municipality": "address.town", "zip_code": "address.code", "sqft": "building.0.size",
 }
 _CELL_MAP = {
     "address": "td:nth-child(1)", "sale_date": "td:nth-child(2)",
@@ -399,12 +406,12 @@ def _presentation(spark, folder):
     return query.presentation(sales(spark, folder)).drop("seller", "source_url")
 
 
-def _export(spark, folder):
+def _export(spark, folder, columns=COMMAND_EXPORT_COLUMNS, limit=COMMAND_EXPORT_LIMIT):
     path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     table = sales(spark, folder)
-    page = query.query_sales(table, min_price=1_200_000, limit=1_000_000)
-    exported = query.export_rows(page)
-    write_csv(exported, path)
+    page = query.query_sales(table, min_price=1_200_000, limit=limit)
+    exported = query.export_rows(page, columns)
+    write_csv(exported, path, columns)
     fields = ", ".join(
         f"{f.name} {'STRING' if f.name == 'sale_date' else f.dataType.simpleString()}"
         for f in exported.schema.fields
@@ -412,6 +419,10 @@ def _export(spark, folder):
     return spark.read.schema(fields).csv(path, header=True, escape='"')
 
 
+def _export_dashboard(spark, folder):
+    return _export(spark, folder, DASHBOARD_EXPORT_COLUMNS, DASHBOARD_EXPORT_LIMIT)
+
+
 def _log(spark, folder):
     return X.run_log(spark, folder)
 
@@ -481,7 +492,7 @@ def _scan_features(spark, folder):
     placed = features.withColumn("record_ord", page_record_ord(F.col("page_no"), F.col("pos")))
     return placed.select(
         _place_of().alias("record_ord"),
-        as_text(F.try_variant_get("record", "$.PROP_ADDR", "variant")).alias("address"),
+        as_text(F.try_variant_get("record", "$.SITE_LINE", "variant")).alias("address"),
         as_text(F.try_variant_get("record", "$.PRICE_TEXT", "variant")).alias("price_text"),
         "latitude",
     )
@@ -489,7 +500,7 @@ def _scan_features(spark, folder):
 
 def _map_fields(spark, folder):
     features, _ = scan_feature_json(feature_pages(spark, folder))
-    mapped = feature_reports(features, "SALE_PRICE", "SALE_DATE", _FEATURE_MAP, "https://gis.example.org/0")
+    mapped = feature_reports(features, "CONSIDERATION", "RECORDED", _FEATURE_MAP, "https://gis.example.org/0")
     ordered = reports_union([mapped], [SourceSpec("landed", 90, county="Delaware")])
     parsed = parse_reports(ordered)
     return parsed.withColumn("record_ord", F.col("seq")).select(
@@ -612,6 +623,7 @@ def queries() -> dict[str, Query]:
         "market_stats": _market,
         "presentation": _presentation,
         "export_csv": _export,
+        "export_csv_dashboard": _export_dashboard,
         "latest_source_status": _latest_status,
         "last_run": _last_run,
         "run_ok": lambda s, d: runs.run_ok(_log(s, d)),
