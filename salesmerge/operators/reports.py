@@ -89,10 +89,15 @@ def _parsed_once(parsed: DataFrame, keep: Column) -> DataFrame:
     """Filter on parsed columns without parsing twice.
 
     A plain filter would be pushed below the projection and repeat its expressions
-    there; a generator over zero or one row evaluates each of them once.
+    there; a generator over zero or one row of the parsed values evaluates each of them once.
+    The other columns stay outside it, so unused ones are pruned and conditions reach the scan.
     """
-    row = F.struct(*parsed.columns)
-    return parsed.select(F.inline(F.filter(F.array(row), lambda r: r["unusable"].isNull() == keep)))
+    made = ["address", "price", "sale_date", "unusable"]
+    rest = [c for c in parsed.columns if c not in made]
+    found = parsed.select(
+        *rest, F.inline(F.filter(F.array(F.struct(*made)), lambda r: r["unusable"].isNull() == keep))
+    )
+    return found.select(*parsed.columns)
 
 
 def quarantine(raw: DataFrame) -> DataFrame:
