@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEDUPE_WINDOW_DAYS, LOOKBACK_DAYS, MIN_PRICE
@@ -16,6 +16,7 @@ from ..operators.resolve import assign_events, merge_events, rank_lookup, run_to
 from ..operators.runs import drop_failed_sources, run_row, source_runs
 from ..schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, Area, SourceSpec
 from ..session import stage
+from ..sources.landed import read_landed
 from ..sources.tables import append_log, read_log, read_sales, write_sales
 from ..streaming.incremental import check_order
 
@@ -99,3 +100,32 @@ def collect_and_store(folder: str, frames: Sequence[DataFrame], *args, **kwargs)
     append_log(result.source_runs, f"{folder}/source_runs")
     append_log(result.run, f"{folder}/runs")
     return result
+
+
+#: Payload rows of one source to its raw reports and the failures of its pages.
+Scan = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def collect_landed(
+    spark: SparkSession,
+    landed: str,
+    folder: str,
+    scans: Mapping[str, Scan],
+    specs: Sequence[SourceSpec],
+    *args,
+    **kwargs,
+) -> CollectionRun:
+    """A run from landed files to stored sales and logs.
+
+    `scans` has one entry per source. A source with a page that can't be read contributes nothing and
+    is logged with that page's message; a landed source without a scan is left out.
+    """
+    payloads, failures = read_landed(spark, landed)
+    payloads = stage(payloads, "payloads")  # each source reads its own rows
+    frames = []
+    for source, scan in scans.items():
+        rows, failed = scan(payloads.filter(F.col("source") == source))
+        frames.append(rows)
+        failures = failures.unionByName(failed)
+    failures = stage(failures, "failures")
+    return collect_and_store(folder, frames, specs, *args, failures=failures, **kwargs)

@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 from ..fixed_values import ADDRESS_OBJECT_KEYS
 from ..functions.paths import json_path, variant_kind
 from ..functions.text import blank_to_null
-from ..schema import RAW_REPORT_SCHEMA, page_record_ord
+from ..schema import PAGE_RECORD_BITS, RAW_REPORT_SCHEMA, RECORD_BITS, page_record_ord
 
 
-def read_landed(spark: SparkSession, folder: str) -> DataFrame:
-    """Files `<folder>/<source>/<page number>.<anything>` as payload rows."""
+def read_landed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Files `<folder>/<source>/<page number>.<anything>` as payload rows.
+
+    A file whose name doesn't begin with a page number that fits becomes a failure row.
+    """
     files = spark.read.option("wholetext", True).text(f"{folder}/*/*")
-    place = r"([^/]+)/(\d+)[^/]*$"
     path = F.col("_metadata.file_path")
-    return files.select(
-        F.regexp_extract(path, place, 1).alias("source"),
-        F.regexp_extract(path, place, 2).cast("bigint").alias("page_no"),
+    found = files.select(
+        F.regexp_extract(path, r"([^/]+)/[^/]*$", 1).alias("source"),
+        F.regexp_extract(path, r"/(\d+)[^/]*$", 1).try_cast("bigint").alias("page_no"),
+        F.regexp_extract(path, r"([^/]*)$", 1).alias("file"),
         F.col("value").alias("body"),
     )
+    named = F.coalesce(F.col("page_no") < (1 << (RECORD_BITS - PAGE_RECORD_BITS)), F.lit(False))
+    message = F.concat("source", F.lit(": no page number in file name "), "file")
+    return (
+        found.filter(named).drop("file"),
+        found.filter(~named).select(*failure("misconfigured", message)),
+    )
 
 
 def failure(status: str, message: Column) -> list[Column]:

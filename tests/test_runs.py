@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from conftest import AREAS, RUN_TS, SPECS, TODAY
@@ -7,8 +8,12 @@ from pyspark.sql import functions as F
 
 from salesmerge.schema import ingest_seq, page_record_ord
 from salesmerge.operators import runs
-from salesmerge.plans.collect import collect_and_store, collect_run
+from salesmerge.operators.places import extract_reports_from_text, known_places
+from salesmerge.plans.collect import collect_and_store, collect_landed, collect_run
 from salesmerge.schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, SourceSpec
+from salesmerge.sources.feature_json import feature_reports, scan_feature_json
+from salesmerge.sources.feeds import scan_feed_xml
+from salesmerge.sources.html_rows import html_reports, scan_html_rows
 from salesmerge.sources.tables import read_sales
 
 
@@ -126,3 +131,39 @@ def test_order_numbers_that_do_not_fit_fail(spark):
         spark.range(1).select(ingest_seq(F.col("id") + 9000, F.lit(0), F.lit(0))).collect()
     with pytest.raises(Exception, match="place on a page"):
         spark.range(1).select(page_record_ord(F.lit(1), F.col("id") + 200_000)).collect()
+
+
+def test_landed_run(spark, tmp_path):
+    specs = [SourceSpec("county", 90, county="Delaware"), SourceSpec("news", 10), SourceSpec("site", 40)]
+    good = {"features": [{"attributes": {"LINE": "48 S Ivy Ln", "TOWN": "Radnor Township", "P": 1500000, "D": "2026-03-01"}}]}
+    rss = "<rss><channel><item><title>31 Fern Hill Lane, Villanova, $2 million</title><pubDate>Fri, 06 Mar 2026 09:30:00 -0500</pubDate></item></channel></rss>"
+    for name, body in {
+        "county/20260301.json": json.dumps(good), "news/1.xml": rss, "news/2.xml": "<rss><broken",
+        "site/1.html": "<table><tr><td>9 Elm St<td>$1,300,000<td>03/03/2026<td>Wayne",
+    }.items():
+        file = tmp_path / "landed" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(body)
+
+    def county(pages):
+        rows, failed = scan_feature_json(pages)
+        return feature_reports(rows, "P", "D", {"address": "LINE", "municipality": "TOWN"}), failed
+
+    def news(pages):
+        rows, failed = scan_feed_xml(pages)
+        return extract_reports_from_text(rows, "news", known_places(spark, AREAS), "Delaware"), failed
+
+    def site(pages):
+        cells = dict(zip(("address", "price", "sale_date", "municipality"), ("td:nth-child(%d)" % k for k in range(1, 5))))
+        rows, failed = scan_html_rows(pages, "tr", cells)
+        return html_reports(rows).withColumn("county", F.lit("Delaware")), failed
+
+    folder = str(tmp_path / "out")
+    scans = {"county": county, "news": news, "site": site}
+    for run in ("run1", "run2"):
+        collect_landed(spark, str(tmp_path / "landed"), folder, scans, specs, AREAS, TODAY, RUN_TS, run)
+    assert {(r.address, r.source) for r in read_sales(spark, f"{folder}/sales").collect()} == {
+        ("48 S Ivy Ln", "county"), ("9 Elm St", "site")}
+    status = runs.latest_source_status(spark.read.parquet(f"{folder}/source_runs")).collect()
+    assert [(r.run_id, r.source, r.status, r.kept) for r in status] == [
+        ("run2", "county", "ok", 1), ("run2", "news", "misconfigured", 0), ("run2", "site", "ok", 1)]
