@@ -244,20 +244,23 @@ def _unit_rows(rows: DataFrame) -> DataFrame:
 
 
 def fit(
-    labelled: DataFrame,
+    documents: DataFrame,
+    labels: DataFrame,
     sample: int = 8_000,
     landmarks: int = 400,
     negatives: int = 12_000,
     rounds: int = 3,
     seed: int = 7,
 ) -> Machine:
-    """Train on rows (id, toxic, text), a bounded sample of them.
+    """Train on documents (id, text) and labels (id, toxic), a bounded sample of them.
 
     `sample` bounds the learning texts of each label (those of least id hash), `landmarks` the
     kernel's landmarks, `negatives` the clean units of a round. Null labels, ids and texts teach nothing.
     Without a text of each label the machine finds everything clean.
     """
-    usable = labelled.where("id IS NOT NULL AND toxic IN (0, 1) AND text IS NOT NULL")
+    there = documents.where("id IS NOT NULL AND text IS NOT NULL")
+    # Ids are sampled before any text moves; the sample's size bounds the broadcast.
+    usable = labels.where("id IS NOT NULL AND toxic IN (0, 1)").join(there.select("id"), "id", "left_semi")
     chosen = None
     for label in (0, 1):
         own = usable.where(F.col("toxic") == label).select("id", "toxic").distinct()
@@ -265,9 +268,9 @@ def fit(
         chosen = own if chosen is None else chosen.union(own)
     chosen = staged(chosen, "chosen")
     rows = staged(
-        usable.join(F.broadcast(chosen.withColumnRenamed("toxic", "label")), "id")
-        .where("toxic = label")
-        .select("id", F.col("toxic").cast("int").alias("toxic"), "text"),
+        there.join(F.broadcast(chosen), "id").select(
+            "id", F.col("toxic").cast("int").alias("toxic"), "text"
+        ),
         "learning",
     )
     found = staged(_unit_rows(rows), "units")
