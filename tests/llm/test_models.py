@@ -60,16 +60,16 @@ def test_probabilities_sum_to_one(documents):
 
 
 def test_toxicity(spark, documents):
-    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    learning = documents.select(F.col("doc_id").alias("id"), "text")
     labels = documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), "toxic")
-    machine = toxicity.fit(texts, labels)
+    machine = toxicity.fit(learning, labels)
     told = toxicity.toxicity(documents, machine).join(documents, "doc_id").where("doc_id % 5 = 0")
     assert told.where("predicted <> toxic").count() == 0
     texts = ["ka lo z-o-r-b-a-g mi", "ka d r u m o x", "ra zorbbag lo", "ka lo mi", "Plivnik!"]
     odd = spark.createDataFrame([*enumerate(texts), *ODD], "doc_id bigint, text string")
     got = [r.predicted for r in toxicity.toxicity(odd, machine).collect()]
     assert got[:5] == [1, 1, 1, 0, 1] and got[5:9] == [0, 0, 0, 0]
-    never = toxicity.fit(texts, labels.where("toxic = 0"))
+    never = toxicity.fit(learning, labels.where("toxic = 0"))
     assert toxicity.toxicity(odd, never).where("predicted = 1").count() == 0
 
 
