@@ -24,7 +24,7 @@ from salesmerge.llm.hnsw import BEAM, LINKS, Graph
 from salesmerge.llm.rows import components, staged
 
 #: Vectors of a shard and queries of a block; shards are `MIN_SHARDS` at least.
-SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 100_000, 20_000, 6
+SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 100_000, 4_000, 6
 _AUDIT, _RECALL = 128, 0.999
 
 
@@ -196,7 +196,8 @@ def near_duplicate_vectors(
         "dim", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), "id", "n", "vector"
     )
     graph = staged(
-        own.groupBy("dim", "shard").applyInPandas(
+        # The tasks are few and long: a number given here keeps them from being put together.
+        own.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(
             _build,
             "dim int, shard int, id bigint, n bigint, vector array<double>, place int, height int, island boolean, links array<int>",
         ),
@@ -210,9 +211,12 @@ def near_duplicate_vectors(
         F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )
+    task = ["dim", "shard", "block"]
+    tasks = 3 * shards * blocks
     found = staged(
-        queries.groupBy("dim", "shard", "block")
-        .cogroup(nodes.groupBy("dim", "shard", "block"))
+        queries.repartition(tasks, *task)
+        .groupBy(*task)
+        .cogroup(nodes.repartition(tasks, *task).groupBy(*task))
         .applyInPandas(_query(threshold), "x bigint, y bigint, n bigint"),
         "vector-links",
     )
