@@ -1,9 +1,9 @@
 """Benchmark passages inside documents, found by SimHash windows; DataFrame functions only.
 
-A window has as many words as a benchmark item. The windows that are fingerprinted start
-where some item's shingle of five words stands in the document at its place in that item: a window
-without any shared shingle has similarity 0. A fingerprint is 64 bits of SimHash over the
-window's shingles. The search among the items knows nothing of that shared shingle: fingerprints
+A window has as many words as a benchmark item. Every window is fingerprinted that holds enough
+shingles of five words of the items of its size, at whatever place in them, to reach the
+threshold: with fewer the similarity lies below it. A fingerprint is 64 bits of SimHash over the
+window's shingles. The search among the items knows nothing of the shared shingles: fingerprints
 are cut into `radius + 1` blocks, so two within the radius agree in a block (pigeonhole), windows and
 items of one size meet by block, and the Hamming distance is checked. Exact similarity of the
 weighted shingles (weight: how often the shingle occurs) decides.
@@ -81,6 +81,28 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def _starts(at: Column, n: Column, size: Column, length: Column, threshold: float) -> Column:
+    """Starts of all windows with enough shared shingles (sorted places `at`) for the threshold."""
+    own, item = length - (SHINGLE - 1), size - (SHINGLE - 1)
+    need = F.ceil(F.lit(float(threshold)) * (own + item) / F.lit(1.0 + threshold) - F.lit(1e-9))
+    need = F.greatest(F.lit(1), need.cast("int"))
+
+    def run(i: Column) -> Column:
+        # Windows that hold the i-th shared place and the next need - 1, and none before it.
+        low = F.greatest(
+            F.lit(0),
+            F.element_at(at, i + need - 1) - own + 1,
+            F.when(i > 1, F.element_at(at, F.greatest(i - 1, F.lit(1))) + 1).otherwise(0),
+        )
+        high = F.least(F.element_at(at, i), n - length)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    enough = F.size(at) >= need
+    return F.when(
+        enough, F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - need + 1), run))
+    ).otherwise(F.array().cast("array<int>"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -107,49 +129,45 @@ def matches(
     items = staged(
         items.where(F.size("shingles") > 0).withColumn("print", simhash(F.col("shingles"))), "items"
     )
-    places = items.select("size", F.posexplode("shingles").alias("offset", "hash")).distinct()
+    places = items.select("size", F.explode("shingles").alias("hash")).distinct()
     places = _small(staged(places, "places"))
 
     keyed = documents.select(*keys(id_column, text_column), F.col(text_column).alias("text"))
     hits = (
         keyed.select("__a", "__b", _words(F.col("text")).alias("words"))
-        .select("__a", "__b", F.posexplode(_shingles(F.col("words"))).alias("at", "hash"))
+        .select("__a", "__b", F.size("words").alias("n"), "words")
+        # Not a column first: Spark would filter it by its size, its words split anew for each shingle.
+        .select("__a", "__b", "n", F.posexplode(_shingles(F.col("words"))).alias("at", "hash"))
         .join(places, "hash")
-        .select("__a", "__b", "size", (F.col("at") - F.col("offset")).alias("start"))
+        .groupBy("__a", "__b", "n", "size")
+        .agg(F.sort_array(F.collect_set("at")).alias("at"))
+        .withColumn("length", F.least("size", "n"))
+        .withColumn("starts", _starts(F.col("at"), F.col("n"), F.col("size"), F.col("length"), threshold))
+        .where(F.size("starts") > 0)
         .groupBy("__a", "__b")
-        .agg(F.collect_set(F.struct("size", "start")).alias("windows"))
+        .agg(F.collect_list(F.struct("size", "length", "starts")).alias("windows"))
     )
     hits = staged(hits, "hits")
 
-    def window(w: Column, n: Column) -> Column:
-        length = F.least(w["size"], n)
-        return F.struct(
-            w["size"].alias("size"),
-            length.alias("length"),
-            F.greatest(F.lit(0), F.least(w["start"], n - length)).alias("start"),
-        )
-
     marked = (
         keyed.join(_small(hits), ["__a", "__b"])
         .select("__a", "__b", "windows", _words(F.col("text")).alias("words"))
-        .select("__a", "__b", "windows", F.size("words").alias("n"), _shingles(F.col("words")).alias("all"))
+        .select("__a", "__b", "windows", _shingles(F.col("words")).alias("all"))
+    )
+    shown = F.transform(
+        "windows",
+        lambda w: F.transform(
+            w["starts"],
+            lambda s: F.struct(
+                w["size"].alias("size"),
+                s.alias("start"),
+                F.slice(F.col("all"), s + 1, w["length"] - (SHINGLE - 1)).alias("shingles"),
+            ),
+        ),
     )
     prints = (
-        marked.select(
-            "__a",
-            "__b",
-            "all",
-            F.explode(
-                F.array_distinct(F.transform("windows", lambda w: window(w, F.col("n"))))
-            ).alias("w"),
-        )
-        .select(
-            "__a",
-            "__b",
-            F.col("w.size").alias("size"),
-            F.col("w.start").alias("start"),
-            F.expr(f"slice(all, w.start + 1, w.length - {SHINGLE - 1})").alias("shingles"),
-        )
+        marked.select("__a", "__b", F.explode(F.flatten(shown)).alias("w"))
+        .select("__a", "__b", "w.size", "w.start", "w.shingles")
         .withColumn("print", simhash(F.col("shingles")))
     )
     prints = staged(prints, "prints")

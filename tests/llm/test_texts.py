@@ -120,3 +120,26 @@ def test_benchmark_passages(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert contamination(frame, none).filter("contaminated").count() == 0
     assert contamination(frame.limit(0), none).count() == 0
+
+
+def test_benchmark_passage_with_parts_moved(spark):
+    rng = random.Random(12)
+    words = [prose(rng, 1) + str(k) for k in range(80)]
+    item, swapped = " ".join(words), " ".join(words[40:] + words[:40])
+    third = " ".join(words[60:] + words[:60])
+    texts = [f"{prose(rng, 50)} {swapped} {prose(rng, 70)}", third, f"{prose(rng, 9)} {item}", prose(rng, 200)]
+    texts += [" ".join(words[k] for k in range(79, -1, -1)), f"{swapped} {swapped}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = {r.doc_id: (r.contaminated, r.similarity) for r in contamination(frame, items).collect()}
+
+    def best(text):
+        parts = text.split(" ")
+        a = Counter(tuple(words[i : i + 5]) for i in range(76))
+        windows = [parts[s : s + 80] for s in range(max(1, len(parts) - 79))]
+        found = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in windows]
+        value = max((a & b).total() / (a | b).total() for b in found)
+        return (True, value) if value >= 0.8 else (False, 0.0)
+
+    assert got == {k: pytest.approx(best(text)) for k, text in enumerate(texts)}
+    assert [k for k, (yes, _) in got.items() if yes] and got[0][0] and not got[4][0]
