@@ -6,7 +6,7 @@ import pytest
 from salesmerge.llm import embedding_dedup
 from salesmerge.llm.embedding_dedup import near_duplicate_vectors
 from salesmerge.llm.hnsw import Graph
-from salesmerge.llm.html_text import main_text, shared_lines
+from salesmerge.llm.html_text import main_text, read, shared_lines
 
 
 @pytest.mark.parametrize("shard_rows", [100_000, 200])
@@ -97,3 +97,25 @@ def test_longest_common_subsequence():
         shared = shared_lines(a, b)
         rest = iter(b)
         assert len(shared) == size[-1][-1] and all(a[k] in rest for k in sorted(shared))
+
+
+def test_names_never_exclude_the_text():
+    article = "<article><h1>Head</h1><p>First line of it</p><div class=share>Tell</div></article>"
+    for start in (
+        '<div class="layout has-sidebar">', '<div id="page" class="no-comments">', '<div class="share-enabled">',
+        '<div class="search-result">', '<div class="search">', '<section id="widget"><div class="legal">', "<form>",
+    ):
+        text, _ = read(f"{start}{article}<div class=comments><article>Mine too</article></div>")
+        assert text == ["Head", "First line of it"], start
+    text, _ = read(f"{article}<div class=comments><article>{'Mine too ' * 50}</article></div>")
+    assert text == ["Head", "First line of it"]
+    plain = "<div class=legal><p>Terms of this long page</p><p>and their end</p></div><div class=ad>Buy</div>"
+    assert read(plain) == (None, ["Terms of this long page", "and their end"])
+
+
+def test_a_teaser_is_not_the_text():
+    long = "<div><p>The whole text stands in plain containers</p><p>and goes on here</p></div>"
+    lines = ["The whole text stands in plain containers", "and goes on here", "See also"]
+    teaser = "<article>See also</article>"
+    assert read(long + teaser) == (None, lines)
+    assert read(f"<main>{long}{teaser}</main><p>loose") == (lines, ["loose"])
