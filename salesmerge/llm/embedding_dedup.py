@@ -4,7 +4,8 @@ Equal vectors are one class from the start. Classes are dealt into shards by has
 each shard's graph. Every class then queries every shard, in blocks of queries, so a task holds one
 shard and one block. A query whose whole beam lies above the threshold is asked again
 with a beam twice as wide, until its links end inside the beam. The block's audit queries are
-compared with the whole shard; while their recall is too low, all its beams are doubled.
+compared with the whole shard, each weighing the same; while their recall is too low, all its beams
+are doubled.
 
 Found pairs are verified by cosine in double precision. A task keeps, for each query, the number
 of its links, and a spanning set of links that connects the same components, so the rows that leave
@@ -25,7 +26,8 @@ from salesmerge.llm.rows import components, staged
 
 #: Vectors of a shard and queries of a block; shards are `MIN_SHARDS` at least.
 SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 100_000, 4_000, 6
-_AUDIT, _RECALL = 128, 0.999
+#: Audited queries of each stratum, their mean recall, and the recall each must reach.
+_AUDIT, _RECALL, _LEAST = 128, 0.999, 0.99
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -78,18 +80,37 @@ def _hits(graph: Graph, queries: np.ndarray, threshold: float, beam: int):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (todo, todo)
 
 
-def _audit(graph: Graph, queries, row, node, threshold: float) -> float:
-    """Share of the true links of some queries, with and without found links, that were found."""
-    linked = np.unique(row)
-    step = max(1, len(linked) // _AUDIT)
-    other = np.arange(0, len(queries), max(1, len(queries) // _AUDIT))
-    chosen = np.unique(np.concatenate([linked[::step][:_AUDIT], other[:_AUDIT]]))
-    true = 0
-    for lo in range(0, len(graph.vectors), 50_000):
-        part = graph.vectors[lo : lo + 50_000]
-        true += int((queries[chosen].astype(np.float32) @ part.T >= threshold + 1e-6).sum())
-    found = int(np.isin(row, chosen).sum())
-    return 1.0 if not true else min(1.0, found / true)
+def _audit(graph: Graph, queries, row, node, threshold: float, selves: np.ndarray | None = None) -> float:
+    """Least mean recall of audited queries with no, few and many found links; 0 if one query's is too low.
+
+    Every query weighs the same; its own node (`selves`, -1 if elsewhere) is no link.
+    """
+    selves = np.full(len(queries), -1) if selves is None else selves
+    links = np.bincount(row[node != selves[row]], minlength=len(queries))
+    rng = np.random.default_rng(len(queries))
+    worst = 1.0
+    for stratum in (links == 0, (links > 0) & (links <= LINKS), links > LINKS):
+        chosen = np.flatnonzero(stratum)
+        if len(chosen) > _AUDIT:
+            chosen = np.sort(rng.choice(chosen, _AUDIT, replace=False))
+        if not len(chosen):
+            continue
+        place = np.full(len(queries), -1)
+        place[chosen] = np.arange(len(chosen))
+        known = np.flatnonzero(place[row] >= 0)
+        true, missed = np.zeros(len(chosen)), np.zeros(len(chosen))
+        for lo in range(0, len(graph.vectors), 50_000):
+            part = graph.vectors[lo : lo + 50_000]
+            near = queries[chosen].astype(np.float32) @ part.T >= threshold + 1e-6
+            own = np.flatnonzero((selves[chosen] >= lo) & (selves[chosen] < lo + len(part)))
+            near[own, selves[chosen][own] - lo] = False
+            true += near.sum(1)
+            here = known[(node[known] >= lo) & (node[known] < lo + len(part))]
+            near[place[row[here]], node[here] - lo] = False
+            missed += near.sum(1)
+        recall = 1 - missed / np.maximum(true, 1)
+        worst = min(worst, float(recall.mean()) if recall.min() >= _LEAST else 0.0)
+    return worst
 
 
 def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +138,9 @@ def _query(threshold: float):
             return empty
         graph, exact = _restore(nodes.sort_values("place", ignore_index=True))
         asked = _unit(queries["vector"])
+        own, other = queries["id"].to_numpy(), nodes.sort_values("place")["id"].to_numpy()
+        at = np.minimum(np.searchsorted(other, own), len(other) - 1)  # places are in the order of ids
+        selves = np.where(other[at] == own, at, -1)
         beam = BEAM
         while True:
             row, node = _hits(graph, asked, threshold, beam)
@@ -126,10 +150,9 @@ def _query(threshold: float):
             )
             good = cosine >= threshold
             row, node = row[good], node[good]
-            if beam >= len(exact) or _audit(graph, asked, row, node, threshold) >= _RECALL:
+            if beam >= len(exact) or _audit(graph, asked, row, node, threshold, selves) >= _RECALL:
                 break
             beam *= 2
-        own, other = queries["id"].to_numpy(), nodes.sort_values("place")["id"].to_numpy()
         size = nodes.sort_values("place")["n"].to_numpy()
         apart = own[row] != other[node]
         row, node = row[apart], node[apart]

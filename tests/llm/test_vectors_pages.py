@@ -1,6 +1,7 @@
 """Vector links and page texts against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from salesmerge.llm import embedding_dedup
@@ -119,3 +120,20 @@ def test_a_teaser_is_not_the_text():
     teaser = "<article>See also</article>"
     assert read(long + teaser) == (None, lines)
     assert read(f"<main>{long}{teaser}</main><p>loose") == (lines, ["loose"])
+
+
+def _groups(rng, n, size):
+    """Unit vectors: one group of `size` near copies, pairs of near copies, the rest apart."""
+    x = rng.normal(size=(n, 32))
+    x[:size] = x[0] + 0.01 * rng.normal(size=(size, 32))
+    x[size + 1 : size + 200 : 2] = x[size : size + 200 : 2] + 0.01 * rng.normal(size=(100, 32))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_audit_weighs_every_query_the_same():
+    x = _groups(np.random.default_rng(3), 2400, 1500)
+    graph = Graph(x.astype(np.float32), [np.arange(2400)], [])
+    row, node = np.nonzero(x @ x.T >= 0.95)
+    assert embedding_dedup._audit(graph, x, row, node, 0.95, np.arange(2400)) == 1
+    lost = (row >= 1500) & (row != node)  # each pair loses its only link
+    assert embedding_dedup._audit(graph, x, row[~lost], node[~lost], 0.95) < embedding_dedup._RECALL
