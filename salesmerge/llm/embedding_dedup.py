@@ -5,7 +5,7 @@ each shard's graph. Every class then queries every shard, in blocks of queries,
 shard and one block. A query whose whole beam lies above the threshold is asked again
 with a beam twice as wide, until its links end inside the beam. The block's audit queries are
 compared with the whole shard, each weighing the same; while their recall is too low, all its beams
-are doubled.
+are doubled. Where a beam would read as many nodes as the shard has, the shard is compared whole.
 
 Found pairs are verified by cosine in double precision. A task keeps, for each query, the number
 of its links, and a spanning set of links that connects the same components, so the rows that leave
@@ -66,13 +66,19 @@ def _hits(graph: Graph, queries: np.ndarray, threshold: float, beam: int):
     todo, out = np.arange(len(queries)), []
     single = queries.astype(np.float32)
     while len(todo):
-        beam = min(beam, n)
+        if beam * LINKS >= n:  # a walk is no cheaper than the whole shard, and not exact
+            for lo in range(0, len(todo), 256):
+                part = todo[lo : lo + 256]
+                for to in range(0, n, 50_000):
+                    row, col = np.nonzero(single[part] @ graph.vectors[to : to + 50_000].T >= floor)
+                    out.append((part[row], col + to))
+            break
         again = []
         for lo in range(0, len(todo), 2048):
             part = todo[lo : lo + 2048]
-            ids, sims = graph.search(single[part], beam)
+            ids, sims = graph.search(single[part], beam, floor=floor)
             good = sims >= floor
-            full = good.sum(1) >= max(1, beam - beam // 8) if beam < n else np.zeros(len(part), bool)
+            full = good.sum(1) >= max(1, beam - beam // 8)
             row, col = np.nonzero(good & ~full[:, None])
             out.append((part[row], ids[row, col]))
             again.append(part[full])
@@ -150,7 +156,7 @@ def _query(threshold: float):
             )
             good = cosine >= threshold
             row, node = row[good], node[good]
-            if beam >= len(exact) or _audit(graph, asked, row, node, threshold, selves) >= _RECALL:
+            if beam * LINKS >= len(exact) or _audit(graph, asked, row, node, threshold, selves) >= _RECALL:
                 break
             beam *= 2
         size = nodes.sort_values("place")["n"].to_numpy()

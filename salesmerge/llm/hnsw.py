@@ -130,9 +130,13 @@ class Graph:
         )
 
     def search(
-        self, queries: np.ndarray, beam: int, level: int = 0, entry: np.ndarray | None = None
+        self, queries: np.ndarray, beam: int, level: int = 0, entry: np.ndarray | None = None,
+        floor: float = np.inf,
     ) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and similarities of the `beam` nearest found (unordered; -1 and -inf pad)."""
+        """Ids and similarities of the `beam` nearest found (unordered; -1 and -inf pad).
+
+        Walks also start at every island of similarity `floor`, at the four nearest at least.
+        """
         ids = np.full((len(queries), beam), -1, np.int64)
         sims = np.full((len(queries), beam), -np.inf, np.float32)
         block = int(np.clip(20_000_000 // len(self.vectors), 16, 512))
@@ -146,7 +150,7 @@ class Graph:
                 starts, _ = self._walk(part, starts, 4, upper, stamp)
             if level == 0 and len(self.islands):
                 near = part @ self.vectors[self.islands].T
-                k = min(4, len(self.islands))
+                k = min(max(4, int((near >= floor).sum(1).max())), len(self.islands))
                 nearest = self.islands[np.argpartition(-near, k - 1, axis=1)[:, :k]]
                 starts = np.concatenate([starts, nearest], axis=1)
             if entry is not None and level == len(self.layers) - 1:

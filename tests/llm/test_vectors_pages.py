@@ -137,3 +137,13 @@ def test_audit_weighs_every_query_the_same():
     assert embedding_dedup._audit(graph, x, row, node, 0.95, np.arange(2400)) == 1
     lost = (row >= 1500) & (row != node)  # each pair loses its only link
     assert embedding_dedup._audit(graph, x, row[~lost], node[~lost], 0.95) < embedding_dedup._RECALL
+
+
+def test_unreachable_nodes_are_found():
+    x = _groups(np.random.default_rng(4), 2400, 300)
+    nodes = pd.DataFrame({"id": np.arange(2400), "place": np.arange(2400), "n": 1, "height": 0, "island": False})
+    nodes["vector"], nodes["links"] = list(x), [np.full(32, -1)] * 2400
+    got = embedding_dedup._query(0.95)(nodes[["id", "vector"]], nodes)
+    linked = got[got.x == got.y].set_index("x").n
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    assert linked.to_dict() == {k: v for k, v in enumerate(true) if v}
