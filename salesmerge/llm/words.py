@@ -7,6 +7,7 @@ own. So memory follows the longest single text, never the batch or the partition
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -104,9 +105,11 @@ def _byte_values(fold: bool) -> np.ndarray:
 
 
 _VALUES = {fold: _byte_values(fold) for fold in (False, True)}
-_BREAKS = {
-    marks: np.isin(np.arange(256), sorted(marks)) for marks in (SPACES, MARKS)
-}
+
+
+@cache
+def _breaks(marks: frozenset[int]) -> np.ndarray:
+    return np.isin(np.arange(256), sorted(marks))
 
 
 def words(piece: Slice, marks: frozenset[int] = SPACES, fold: bool = False) -> Words:
@@ -115,7 +118,7 @@ def words(piece: Slice, marks: frozenset[int] = SPACES, fold: bool = False) -> W
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64))
-    inside = ~_BREAKS[marks][data]
+    inside = ~_breaks(marks)[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
