@@ -3,10 +3,10 @@
 Every document becomes token ids; those longer than a sequence are cut, and the pieces are dealt
 to partitions of bounded size. A partition packs its pieces by best-fit decreasing and certifies its
 number of sequences by a dual-feasible function: one that gives no full sequence a weight
-above 1, so the weights' sum is a lower bound for any packing. Sequences of a partition that
-together stay short of that weight are a gap; the documents of its emptiest sequences are
-exchanged, that is dealt anew with those of all other partitions, and packed again until nothing
-is gained.
+above 1, so the weights' sum is a lower bound for any packing. A partition that needs more
+sequences than its bound has a gap and exchanges all its pieces; one that meets its bound exchanges
+those of its emptiest sequences, which the bound's rounding leaves. They are dealt anew to fewer
+and larger partitions and packed again, until nothing is gained.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesmerge.llm.rows import staged
-from salesmerge.llm.words import gather, slices, words
+from salesmerge.llm.words import Slice, gather, slices, words
 
-#: Pieces of a partition, about.
-GROUP = 8_192
-#: A partition keeps sequences whose missing weight adds up to at most this part of a sequence.
-KEPT_GAP = 0.125
+#: Pieces of a partition, about; it doubles with each exchange, so many times at most.
+GROUP, DOUBLINGS = 8_192, 3
+#: A certified partition keeps sequences whose missing weight adds up to this part of one at most.
+KEPT_GAP = 0.02
 #: Ids of known words that a worker holds before it starts anew.
-KNOWN_IDS = 4 << 20
+KNOWN_IDS = 8 << 20
 
 
 # --- token ids ------------------------------------------------------------------------------
@@ -49,41 +49,53 @@ class _Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        special = [(t.content, k) for k, t in self.library.get_added_tokens_decoder().items() if t.special]
+        self.mark, self.mark_id = min(special, default=(None, -1))
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.bounds = [0]
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-        need = self.bounds[-1] + sum(map(len, found))
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
-        for key, ids in zip(keys, found, strict=True):
-            start = self.bounds[-1]
-            self.flat[start : start + len(ids)] = ids
-            self.known[key] = len(self.bounds) - 1
-            self.bounds.append(start + len(ids))
-
-    def ids(self, piece, end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each word. A special token between the words tells them apart in one call."""
+        if self.mark is None or any(self.mark[:2] in text for text in texts):
+            return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        whole = self.library.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0]
+        ids = np.array(whole.ids, np.uint32)
+        cuts = np.flatnonzero(ids == self.mark_id)
+        if len(cuts) != len(texts) - 1:
+            raise ValueError("the vocabulary doesn't keep its special tokens apart")
+        starts = np.concatenate([[0], cuts + 1])
+        return [ids[a:b] for a, b in zip(starts.tolist(), [*cuts.tolist(), len(ids)], strict=True)]
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        found = [x for lo in range(0, len(texts), 256) for x in self._encode(texts[lo : lo + 256])]
+        ends = self.bounds[-1] + np.cumsum([len(x) for x in found])
+        slots = np.arange(len(keys)) + len(self.bounds) - 1
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.flat = np.concatenate([self.flat, *found])
+        self.bounds = np.concatenate([self.bounds, ends])
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, (self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool))
+
+    def ids(self, piece: Slice, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each closed by `end`, and the bounds of the texts."""
         if self.bounds[-1] > KNOWN_IDS:
             self._forget()
         read = words(piece)
         distinct, one, back = np.unique(read.hashes, return_index=True, return_inverse=True)
-        known = self.known
-        new = [k for k, key in enumerate(distinct.tolist()) if key not in known]
-        for lo in range(0, len(new), 1024):
-            part = new[lo : lo + 1024]
-            spans = [(read.starts[one[k]], read.ends[one[k]]) for k in part]
-            texts = [piece.data[a:b].tobytes().decode("utf-8") for a, b in spans]
-            self._learn(distinct[part].tolist(), texts)
-        slot = np.array([known[key] for key in distinct.tolist()], np.int64)
-        bounds = np.array(self.bounds, np.int64)
-        start, size = bounds[:-1], np.diff(bounds)
-        own = slot[back] if len(slot) else np.zeros(0, np.int64)
+        new = np.flatnonzero(~self._known(distinct)[1])
+        if len(new):
+            spans = zip(read.starts[one[new]].tolist(), read.ends[one[new]].tolist(), strict=True)
+            data = piece.data.tobytes()
+            self._learn(distinct[new], [data[a:b].decode("utf-8") for a, b in spans])
+        slot = self.slots[self._known(distinct)[0]] if len(distinct) else np.zeros(0, np.int64)
+        start, size = self.bounds[:-1], np.diff(self.bounds)
+        own = slot[back]
         lengths = size[own]
         sums = np.concatenate([[0], np.cumsum(lengths)])
         texts = np.diff(sums[read.rows]) + 1
@@ -230,7 +242,8 @@ def _pack_group(table: pa.Table, limit: int, bound: Bound, last: bool) -> pa.Tab
     by_gap = np.argsort(missing, kind="stable")
     keep = np.cumsum(np.maximum(missing[by_gap], 0)) <= KEPT_GAP * bound.full
     handed = np.ones(n, bool)
-    handed[by_gap[keep]] = False
+    if n == -(-int(bound.weights[length].sum()) // bound.full):  # certified
+        handed[by_gap[keep]] = False
     if last:
         handed[:] = False
     name = np.zeros(n, np.int64)
@@ -263,25 +276,28 @@ def place(pieces: DataFrame, limit: int, group: int = GROUP) -> tuple[DataFrame,
         "key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
     )
     pool, left = pieces.where(F.col("length") < limit).select("key", "length"), int(counts.sum())
-    placed, sequences, before, round_ = [alone], 0, None, 0
+    placed, sequences, before, round_, size = [alone], 0, None, 0, group
     schema = "key bigint, length bigint, sequence_id bigint, offset bigint, open boolean"
     while left:
-        groups = -(-left // group)
+        groups = -(-left // size)
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(groups)))
         packer = _packer(limit, bound, last=groups == 1)
         packed = staged(dealt.groupBy("part").applyInArrow(packer, schema), "packed")
         begins = F.col("offset") == 0
-        n, open_, left = packed.agg(
+        n, open_, handed = packed.agg(
             F.count_if(begins & ~F.col("open")), F.count_if(begins & F.col("open")), F.count_if("open")
         ).first()
-        if before is not None and n + open_ >= before[1]:
+        gains = before is None or n + open_ < before[1]
+        if gains:
+            placed.append(packed.where("NOT open").select("key", "sequence_id", "offset"))
+            sequences += n
+            before = (packed.where("open").select("key", "sequence_id", "offset"), open_)
+            pool, left = packed.where("open").select("key", "length"), handed
+        elif groups == 1 or size >= group << DOUBLINGS:
             placed.append(before[0])  # as good before: keep that
             sequences += before[1]
             break
-        placed.append(packed.where("NOT open").select("key", "sequence_id", "offset"))
-        sequences += n
-        before = (packed.where("open").select("key", "sequence_id", "offset"), open_)
-        pool, round_ = packed.where("open").select("key", "length"), round_ + 1
+        round_, size = round_ + 1, min(2 * size, group << DOUBLINGS)
     whole = placed[0]
     for part in placed[1:]:
         whole = whole.unionByName(part)
