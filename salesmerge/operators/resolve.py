@@ -20,18 +20,23 @@ Three facts let that rule run as ordinary grouped work, whatever the size of a g
   per field the latest outranking report with a value decides, else the earliest
   report with one. That is a maximum, so it combines map-side too.
 
-Dates more than a window apart never interact, so the replay works on date islands.
+Dates more than a window apart never interact, so the replay works on date islands. Its result
+is an interval index: every property's event versions filed under the date bins that they can
+reach, so that a report finds them by an equal (property, bin), however long a history is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import DEDUPE_WINDOW_DAYS
 from ..functions.text import let
@@ -48,8 +53,8 @@ from ..session import stage
 _OPEN_END = 2**63 - 1
 _STATES = "array<struct<event_seq:bigint,day:int,rank:int,from_seq:bigint>>"
 _VERSIONS = "array<struct<event_seq:bigint,day:int,rank:int,from_seq:bigint,to_seq:bigint>>"
-# An island with more versions than this is cut into date slices for lookups.
-_SLICE_VERSIONS = 16
+# An island with more cells than this is replayed with a look-up by date instead of a scan.
+LONG_ISLAND = 64
 # One (date, rank) of a property may hold most reports; its repeats are searched in splits.
 _REPEAT_SPLITS = 32
 _CELL = ("late", "seq", "day", "rank", "last_seq", "n")
@@ -70,8 +75,8 @@ def rank_lookup(reports: DataFrame, specs: Sequence[SourceSpec]) -> DataFrame:
 # --- replay of the (date, rank) state ----------------------------------------------
 
 
-def _near(versions: Column, day: Column, window: int, alive) -> Column:
-    """The nearest live event version: struct(dist, day, event_seq, rank, from_seq)."""
+def _near(versions: Column, day: Column, window: int, alive, more: Sequence[str] = ()) -> Column:
+    """The nearest live event version: struct(dist, day, event_seq, rank, from_seq, `more`)."""
     hits = F.filter(versions, lambda v: alive(v) & (F.abs(v["day"] - day) <= window))
     return F.array_min(
         F.transform(
@@ -82,6 +87,7 @@ def _near(versions: Column, day: Column, window: int, alive) -> Column:
                 v["event_seq"].alias("event_seq"),
                 v["rank"].alias("rank"),
                 v["from_seq"].alias("from_seq"),
+                *[v[name].alias(name) for name in more],
             ),
         )
     )
@@ -194,46 +200,111 @@ def _islands(narrow: DataFrame, window: int) -> DataFrame:
     )
 
 
+def bin_days(window: int) -> int:
+    """Days of a date bin: a version reaches two bins, rarely three."""
+    return 4 * window + 2
+
+
 def _slices(window: int) -> Column:
-    """An island cut by date: each slice with its cells and the versions in reach."""
-    width, reach = 4 * window + 2, 2 * window
-    first, last = F.col("first_day"), F.col("last_day")
+    """An island cut by date bin: the bin's cells, and the versions in reach of it."""
+    width, reach = bin_days(window), 2 * window
 
-    def cut(start: Column) -> Column:
-        end = F.least(start + width - 1, last)
+    def cut(number: Column) -> Column:
+        start = number * width
+        end = start + (width - 1)
         return F.struct(
-            start.alias("first_day"),
-            end.alias("last_day"),
+            number.alias("bin"),
             F.filter("cells", lambda c: c["day"].between(start, end)).alias("cells"),
             F.filter("versions", lambda v: v["day"].between(start - reach, end + reach)).alias("versions"),
         )
 
-    whole = F.struct(
-        first.alias("first_day"), last.alias("last_day"), F.col("cells"), F.col("versions")
-    )
-    return F.when(F.size("versions") <= _SLICE_VERSIONS, F.array(whole)).otherwise(
-        F.filter(
-            F.transform(F.sequence(first, last, F.lit(width)), cut), lambda s: F.size(s["cells"]) > 0
-        )
+    first, last = (F.floor(F.col(c) / width) for c in ("first_day", "last_day"))
+    one = F.array(F.struct(first.alias("bin"), F.col("cells"), F.col("versions")))
+    several = F.filter(F.transform(F.sequence(first, last), cut), lambda s: F.size(s["cells"]) > 0)
+    return F.when(first == last, one).otherwise(several)
+
+
+_CELLS = "array<struct<late:int,seq:bigint,day:int,rank:int,last_seq:bigint,n:bigint>>"
+_SLICE_SCHEMA = (
+    f"property_key string, island bigint, island_n bigint, bin bigint, cells {_CELLS}, versions {_VERSIONS}"
+)
+
+
+def _long_replay(cells: list[dict], window: int) -> list[dict]:
+    """The rule over one island's cells in order, with the live events found by date."""
+    live: dict[int, list[dict]] = defaultdict(list)
+    past = []
+    # Nearest first; of equally near dates the earlier, of one date the older event.
+    steps = [0] + [sign * k for k in range(1, window + 1) for sign in (-1, 1)]
+    for c in cells:
+        there = next((c["day"] + k for k in steps if live.get(c["day"] + k)), None) if c["late"] else None
+        if there is None:
+            opened = {"event_seq": c["seq"], "day": c["day"], "rank": c["rank"], "from_seq": c["seq"]}
+            live[c["day"]].append(opened)
+            continue
+        best = min(live[there], key=lambda v: v["event_seq"])
+        if best["rank"] < c["rank"]:
+            live[there].remove(best)
+            past.append({**best, "to_seq": c["seq"]})
+            live[c["day"]].append({**best, "day": c["day"], "rank": c["rank"], "from_seq": c["seq"]})
+    return past + [{**v, "to_seq": _OPEN_END} for held in live.values() for v in held]
+
+
+def _long_slices(islands: DataFrame, window: int) -> DataFrame:
+    """Replay and cut long islands; each takes time in proportion to its cells."""
+    width, reach = bin_days(window), 2 * window
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in ("property_key", "island", "island_n")}
+                cells = batch.column("cells")[k].as_py()
+                own, near = defaultdict(list), defaultdict(list)
+                for c in cells:
+                    own[c["day"] // width].append(c)
+                for v in _long_replay(cells, window):
+                    for number in range((v["day"] - reach) // width, (v["day"] + reach) // width + 1):
+                        near[number].append(v)
+                out = [{**row, "bin": b, "cells": held, "versions": near[b]} for b, held in own.items()]
+                yield from pa.Table.from_pylist(out, schema=batch.schema).to_batches()
+
+    return islands.select(*_names(_SLICE_SCHEMA)).mapInArrow(replay, _SLICE_SCHEMA)
+
+
+def _names(schema: str) -> list[str]:
+    return [f.name for f in T.StructType.fromDDL(schema)]
+
+
+def _with_windows(slices: DataFrame, window: int) -> DataFrame:
+    return slices.withColumns(
+        {
+            "n": F.aggregate("cells", F.lit(0).cast("bigint"), lambda total, c: total + c["n"]),
+            "open_windows": _open_windows(F.col("cells"), F.col("versions"), window),
+        }
     )
 
 
 def _replayed(islands: DataFrame, window: int) -> DataFrame:
-    versions = islands.withColumn("versions", _replay(F.col("cells"), window))
-    sliced = versions.select("property_key", "island", "island_n", F.inline(_slices(window)))
-    return stage(
-        sliced.withColumns(
-            {
-                "n": F.aggregate("cells", F.lit(0).cast("bigint"), lambda total, c: total + c["n"]),
-                "open_windows": _open_windows(F.col("cells"), F.col("versions"), window),
-            }
-        ),
-        "events",
+    """(property_key, island, island_n, bin, cells, versions, n, open_windows) of all islands."""
+    long = F.size("cells") > LONG_ISLAND
+    # A long island is staged as it is, as one slice without a bin.
+    whole = F.array(F.struct(F.lit(None).cast("bigint").alias("bin"), "cells", "versions"))
+    versions = islands.withColumn(
+        "versions", F.when(~long, _replay(F.col("cells"), window)).otherwise(F.array().cast(_VERSIONS))
+    )
+    sliced = versions.select(
+        "property_key", "island", "island_n", F.inline(F.when(long, whole).otherwise(_slices(window)))
     )
+    held = stage(_with_windows(sliced, window), "events")
+    waiting = held.filter("bin IS NULL")
+    if waiting.isEmpty():
+        return held
+    done = stage(_with_windows(_long_slices(waiting, window), window), "events")
+    return held.filter("bin IS NOT NULL").unionByName(done)
 
 
 def event_versions(narrow: DataFrame, window_days: int) -> DataFrame:
-    """The full (date, rank) history of every event, by property, island and date slice."""
+    """The full (date, rank) history of every event, by property, island and date bin."""
     slices = _replayed(_islands(narrow, window_days), window_days)
     settled = None
     island = ["property_key", "island"]
@@ -262,15 +333,13 @@ def event_versions(narrow: DataFrame, window_days: int) -> DataFrame:
         done = slices.join(gained, island, "left_anti")
         settled = done if settled is None else settled.unionByName(done)
         whole = slices.groupBy(*island).agg(
-            F.min("first_day").alias("first_day"),
-            F.max("last_day").alias("last_day"),
             F.first("island_n").alias("island_n"),
             F.flatten(F.collect_list("cells")).alias("cells"),
         )
+        more = whole.join(gained, island).withColumn("cells", F.sort_array(F.concat("cells", "gained")))
+        days = F.transform("cells", lambda c: c["day"])
         slices = _replayed(
-            whole.join(gained, island)
-            .withColumn("cells", F.sort_array(F.concat("cells", "gained")))
-            .drop("gained"),
+            more.withColumns({"first_day": F.array_min(days), "last_day": F.array_max(days)}).drop("gained"),
             window_days,
         )
     return slices if settled is None else settled.unionByName(slices)
@@ -294,17 +363,33 @@ def _hot_keys(versions: DataFrame, floor: int) -> list[tuple[str, int]]:
     return [(row["property_key"], -(-row["n"] // share)) for row in keys.collect()]
 
 
+def interval_index(versions: DataFrame, on: list[str]) -> DataFrame:
+    """One row per (`on`, bin): all versions that a report in that bin can meet.
+
+    Islands of one bin are more than a window apart, so their versions can stand together.
+    """
+    held = F.transform("versions", lambda v: v.withField("island_n", F.col("island_n")))
+    return (
+        versions.select(*on, "bin", held.alias("versions"))
+        .repartition(*on)
+        .groupBy(*on, "bin")
+        .agg(F.flatten(F.collect_list("versions")).alias("versions"))
+    )
+
+
 def _matched(reports: DataFrame, versions: DataFrame, on: list[str], window: int) -> DataFrame:
-    here = versions.select(*on, "first_day", "last_day", "versions", "island_n")
-    joined = reports.join(here, on).filter(F.col("day").between(F.col("first_day"), F.col("last_day")))
+    """Reports with their events. Both sides are dealt by `on` alone, as merging needs them."""
+    filed = reports.repartition(*on).withColumn("bin", F.floor(F.col("day") / bin_days(window)))
+    joined = filed.join(interval_index(versions, on), [*on, "bin"])
     only = F.col("versions")[0]
     best = F.when(
         F.size("versions") == 1,
         F.struct(
             F.lit(0).alias("dist"), only["day"].alias("day"), only["event_seq"].alias("event_seq"),
             only["rank"].alias("rank"), only["from_seq"].alias("from_seq"),
+            only["island_n"].alias("island_n"),
         ),
-    ).otherwise(_near(F.col("versions"), F.col("day"), window, _at(F.col("seq"))))
+    ).otherwise(_near(F.col("versions"), F.col("day"), window, _at(F.col("seq")), ("island_n",)))
     is_stored = F.col("late") == 0
     return (
         joined.withColumn("best", best)
@@ -312,10 +397,11 @@ def _matched(reports: DataFrame, versions: DataFrame, on: list[str], window: int
             {
                 "event_seq": F.when(is_stored, F.col("seq")).otherwise(F.col("best.event_seq")),
                 "leads": is_stored | (F.col("best.from_seq") == F.col("seq")),
+                "island_n": F.col("best.island_n"),
             }
         )
         .withColumn("is_new", ~is_stored & (F.col("event_seq") == F.col("seq")))
-        .drop("best", "versions", "first_day", "last_day", "stored_seq", "day")
+        .drop("best", "versions", "bin", "stored_seq", "day")
     )
 
 
@@ -395,19 +481,6 @@ def _has_value(value: Column, kind: str) -> Column:
     return value.isNotNull() if kind == "date" else value.isNotNull() & (value != ("" if kind == "string" else 0))
 
 
-def _merge_raw(members: Column) -> Column:
-    """Union of JSON objects; a key comes from the first member, best first, that has it."""
-    as_map = lambda text: F.try_parse_json(text).cast("map<string,variant>")
-    merged = F.aggregate(
-        F.filter(members, lambda m: m["row"]["raw"].isNotNull()),
-        F.create_map().cast("map<string,variant>"),
-        lambda done, m: F.map_concat(
-            done, F.map_filter(as_map(m["row"]["raw"]), lambda k, _: ~F.map_contains_key(done, k))
-        ),
-    )
-    return F.to_json(merged, {"ignoreNullFields": "false"})
-
-
 def merge_events(matches: Matches) -> DataFrame:
     """One merged row per event.
 
@@ -419,61 +492,61 @@ def merge_events(matches: Matches) -> DataFrame:
 
 
 def _merged(assigned: DataFrame) -> DataFrame:
-    """Merge one lane: within each split of a property first, then across its splits.
+    """Merge one lane by maxima that combine before the shuffle.
 
-    Of the reports that fill the same fields and carry the same raw keys only the best
-    can contribute anything, so a plain maximum first leaves one report per such shape.
-    Just these are gathered: a few per event, however many reports it has.
+    Every report of an event that may have several gives one row for its fields and one for each
+    key of its raw object. Per (event, key) the best report decides; then the keys of an event meet.
     """
     kinds = {f.name: f.dataType.typeName() for f in _FIELDS}
-    filled = [F.when(_has_value(F.col(n), kind), F.lit(n)) for n, kind in kinds.items()]
-    shape = F.concat_ws(
-        ",", *filled, F.lit(""), F.array_sort(F.coalesce(F.json_object_keys("raw"), F.array()))
+    several = F.col("island_n") > 1
+    order = F.when(F.col("leads"), F.col("seq") + 1).otherwise(-(F.col("seq") + 1))
+    raw = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
+    entries = F.transform(
+        F.map_entries(F.when(several, raw)),
+        lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")),
     )
-    keyed = assigned.withColumns(
-        {
-            "order": F.when(F.col("leads"), F.col("seq") + 1).otherwise(-(F.col("seq") + 1)),
-            "shape": F.when(F.col("island_n") > 1, shape),
-            "row": F.struct(*kinds, "source", "raw"),
-        }
-    )
-    split = [c for c in ("property_key", "salt") if c in assigned.columns]
-    per_shape = keyed.groupBy(*split, "event_seq", "shape").agg(
-        F.max_by("row", "order").alias("row"),
-        F.max("order").alias("order"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
+    # The row of the fields has no key; an order below all others keeps the fields of key rows out.
+    own = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    rows = assigned.withColumn("order", order).select(
+        "property_key", "event_seq", "order", *kinds, "source", "raw", "first_seen", "last_seen",
+        F.inline(F.concat(own, F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))),
     )
-    per_event = per_shape.groupBy("property_key", "event_seq").agg(
-        F.collect_list(F.struct("order", "row")).alias("members"),
+    is_own = F.col("key").isNull()
+    best = {
+        # A report with a value goes before one without; then the order decides.
+        name: F.max_by(F.when(is_own, F.col(name)), F.when(is_own, F.struct(_has_value(F.col(name), kind), "order")))
+        for name, kind in kinds.items()
+    }
+    per_key = rows.groupBy("property_key", "event_seq", "key").agg(
+        *[c.alias(name) for name, c in best.items()],
+        F.max_by(F.when(is_own, F.col("source")), F.when(is_own, F.col("order"))).alias("source"),
+        F.max_by(F.when(is_own, F.col("raw")), F.when(is_own, F.col("order"))).alias("raw"),
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
+        F.count(F.lit(1)).alias("reports"),
+        F.max_by("value", "order").alias("value"),
     )
-    best_first = F.array_sort(
-        "members", lambda a, b: F.when(a["order"] > b["order"], -1).otherwise(1)
+    held = [*kinds, "source", "raw", "first_seen", "last_seen", "reports"]
+    per_event = per_key.groupBy("property_key", "event_seq").agg(
+        F.first(F.when(is_own, F.struct(*held)), ignorenulls=True).alias("row"),
+        # As many as the merged object has keys.
+        F.sort_array(F.collect_list(F.when(~is_own, F.struct("key", "value")))).alias("entries"),
     )
-    ordered = per_event.withColumn(
-        "members", F.when(F.size("members") > 1, best_first).otherwise(F.col("members"))
+    whole = F.to_json(
+        F.map_from_entries(
+            F.transform("entries", lambda e: F.struct(e["key"], F.parse_json(F.coalesce(e["value"], F.lit("null")))))
+        ),
+        {"ignoreNullFields": "false"},
     )
-    alone = F.size("members") == 1
-    # The first member is the last leading report: without any value its blank stays.
-    lead = F.col("members")[0]["row"]
-
-    def value(name: str, kind: str) -> Column:
-        holders = F.filter("members", lambda m: _has_value(m["row"][name], kind))
-        best = F.try_element_at(holders, F.lit(1))["row"][name]
-        return F.when(alone, lead[name]).otherwise(F.coalesce(best, lead[name]))
-
     event_id = F.sha1(F.concat_ws("|", "property_key", "event_seq").cast("binary"))
-    return ordered.select(
+    return per_event.select(
         F.substring(event_id, 1, 20).alias("event_id"),
         "event_seq",
         "property_key",
-        *[value(name, kind).alias(name) for name, kind in kinds.items()],
-        lead["source"].alias("source"),
-        F.when(alone, lead["raw"]).otherwise(_merge_raw(F.col("members"))).alias("raw"),
-        "first_seen",
-        "last_seen",
+        *[F.col("row")[name].alias(name) for name in [*kinds, "source"]],
+        F.when(F.col("row.reports") > 1, whole).otherwise(F.col("row.raw")).alias("raw"),
+        F.col("row.first_seen").alias("first_seen"),
+        F.col("row.last_seen").alias("last_seen"),
     ).select(*SALE_SCHEMA.fieldNames())
 
 

@@ -8,6 +8,7 @@ import pytest
 from conftest import SPECS
 from pyspark.sql import functions as F
 
+from salesmerge.operators import resolve
 from salesmerge.operators.nearest import nearest_event
 from salesmerge.operators.resolve import (
     assign_events,
@@ -118,6 +119,59 @@ def test_matches_record_by_record_rule(spark, window):
     assert resolved(resolve_events(to_frame(spark, made), RANKED, window)) == expected(made, window)
 
 
+@pytest.mark.parametrize("window", [0, 14])
+def test_long_islands_follow_the_same_rule(spark, monkeypatch, window):
+    monkeypatch.setattr(resolve, "LONG_ISLAND", 1)  # all but single candidates
+    made = histories(30 + window, 80)
+    assert resolved(resolve_events(to_frame(spark, made), RANKED, window)) == expected(made, window)
+
+
+def test_reports_meet_events_by_equal_keys_only(spark):
+    """No range condition is left in a join, and the wide rows are dealt once."""
+    rows = to_frame(spark, histories(3, 10))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = merge_events(assign_events(rank_lookup(rows, RANKED)))
+        plan = merged._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line.split("SortMergeJoin", 1)[1] for line in plan if "SortMergeJoin" in line]
+    assert len(joins) == 1 and "bin" in joins[0]
+    assert "<=" not in joins[0] and ">=" not in joins[0]
+    dealt = [line for line in plan if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and all("hashpartitioning(property_key" in line and "bin" not in line.split("REPARTITION")[0] for line in dealt)
+
+
+def test_a_century_of_dates_takes_bounded_index_rows(spark):
+    """One property, one island of a hundred years: a report reads its bin, not the history."""
+    rows = spark.range(40_000).select(
+        F.col("id").alias("seq"), F.lit("k").alias("property_key"), F.lit(1).alias("late"),
+        F.pmod(F.xxhash64("id"), F.lit(36_500)).cast("int").alias("day"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).cast("int").alias("rank"),
+        F.lit(None).cast("bigint").alias("stored_seq"),
+    )
+    index = resolve.interval_index(event_versions(rows, 14), ["property_key"])
+    sizes = index.agg(F.count("*").alias("bins"), F.max(F.size("versions")).alias("most")).first()
+    assert sizes.bins == -(-36_500 // resolve.bin_days(14)) and sizes.most <= 3 * resolve.bin_days(14) * 3
+
+
+def test_many_raw_key_sets_of_one_event(spark):
+    n = 20_000
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.lit("k").alias("property_key"), F.lit(START).alias("sale_date"),
+        F.concat(F.lit("s"), (F.col("id") % 5).cast("string")).alias("source"), F.col("id").alias("price"),
+        F.format_string('{"k%d": %d, "same": %d, "q\\"%d": null}', F.col("id"), F.col("id"), F.col("id"), F.col("id") % 2).alias("raw"),
+    )
+    rows = rows.select(
+        *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in REPORT_SCHEMA.fields]
+    )
+    (sale,) = resolve_events(rows, RANKED).collect()
+    raw = json.loads(sale.raw)
+    # The last report that outranked the event leads it.
+    assert (sale.price, sale.source, raw["same"]) == (4, "s4", 4)
+    assert len(raw) == n + 3 and raw["k17"] == 17 and raw['q"0'] is None
+
+
 def test_large_property_is_split_and_exact(spark):
     """One property holds most rows; its rows go over several tasks."""
     made = histories(7, 20)
