@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..functions.places import normalize_municipality
 from ..functions.prose import extract_address, extract_price, parse_feed_date
 from ..functions.text import blank_to_null
 from ..schema import Area, local_frame
+from .name_trie import NameTrie, is_word, least_names
 
 
 @dataclass(frozen=True)
@@ -24,7 +26,7 @@ class Place:
     ord: int
 
 
-# Names of one pattern.
+# Names of one pattern; more go into a trie.
 PATTERN_NAMES = 500
 _WORDS = r"(?U)[^\w]+"
 
@@ -51,25 +53,49 @@ def known_places(
 def gazetteer_match(texts: DataFrame, places: Sequence[Place]) -> DataFrame:
     """Add `place`: the longest known name that stands as whole words in `text`.
 
-    Ties go to the name listed first. Each pattern holds a part of the names and finds, at every
-    word, the longest of them that starts there: no join, no shuffle, and no key to join on.
+    Ties go to the name listed first. A short list is one pattern that finds, at every word, the
+    longest name that starts there. A long one is a trie of tokens, whose time doesn't depend on
+    the number of names. No join, no shuffle, and no key to join on.
     """
     if not places:
         return texts.withColumn("place", F.lit(None).cast("string"))
-    by_length = sorted(places, key=lambda p: (-len(p.name), p.ord))
-    text = normalize_municipality(F.col("text"))
-    firsts = []
-    for start in range(0, len(by_length), PATTERN_NAMES):
-        part = by_length[start : start + PATTERN_NAMES]
-        names = "|".join(r"\Q" + p.name + r"\E" for p in part)
-        found = F.regexp_extract_all("normalized", F.lit(rf"(?U)\b(?=({names})\b)"), F.lit(1))
-        # Place in the sorted list: the smallest is the longest name, listed first.
-        order = F.create_map(*[F.lit(x) for i, p in enumerate(part) for x in (p.name, start + i + 1)])
-        firsts.append(F.array_min(_looked_up(found, order)))
-    shown = F.array(*[F.lit(p.display) for p in by_length])
-    first = F.array_min(F.array(*firsts))
-    normalized = texts.withColumn("normalized", text)
-    return normalized.withColumn("place", F.try_element_at(shown, first)).drop("normalized")
+    by_length = list(enumerate(sorted(places, key=lambda p: (-len(p.name), p.ord))))
+    normalized = texts.withColumn("normalized", normalize_municipality(F.col("text")))
+    if len(by_length) <= PATTERN_NAMES:
+        found = _by_pattern(by_length)
+    else:
+        # A name that begins or ends beside its words isn't bounded by tokens.
+        odd = [p for p in by_length if not (is_word(ord(p[1].name[0])) and is_word(ord(p[1].name[-1])))]
+        skipped = {number for number, _ in odd}
+        tokens = [p for p in by_length if p[0] not in skipped]
+        firsts = [_by_pattern(odd[k : k + PATTERN_NAMES]) for k in range(0, len(odd), PATTERN_NAMES)]
+        if tokens:
+            firsts.append(_by_trie(texts.sparkSession, tokens))
+        found = F.array_min(F.array(*firsts))
+    return normalized.withColumn("place", found["display"]).drop("normalized")
+
+
+def _by_pattern(places: Sequence[tuple[int, Place]]) -> Column:
+    """struct(ord, display) of the least-numbered place, found by one pattern."""
+    names = "|".join(r"\Q" + p.name + r"\E" for _, p in places)
+    found = F.regexp_extract_all("normalized", F.lit(rf"(?U)\b(?=({names})\b)"), F.lit(1))
+    # Place in the sorted list: the smallest is the longest name, listed first.
+    order = F.create_map(*[F.lit(x) for k, (_, p) in enumerate(places) for x in (p.name, k + 1)])
+    shown = F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(p.display).alias("display")) for n, p in places])
+    return F.try_element_at(shown, F.array_min(_looked_up(found, order)))
+
+
+def _by_trie(spark: SparkSession, places: Sequence[tuple[int, Place]]) -> Column:
+    """struct(ord, display) of the least-numbered place, found by a trie in Arrow batches."""
+    trie = NameTrie([p.name for _, p in places])
+    # As large as the configured names.
+    shared = spark.sparkContext.broadcast((trie, [p.display for _, p in places], [n for n, _ in places]))
+
+    @F.arrow_udf("struct<ord:int,display:string>")
+    def least(column: pa.Array) -> pa.Array:
+        return least_names(column, *shared.value)
+
+    return least(F.col("normalized"))
 
 
 def _looked_up(found: Column, order: Column) -> Column:

@@ -542,6 +542,15 @@ def _gazetteer(spark, folder):
     return gazetteer_match(_texts(spark, folder), places_).select("record_ord", "place")
 
 
+def _gazetteer_many(spark, folder):
+    """Fifty thousand names, and texts that end with one of seventy thousand."""
+    named = _texts(spark, folder).withColumn(
+        "text", F.concat("text", F.lit(" Quarter "), (F.col("record_ord") % 70_000).cast("string"))
+    )
+    places_ = known_places(spark, (), [*X.PLACES, *(f"Quarter {k}" for k in range(50_000))])
+    return gazetteer_match(named, places_).select("record_ord", "place")
+
+
 def _scan_feed(spark, folder):
     entries, _ = scan_feed_xml(feed_pages(spark, folder))
     return entries.select(
@@ -651,6 +660,7 @@ def queries() -> dict[str, Query]:
             "record_ord", prose.parse_feed_date(F.col("published")).alias("published_on")
         ),
         "gazetteer_match": _gazetteer,
+        "gazetteer_many_names": _gazetteer_many,
         "scan_feed_xml": _scan_feed,
         "extract_reports_from_text": _text_reports,
         "match_columns": lambda s, d: layer_columns.match_columns(_layer(s, d)),
