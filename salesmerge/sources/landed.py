@@ -21,8 +21,7 @@ def read_landed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     files = spark.read.option("wholetext", True).text(f"{folder}/*/*")
     path = F.col("_metadata.file_path")
     found = files.select(
-        F.regexp_extract(path, r"([^/]+)/[^/]*$", 1).alias("source"),
-        F.regexp_extract(path, r"/(\d+)[^/]*$", 1).try_cast("bigint").alias("page_no"),
+        *[value.alias(name) for name, value in landed_page(path).items()],
         F.regexp_extract(path, r"([^/]*)$", 1).alias("file"),
         F.col("value").alias("body"),
     )
@@ -34,6 +33,14 @@ def read_landed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     )
 
 
+def landed_page(path: Column) -> dict[str, Column]:
+    """Source and page number out of a file's path; no page number without leading digits."""
+    return {
+        "source": F.regexp_extract(path, r"([^/]+)/[^/]*$", 1),
+        "page_no": F.regexp_extract(path, r"/(\d+)[^/]*$", 1).try_cast("bigint"),
+    }
+
+
 def failure(status: str, message: Column) -> list[Column]:
     return ["source", "page_no", F.lit(status).alias("status"), message.alias("message")]
 
@@ -65,7 +72,8 @@ def map_fields(
     """Raw-report columns out of `record` (a VARIANT) by a target -> path map.
 
     Unknown targets are ignored. `nested` paths are dotted; otherwise a name is one
-    flat key, dots included. Blank values count as absent.
+    flat key, dots included. Blank values count as absent. Records without a `record_ord` are
+    ordered by page and position.
     """
     record = F.col("record")
 
@@ -89,9 +97,11 @@ def map_fields(
             columns["zip_code"] = F.when(whole, blank_to_null(as_text(value)))
         elif target in RAW_REPORT_SCHEMA.fieldNames():
             columns[target] = blank_to_null(as_text(value))
+    counted = "record_ord" in records.columns
+    order = F.col("record_ord") if counted else page_record_ord(F.col("page_no"), F.col("pos"))
     return records.select(
         "source",
-        page_record_ord(F.col("page_no"), F.col("pos")).alias("record_ord"),
+        order.alias("record_ord"),
         *keep,
         *[c.alias(name) for name, c in columns.items()],
         F.to_json(record).alias("raw"),
