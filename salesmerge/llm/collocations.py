@@ -34,8 +34,10 @@ SLACK = 4
 #: Bits of the filter, as a power of two: 16 MB. Fuller, it only lets more through to the count.
 FILTER_BITS = 27
 #: Counters that a task holds before it hands its summaries on.
-HELD = 4 << 20
-#: Shares in which the phrases that hold a frequent word meet the word's count.
+HELD = 1 << 20
+#: Bytes of text that a task reads at once; a longer text is read whole.
+SLICE = 1 << 20
+#: Shares in which the phrases that begin or end with a word meet the word's count.
 SALTS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -131,7 +133,7 @@ def _read(batches: Iterator[pa.RecordBatch], longest: int):
                 seeds[name] = _seed(name)
         codes = coded.indices.to_numpy()
         own = np.array([seeds[name] for name in names], np.uint64)
-        for piece in slices(batch.column(1)):
+        for piece in slices(batch.column(1), SLICE):
             code = codes[piece.first : piece.last]
             yield ngrams(piece, longest, own[code]), code, names
 
@@ -237,7 +239,7 @@ def _summaries(texts: DataFrame, longest: int, bits: int, mass: np.ndarray, thre
                 pa.array(cells[at]),
                 pa.array([s.given for s in own], pa.int64()),
                 pa.array([s.keys.tobytes() for s in own], pa.binary()),
-                pa.array([s.counts.tobytes() for s in own], pa.binary()),
+                pa.array([s.counts.astype(np.uint32).tobytes() for s in own], pa.binary()),
             ],
             names=["cell", "given", "keys", "counts"],
         )
@@ -271,7 +273,7 @@ def _survivors(summaries: DataFrame, bits: int, mass: np.ndarray, threshold: int
                         yield told(cell, whole)
                     cell, whole = own[k], Summary.empty(int(shared.value[own[k]]))
                 keys = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64)
-                counts = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+                counts = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint32).astype(np.int64)
                 whole.merge(keys, counts, given[k])
         if whole is not None:
             yield told(cell, whole)
@@ -357,12 +359,15 @@ def _span(first: Column | int, size: Column | int) -> Column:
     return F.array_join(F.slice("words", first, size), " ")
 
 
-def _with_counts(cuts: DataFrame, phrases: DataFrame, part: str, name: str) -> DataFrame:
-    """Add the count of the phrase in column `part`; a frequent word's cuts are spread by salt."""
-    salt = F.pmod(F.xxhash64("phrase", "k"), F.lit(SALTS)).cast("int")
+def _with_counts(cuts: DataFrame, phrases: DataFrame, part: str, words: Column, name: str) -> DataFrame:
+    """Add the count of the phrase of `words` words in column `part`; single words are salted.
+
+    A frequent word is part of many phrases; longer parts of far fewer.
+    """
+    salt = F.when(words == 1, F.pmod(F.xxhash64("phrase", "k"), F.lit(SALTS))).otherwise(0).cast("int")
+    last = F.when(F.col("size") == 1, SALTS - 1).otherwise(0)
     counts = phrases.select(
-        "lang", F.col("phrase").alias(part), F.col("f").alias(name),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        "lang", F.col("phrase").alias(part), F.col("f").alias(name), F.explode(F.sequence(F.lit(0), last)).alias("salt")
     )
     return cuts.withColumn("salt", salt).join(counts, ["lang", part, "salt"]).drop("salt")
 
@@ -401,7 +406,8 @@ def collocations(
         "lang", "phrase", "size", F.col("f").alias("a"), "k",
         _span(F.lit(1), F.col("k")).alias("left"), _span(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"),
     )
-    cuts = _with_counts(_with_counts(cuts, phrases, "left", "l"), phrases, "right", "r")
+    cuts = _with_counts(cuts, phrases, "left", F.col("k"), "l")
+    cuts = _with_counts(cuts, phrases, "right", F.col("size") - F.col("k"), "r")
     wide = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     score = F.expr(
         f"(CAST(1000000 AS DECIMAL(7, 0)) * CAST({wide('a')} * {wide('a')} AS DECIMAL(31, 0))) "
