@@ -14,11 +14,18 @@ from ..operators.qualify import label_reports, qualify
 from ..operators.reports import build_report, reports_union
 from ..operators.resolve import assign_events, merge_events, rank_lookup, run_totals
 from ..operators.runs import drop_failed_sources, run_row, source_runs
-from ..schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, Area, SourceSpec
+from ..schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, START_SCHEMA, Area, SourceSpec
 from ..session import stage
 from ..sources.landed import read_landed
-from ..sources.tables import append_log, read_log, read_sales, write_sales
-from ..streaming.incremental import check_order
+from ..sources.tables import (
+    append_log,
+    committed_version,
+    read_log,
+    read_sales,
+    table_buckets,
+    write_sales,
+)
+from ..streaming.incremental import check_order, stored_beside
 
 
 @dataclass
@@ -31,6 +38,28 @@ class CollectionRun:
     run: DataFrame
 
 
+def _labelled(
+    frames: Sequence[DataFrame],
+    specs: Sequence[SourceSpec],
+    areas: Sequence[Area],
+    today: date,
+    run_ts: datetime,
+    run_no: int,
+    failures: DataFrame | None,
+    only: Sequence[str] | None,
+    min_price: int,
+    lookback_days: int,
+) -> DataFrame:
+    """Usable reports of the sources that didn't fail, each with its reason to stay or go; staged."""
+    raw = reports_union(frames, specs, run_no, only)
+    if failures is not None:
+        raw = drop_failed_sources(raw, failures)
+    # Parsing is the costly part and has several readers: the accounting and the matching.
+    return stage(
+        label_reports(build_report(raw, run_ts), areas, today, min_price, lookback_days), "labelled"
+    )
+
+
 def collect_run(
     frames: Sequence[DataFrame],
     specs: Sequence[SourceSpec],
@@ -51,18 +80,17 @@ def collect_run(
 ) -> CollectionRun:
     """Union, normalize, qualify, resolve and account, without writing any result.
 
-    With `started_at` the log rows hold that time and the time when the matching ended; otherwise
-    both are `run_ts`.
+    `run_no` must put the reports after the `stored` events of their properties. With `started_at`
+    the log rows hold that time and the time when the matching ended; otherwise both are `run_ts`.
     """
-    raw = reports_union(frames, specs, run_no, only)
-    if failures is not None:
-        raw = drop_failed_sources(raw, failures)
-    # Parsing is the costly part and has two readers: the accounting and the matching.
-    labelled = stage(
-        label_reports(build_report(raw, run_ts), areas, today, min_price, lookback_days), "labelled"
+    labelled = _labelled(
+        frames, specs, areas, today, run_ts, run_no, failures, only, min_price, lookback_days
     )
     kept = qualify(labelled)
-    before = rank_lookup(stored, specs) if stored is not None else None
+    before = None
+    if stored is not None:
+        check_order(kept, stored)
+        before = rank_lookup(stored, specs)
     # Qualifying and ranking are cheap, so the staged rows are read again as they are.
     assigned = assign_events(rank_lookup(kept, specs), window_days, before, staged=stored is None)
     begun = started_at or run_ts
@@ -75,31 +103,81 @@ def collect_run(
     )
 
 
-def collect_and_store(folder: str, frames: Sequence[DataFrame], *args, **kwargs) -> CollectionRun:
+def start_run(spark: SparkSession, folder: str, run_id: str) -> tuple[int, datetime]:
+    """The run's number and start, recorded before anything else, so that a crashed run can go on.
+
+    A run that is begun again keeps its number, unless another run has begun in between and
+    this one hadn't stored its sales: its reports then come after the other's.
+    """
+    starts = read_log(spark, f"{folder}/starts", START_SCHEMA)
+    last = starts.agg(F.max("run_no")).first()[0] or 0
+    own = starts.filter(F.col("run_id") == run_id).orderBy(F.desc("run_no")).first()
+    if own is not None:
+        stored = committed_version(spark, f"{folder}/sales", f"run {run_id}", own["run_no"])
+        if own["run_no"] == last or stored is not None:
+            return own["run_no"], own["started_at"].replace(tzinfo=timezone.utc)
+    number = max(last, read_log(spark, f"{folder}/runs", RUN_SCHEMA).count()) + 1
+    started = datetime.now(timezone.utc)
+    row = spark.createDataFrame([(number, run_id, started)], START_SCHEMA)
+    append_log(row, f"{folder}/starts")
+    return number, started
+
+
+def _append_once(rows: DataFrame, path: str, schema: str, run_id: str) -> None:
+    if read_log(rows.sparkSession, path, schema).filter(F.col("run_id") == run_id).isEmpty():
+        append_log(rows, path)
+
+
+def collect_and_store(
+    folder: str,
+    frames: Sequence[DataFrame],
+    specs: Sequence[SourceSpec],
+    areas: Sequence[Area],
+    today: date,
+    run_ts: datetime,
+    run_id: str,
+    *,
+    failures: DataFrame | None = None,
+    only: Sequence[str] | None = None,
+    min_price: int = MIN_PRICE,
+    lookback_days: int = LOOKBACK_DAYS,
+    window_days: int = DEDUPE_WINDOW_DAYS,
+) -> CollectionRun:
     """A run whose results land in `folder`: sales, source_runs and runs.
 
-    The run's number, which orders its reports after all earlier ones, and the ids of its log
-    rows follow from the logs already there.
+    The run's number, which orders its reports after all earlier ones, is recorded first. A run that
+    ended at any point can be called again with the same id and input: what it has written is
+    found by the id and stays, what is missing is computed from the sales as they were before it.
+    Only the buckets of properties that the run reports are read and written.
     """
     spark = frames[0].sparkSession
-    started = datetime.now(timezone.utc)
-    runs = read_log(spark, f"{folder}/runs", RUN_SCHEMA)
+    run_no, started = start_run(spark, folder, run_id)
+    path, name = f"{folder}/sales", f"run {run_id}"
+    labelled = _labelled(
+        frames, specs, areas, today, run_ts, run_no, failures, only, min_price, lookback_days
+    )
+    kept = qualify(labelled)
+    version = committed_version(spark, path, name, run_no)
+    buckets = table_buckets(spark, path)
+    touched, concerned, others = stored_beside(kept, path, buckets, version)
+    assigned = assign_events(rank_lookup(kept, specs), window_days, rank_lookup(concerned, specs))
+    totals = stage(run_totals(assigned), "totals")
+    if version is None and touched:
+        write_sales(merge_events(assigned).unionByName(others), path, touched, buckets, run_no, name)
+    ended = datetime.now(timezone.utc)
     log = read_log(spark, f"{folder}/source_runs", SOURCE_RUN_SCHEMA)
-    stored = read_sales(spark, f"{folder}/sales")
-    result = collect_run(
-        frames,
-        *args,
-        stored=stored,
-        run_no=runs.count() + 1,
-        first_id=(log.agg(F.max("id")).first()[0] or 0) + 1,
-        started_at=started,
-        **kwargs,
+    first_id = (log.agg(F.max("id")).first()[0] or 0) + 1
+    rows = source_runs(labelled, failures, specs, run_id, started, ended, only, first_id)
+    _append_once(rows, f"{folder}/source_runs", SOURCE_RUN_SCHEMA, run_id)
+    run = run_row(totals, run_id, started, ended)
+    _append_once(run, f"{folder}/runs", RUN_SCHEMA, run_id)
+    own = F.col("run_id") == run_id
+    return CollectionRun(
+        kept=kept,
+        sales=read_sales(spark, path),
+        source_runs=read_log(spark, f"{folder}/source_runs", SOURCE_RUN_SCHEMA).filter(own),
+        run=read_log(spark, f"{folder}/runs", RUN_SCHEMA).filter(own),
     )
-    check_order(result.kept, stored)
-    write_sales(result.sales, f"{folder}/sales")
-    append_log(result.source_runs, f"{folder}/source_runs")
-    append_log(result.run, f"{folder}/runs")
-    return result
 
 
 #: Payload rows of one source to its raw reports and the failures of its pages.

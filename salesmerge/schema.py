@@ -91,6 +91,8 @@ RUN_SCHEMA = (
     "new_sales BIGINT, updated_sales BIGINT"
 )
 
+START_SCHEMA = "run_no BIGINT, run_id STRING, started_at TIMESTAMP"
+
 # Bits of the ingestion order: run number, then source position, then record.
 RUN_BITS = 13
 SOURCE_BITS = 7

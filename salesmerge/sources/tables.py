@@ -34,14 +34,13 @@ def _commits(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def is_committed(spark: SparkSession, path: str, stream_id: str, batch_id: int) -> bool:
-    """Whether this batch of this stream has been applied."""
+def committed_version(spark: SparkSession, path: str, stream_id: str, batch_id: int) -> int | None:
+    """The version that this batch of this stream became; None if it hasn't been applied."""
     commits = _commits(spark, path)
     if commits is None:
-        return False
-    return not commits.filter(
-        (F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)
-    ).isEmpty()
+        return None
+    own = commits.filter((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id))
+    return own.agg(F.min("version")).first()[0]
 
 
 def table_buckets(spark: SparkSession, path: str, wanted: int | None = None) -> int:
@@ -92,9 +91,12 @@ def write_sales(
 
 
 def read_sales(
-    spark: SparkSession, path: str, only_buckets: Sequence[int] | None = None
+    spark: SparkSession,
+    path: str,
+    only_buckets: Sequence[int] | None = None,
+    before: int | None = None,
 ) -> DataFrame:
-    """The current rows: each bucket at its last committed version.
+    """The current rows: each bucket at its last committed version, or its last one `before` another.
 
     A committed version whose files are gone is an error, never fewer rows.
     """
@@ -104,6 +106,8 @@ def read_sales(
         return empty
     if only_buckets is not None:
         commits = commits.filter(F.col("bucket").isin(*only_buckets))
+    if before is not None:
+        commits = commits.filter(F.col("version") < before)
     # One row per bucket.
     current = commits.groupBy("bucket").agg(F.max_by("folder", "version").alias("folder")).collect()
     by_folder: dict[str, list[int]] = {}
@@ -136,8 +140,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Add rows to a run log table."""
-    rows.write.mode("append").parquet(path)
+    """Add a run's few rows to a log table, as one file: all of them or none."""
+    rows.coalesce(1).write.mode("append").parquet(path)
 
 
 def write_csv(rows: DataFrame, path: str, columns: Sequence[str] = COMMAND_EXPORT_COLUMNS) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..fixed_values import DEDUPE_WINDOW_DAYS
 from ..operators.resolve import resolve_events
 from ..schema import REPORT_SCHEMA, SourceSpec
 from ..session import stage
-from ..sources.tables import is_committed, key_bucket, read_sales, table_buckets, write_sales
+from ..sources.tables import committed_version, key_bucket, read_sales, table_buckets, write_sales
 
 
 def check_order(batch: DataFrame, stored: DataFrame) -> None:
@@ -29,6 +30,25 @@ def check_order(batch: DataFrame, stored: DataFrame) -> None:
         )
 
 
+def stored_beside(
+    reports: DataFrame, path: str, buckets: int, before: int | None = None
+) -> tuple[list[int], DataFrame, DataFrame]:
+    """The buckets that `reports` touch, their stored events of the same properties, and the others.
+
+    `reports` is read more than once. With `before`, the events as they were before that version.
+    """
+    spark = reports.sparkSession
+    # At most `buckets` values.
+    touched = [r[0] for r in reports.select(key_bucket(buckets)).distinct().collect()]
+    keys = reports.select("property_key", F.lit(True).alias("touched")).distinct()
+    # The stored buckets are read and split once.
+    stored = read_sales(spark, path, touched, before).join(keys, "property_key", "left")
+    stored = stage(stored, "stored")
+    concerned = stored.filter("touched").drop("touched")
+    check_order(reports, concerned)
+    return touched, concerned, stored.filter("touched IS NULL").drop("touched")
+
+
 def apply_batch(
     batch: DataFrame,
     path: str,
@@ -45,20 +65,13 @@ def apply_batch(
     a restarted stream applies each batch once, and another stream all of its own.
     """
     spark = batch.sparkSession
-    if batch_id is not None and is_committed(spark, path, stream_id, batch_id):
+    if batch_id is not None and committed_version(spark, path, stream_id, batch_id) is not None:
         return
     reports = stage(batch, "batch")
     buckets = table_buckets(spark, path, buckets)
-    # At most `buckets` values.
-    touched = [r[0] for r in reports.select(key_bucket(buckets)).distinct().collect()]
+    touched, concerned, others = stored_beside(reports, path, buckets)
     if not touched:
         return
-    keys = reports.select("property_key", F.lit(True).alias("touched")).distinct()
-    # The stored buckets are read and split once.
-    stored = stage(read_sales(spark, path, touched).join(keys, "property_key", "left"), "stored")
-    concerned = stored.filter("touched").drop("touched")
-    others = stored.filter("touched IS NULL").drop("touched")
-    check_order(reports, concerned)
     resolved = resolve_events(reports, specs, window_days, stored=concerned)
     write_sales(resolved.unionByName(others), path, touched, buckets, batch_id, stream_id)
 
@@ -75,15 +88,18 @@ def incremental_resolve(
 ) -> StreamingQuery:
     """Apply every report file not seen yet, then stop.
 
-    The checkpoint location names the stream. All state is the sales table; the stream itself keeps none, so there is no
-    watermark: a late report is judged by the run date when it qualifies.
+    The stream has the id that its checkpoint was made with, so one that begins anew, even at the
+    same place, is another stream and applies all its files. All state is the sales table; the
+    stream itself keeps none, so there is no watermark: a late report is judged by the run date
+    when it qualifies.
     """
     reader = spark.readStream.schema(REPORT_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, path, specs, window_days, buckets, batch_id, checkpoint)
+        stream_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        apply_batch(batch, path, specs, window_days, buckets, batch_id, stream_id)
 
     return (
         reader.parquet(landed)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from salesmerge.schema import ingest_seq, page_record_ord
 from salesmerge.operators import runs
 from salesmerge.operators.places import extract_reports_from_text, known_places
+from salesmerge.plans import collect
 from salesmerge.plans.collect import collect_and_store, collect_landed, collect_run
 from salesmerge.schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, SourceSpec
 from salesmerge.sources.feature_json import feature_reports, scan_feature_json
@@ -21,16 +22,16 @@ def log(spark):
     at = lambda h: datetime(2026, 3, 1, h)
     return spark.createDataFrame(
         [(1, "run1", "county", "ok", at(1), at(1), 10, 4, None),
-         (2, "run1", "zillow", "blocked", at(1), at(1), 0, 0, "robots.txt disallows"),
-         (3, "run2", "county", "error", at(2), at(2), 0, 0, "timeout"),
+         (2, "run1", "deedbox", "blocked", at(1), at(1), 0, 0, "key expired on 2026-02-27"),
+         (3, "run2", "county", "error", at(2), at(2), 0, 0, "page 12 is cut off"),
          (4, "run3", "news", "skipped", at(3), at(3), 0, 0, None)],
         SOURCE_RUN_SCHEMA)
 
 
 def test_latest_status_wins(spark):
     latest = {r.source: r for r in runs.latest_source_status(log(spark)).collect()}
-    assert latest["county"].status == "error" and latest["zillow"].message == "robots.txt disallows"
-    assert list(latest) == ["county", "news", "zillow"]
+    assert latest["county"].status == "error" and latest["deedbox"].message == "key expired on 2026-02-27"
+    assert list(latest) == ["county", "deedbox", "news"]
 
 
 def test_run_ok(spark):
@@ -51,7 +52,7 @@ def test_listing_and_health(spark):
     table = spark.createDataFrame([("b", datetime(2026, 3, 8), None, 2, 1)], RUN_SCHEMA)
     health = runs.health_summary(spark.range(7), table, log(spark)).first()
     assert health.tracked_sales == 7 and health.last_run.run_id == "b"
-    assert [s.source for s in health.sources] == ["county", "news", "zillow"]
+    assert [s.source for s in health.sources] == ["county", "deedbox", "news"]
     empty = runs.health_summary(spark.range(0), table.limit(0), log(spark).limit(0)).first()
     assert empty.tracked_sales == 0 and empty.last_run is None and empty.sources == []
 
@@ -167,3 +168,57 @@ def test_landed_run(spark, tmp_path):
     status = runs.latest_source_status(spark.read.parquet(f"{folder}/source_runs")).collect()
     assert [(r.run_id, r.source, r.status, r.kept) for r in status] == [
         ("run2", "county", "ok", 1), ("run2", "news", "misconfigured", 0), ("run2", "site", "ok", 1)]
+
+
+def _state(spark, folder):
+    sales = [(r.address, r.price, r.source, r.event_seq) for r in read_sales(spark, f"{folder}/sales").collect()]
+    log = [(r.id, r.run_id, r.source, r.status, r.fetched, r.kept) for r in spark.read.parquet(f"{folder}/source_runs").collect()]
+    totals = [(r.run_id, r.new_sales, r.updated_sales) for r in spark.read.parquet(f"{folder}/runs").collect()]
+    return sorted(sales), sorted(log), sorted(totals)
+
+
+@pytest.mark.parametrize("lost", ["write_sales", "source_runs", "runs"])
+def test_a_crashed_run_can_be_repeated(spark, tmp_path, monkeypatch, lost):
+    """Each of the three writes fails once; the run is called again and all is as without the crash."""
+    first = raw(spark, ("news", "123 North Wayne Avenue", "1490000", "2026-03-05", "19087"))
+    second = raw(spark, ("county", *SALE), ("county", "9 Other Rd", "1700000", "2026-03-02", "19087"))
+    third = raw(spark, ("news", "9 Other Road", "1650000", "2026-03-04", "19087"))
+    states = []
+    for crash in (False, True):
+        folder = str(tmp_path / f"crash-{crash}")
+        collect_and_store(folder, [first], SPECS, AREAS, TODAY, RUN_TS, "run1")
+        if crash:
+            with monkeypatch.context() as patch:
+                def fail(rows, path, *rest, real=getattr(collect, "write_sales" if lost == "write_sales" else "append_log")):
+                    if lost == "write_sales" or path.endswith(f"/{lost}"):
+                        raise OSError("disk gone")
+                    return real(rows, path, *rest)
+
+                patch.setattr(collect, "write_sales" if lost == "write_sales" else "append_log", fail)
+                with pytest.raises(OSError):
+                    collect_and_store(folder, [second], SPECS, AREAS, TODAY, datetime(2026, 3, 21), "run2")
+        collect_and_store(folder, [second], SPECS, AREAS, TODAY, datetime(2026, 3, 21), "run2")
+        collect_and_store(folder, [third], SPECS, AREAS, TODAY, datetime(2026, 3, 22), "run3")
+        states.append(_state(spark, folder))
+    assert states[0] == states[1]
+    assert states[0][2] == [("run1", 1, 0), ("run2", 1, 1), ("run3", 0, 1)]
+
+
+def test_a_run_overtaken_after_its_crash_comes_last(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    frame = raw(spark, ("news", "123 North Wayne Avenue", "1490000", "2026-03-05", "19087"))
+    with monkeypatch.context() as patch:
+        patch.setattr(collect, "write_sales", lambda *_: (_ for _ in ()).throw(OSError("disk gone")))
+        with pytest.raises(OSError):
+            collect_and_store(folder, [frame], SPECS, AREAS, TODAY, RUN_TS, "run1")
+    collect_and_store(folder, [raw(spark, ("county", *SALE))], SPECS, AREAS, TODAY, RUN_TS, "run2")
+    collect_and_store(folder, [frame], SPECS, AREAS, TODAY, RUN_TS, "run1")
+    assert _state(spark, folder)[2] == [("run1", 0, 1), ("run2", 1, 0)]
+
+
+def test_reports_before_the_stored_events_are_refused(spark):
+    frame = raw(spark, ("county", *SALE))
+    stored = collect_run([frame], SPECS, AREAS, TODAY, RUN_TS, "run1", run_no=3).sales
+    with pytest.raises(ValueError, match="higher number"):
+        collect_run([frame], SPECS, AREAS, TODAY, RUN_TS, "run2", stored=stored)
+    assert collect_run([frame], SPECS, AREAS, TODAY, RUN_TS, "run2", run_no=4, stored=stored).sales.count() == 1

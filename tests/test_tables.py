@@ -1,3 +1,4 @@
+import json
 from datetime import date
 
 import pytest
@@ -101,3 +102,12 @@ def test_older_reports_are_refused(spark, make_reports, tmp_path):
     apply_batch(make_reports({}), path, SPECS, buckets=4)
     with pytest.raises(ValueError, match="doesn't come after"):
         apply_batch(make_reports({}), path, SPECS)
+
+
+def test_a_stream_is_known_by_its_checkpoint_s_id(spark, make_reports, tmp_path):
+    """Not by its place: a checkpoint made anew there counts its batches from 0 again."""
+    landed, table, checkpoint = (str(tmp_path / name) for name in ("landed", "sales", "checkpoint"))
+    make_reports({}).write.parquet(landed)
+    incremental_resolve(spark, landed, table, SPECS, checkpoint, buckets=4).awaitTermination()
+    made = json.loads((tmp_path / "checkpoint" / "metadata").read_text())["id"]
+    assert {r.stream_id for r in spark.read.parquet(f"{table}/commits").collect()} == {made}
