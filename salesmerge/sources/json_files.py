@@ -16,42 +16,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import variant_kind
 from ..session import stage
 from .json_records import scan_json_records
-from .landed import failure, landed_page
+from .landed import failure
+from .ranges import (
+    FIRST,
+    FRAME,
+    LAST,
+    MIDDLE,
+    TOTAL,
+    WHOLE,
+    bases,
+    by_range,
+    joined,
+    page_labels,
+    plain_path,
+    put_together,
+    ranges,
+)
 
 _QUOTE, _BACKSLASH = 0x22, 0x5C
 _OPEN, _CLOSE = (0x7B, 0x5B), (0x7D, 0x5D)
 _KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*$')
 #: A key and its bracket stand within so many bytes, else the file is read as one text.
 _KEY_BYTES = 4096
-#: What a row of the second pass is: a record, the first, a middle or the last piece of one, a
-#: bracket above the records, or the number of records of a range.
-WHOLE, FIRST, MIDDLE, LAST, SHALLOW, TOTAL = range(6)
-
-
-def _ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, size, value): texts between `}` bytes; a range's rows in order in one task."""
-    texts = spark.read.option("lineSep", "}").text(path)
-    return texts.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("value").cast("binary").alias("value"),
-    )
-
-
-def _joined(values: pa.Array, first: bool) -> np.ndarray:
-    """Bytes of consecutive texts, with the `}` between them; one in front unless `first`."""
-    parts = values.to_pylist()
-    joined = b"}".join(parts)
-    return np.frombuffer(joined if first else b"}" + joined, np.uint8)
-
-
 def _brackets(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Places and signs (+1, -1) of brackets outside strings, and whether the end is in a string."""
     quotes = np.flatnonzero(data == _QUOTE)
@@ -66,20 +57,6 @@ def _brackets(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray, b
     return at, np.where(np.isin(data[at], _OPEN), 1, -1), bool((len(quotes) + inside) % 2)
 
 
-def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Array, bool]]:
-    """(range key, values, first) for runs of rows of one range; the key is all columns but the last."""
-    last = None
-    for batch in batches:
-        keys = list(zip(*(column.to_pylist() for column in batch.columns[:-1]), strict=True))
-        lo = 0
-        while lo < len(keys):
-            hi = lo + 1
-            while hi < len(keys) and keys[hi] == keys[lo]:
-                hi += 1
-            yield keys[lo], batch.columns[-1].slice(lo, hi - lo), keys[lo] != last
-            last, lo = keys[lo], hi
-
-
 _MAP_SCHEMA = "file string, block bigint, size bigint, bytes bigint, flips int, outer bigint, inner bigint"
 
 
@@ -94,12 +71,12 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     key, held = None, []
-    for own, values, first in _by_range(batches):
+    for own, values, first in by_range(batches):
         if first:
             if key is not None:
                 yield row(key, held)
             key, held = own, [0, False, 0, 0]
-        data = _joined(values, first)
+        data = joined(values, first, b"}")
         depth = []
         for inside in (held[1], not held[1]):
             _, signs, end = _brackets(data, inside)
@@ -179,7 +156,7 @@ def _pieces(entered: DataFrame, inside_depth: int) -> DataFrame:
                 found = _KEY.search(raw[max(0, p - _KEY_BYTES) : p]) if signs[k] > 0 else None
                 key = json.loads(b'"' + found[1] + b'"') if found else None
                 turn = int(signs[k]) * (2 if raw[p : p + 1] in b"[]" else 1)
-                self.add(self.at + p, SHALLOW, int(depths[k]), turn, key)
+                self.add(self.at + p, FRAME, int(depths[k]), turn, key)
             edge = np.where(signs > 0, depths == inside_depth + 1, depths == inside_depth)
             begin = 0
             for p, sign in zip(places[edge].tolist(), signs[edge].tolist(), strict=True):
@@ -217,13 +194,13 @@ def _pieces(entered: DataFrame, inside_depth: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for key, values, first in _by_range(batches):
+        for key, values, first in by_range(batches):
             if first:
                 if own is not None:
                     own.finish()
                     yield own.batch()
                 own = Range(key)
-            own.read(_joined(values, first))
+            own.read(joined(values, first, b"}"))
             yield own.batch()
         if own is not None:
             own.finish()
@@ -251,7 +228,7 @@ def _targets(pieces: DataFrame, path: list[str]) -> DataFrame:
         out = [{"file": file, "from_at": found[0], "to_at": found[1]}] if found else []
         return pa.Table.from_pylist(out, pa.schema([("file", pa.string()), ("from_at", pa.int64()), ("to_at", pa.int64())]))
 
-    shallow = pieces.filter(F.col("kind") == SHALLOW).select("file", "at", "place", "turn", "key")
+    shallow = pieces.filter(F.col("kind") == FRAME).select("file", "at", "place", "turn", "key")
     return shallow.groupBy("file").applyInArrow(find, "file string, from_at bigint, to_at bigint")
 
 
@@ -262,53 +239,30 @@ def scan_json_files(
 
     As `scan_json_records`, but no file has to fit in a row, and `record_ord` counts through all
     pages of a source without a limit. `records_path` has object keys only. A file whose path doesn't
-    lead to an array is read as one text; an empty file holds nothing. Source and page number come from the file's place,
-    `<source>/<page number>.<anything>`, unless they are given.
+    lead to an array is read as one text; an empty file holds nothing. Source and page number come
+    from the file's place, `<source>/<page number>.<anything>`, unless they are given.
     """
     steps = [s for s in records_path.split(".") if s]
     if any(s.isdigit() for s in steps):
         raise ValueError("a list index in records_path needs scan_json_records")
-    named = landed_page(F.col("file"))
-    label = {
-        "source": F.lit(source) if source is not None else named["source"],
-        "page_no": (page_no if page_no is not None else named["page_no"]).cast("bigint"),
-    }
-    entries = stage(_entries(stage(_ranges(spark, path).mapInArrow(_maps, _MAP_SCHEMA), "ranges")), "entries")
-    entered = _ranges(spark, path).drop("size").join(
+    label = page_labels(F.col("file"), source, page_no)
+    maps = ranges(spark, path, "}", "file_size").mapInArrow(_maps, _MAP_SCHEMA)
+    entries = stage(_entries(stage(maps, "ranges")), "entries")
+    entered = ranges(spark, path, "}").join(
         F.broadcast(entries.drop("ends")), ["file", "block"]  # one row per range of a task
     ).select("file", "block", "at", "inside", "depth", "closed", "value")
     pieces = stage(_pieces(entered, len(steps) + 1), "records")
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    files = files.withColumn("file", plain(F.col("file"))).join(
-        entries.select(plain(F.col("file")).alias("file"), "ends").distinct(), "file", "left"
+    files = spark.read.format("binaryFile").load(path).select(plain_path(F.col("path")).alias("file"))
+    files = files.join(
+        entries.select(plain_path(F.col("file")).alias("file"), "ends").distinct(), "file", "left"
     )
     targets = stage(_targets(pieces, steps), "arrays")
-    order = W.partitionBy("source").orderBy("page_no", "file", "block")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    # One row per range. An empty range still counts, for a file that is one record.
-    bases = pieces.filter(F.col("kind") == TOTAL).select("file", "block", (F.col("place") + 1).alias("n"))
-    bases = bases.withColumns(label).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    totals = pieces.filter(F.col("kind") == TOTAL).select("file", "block", F.col("place").alias("n"))
+    starts = bases(totals.withColumns(label))
     whole = pieces.filter(F.col("kind") == WHOLE).select("file", "block", "at", "place", "text")
-    across = W.partitionBy("file").orderBy("at", "kind")
-    # A few rows per range.
-    parts = pieces.filter(F.col("kind").isin(FIRST, MIDDLE, LAST)).withColumn(
-        "record", F.sum((F.col("kind") == FIRST).cast("int")).over(across)
-    )
-    joined = (
-        parts.groupBy("file", "record")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("at", "kind", "text"))).alias("parts"),
-            F.min_by(F.struct("block", "at", "place", "kind"), F.struct("at", "kind")).alias("head"),
-        )
-        .filter((F.col("head.kind") == FIRST) & (F.element_at("parts", -1)["kind"] == LAST))
-        .select(
-            "file", "head.block", "head.at", "head.place",
-            F.array_join(F.transform("parts", lambda p: p["text"].cast("string")), "").cast("binary").alias("text"),
-        )
-    )
-    inside = whole.unionByName(joined).join(targets, "file").filter("at > from_at AND at < to_at")
-    records = inside.join(bases.select("file", "block", "source", "page_no", "base"), ["file", "block"]).select(
+    across = put_together(pieces.filter(F.col("kind").isin(FIRST, MIDDLE, LAST)))
+    inside = whole.unionByName(across).join(targets, "file").filter("at > from_at AND at < to_at")
+    records = inside.join(starts, ["file", "block"]).select(
         "source", "page_no", (F.col("base") + F.col("place")).alias("record_ord"), "file",
         F.try_parse_json(F.col("text").cast("string")).alias("record"),
     )
@@ -319,13 +273,13 @@ def scan_json_files(
     good = records.filter("record IS NOT NULL").drop("file")
     # Files without such an array: an object, a scalar, nothing, or no JSON.
     others = files.filter("coalesce(ends, true)").join(
-        targets.select(plain(F.col("file")).alias("file")), "file", "left_anti"
+        targets.select(plain_path(F.col("file")).alias("file")), "file", "left_anti"
     )
     others = stage(others.select("file"), "others")
     if not others.isEmpty():
-        texts = spark.read.option("wholetext", True).text(path)
-        bodies = texts.select(plain(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("body"))
-        firsts = bases.groupBy("source", "page_no").agg(F.min("base").alias("base"))
+        texts = spark.read.text(path, wholetext=True)
+        bodies = texts.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("body"))
+        firsts = starts.groupBy("source", "page_no").agg(F.min("base").alias("base"))
         bodies = others.join(bodies, "file", "left").withColumns(label)
         bodies = bodies.select("source", "page_no", F.coalesce("body", F.lit("")).alias("body"))
         single, failed = scan_json_records(bodies, records_path)

@@ -18,7 +18,7 @@ def read_landed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
 
     A file whose name doesn't begin with a page number that fits becomes a failure row.
     """
-    files = spark.read.option("wholetext", True).text(f"{folder}/*/*")
+    files = spark.read.text(f"{folder}/*/*", wholetext=True)
     path = F.col("_metadata.file_path")
     found = files.select(
         *[value.alias(name) for name, value in landed_page(path).items()],

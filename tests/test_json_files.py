@@ -27,7 +27,7 @@ def landed(tmp_path, **pages):
         source, page = name.split("_")
         file = tmp_path / source / f"{page}.json"
         file.parent.mkdir(exist_ok=True)
-        file.write_text(body if isinstance(body, str) else json.dumps(body, ensure_ascii=False, indent=len(name) % 3 or None))
+        file.write_text(body if isinstance(body, str) else json.dumps(body, ensure_ascii=False, indent=1 if name[-1] in "24" else None))
     return f"{tmp_path}/*/*"
 
 
