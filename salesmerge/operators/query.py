@@ -15,12 +15,12 @@ from ..fixed_values import (
     QUERY_LIMIT,
 )
 from ..functions.addresses import display_address
-from ..schema import local_frame
-from ..session import stage
 
 NEWEST_FIRST = (F.desc, "sale_date"), (F.desc, "price"), (F.asc, "event_id")
-# Up to here a top-k is merged in one task; beyond, rows are ranked in parallel.
-SMALL_LIMIT = 10_000
+# Up to here a top-k is merged in one task; beyond, a page is bounded by its first and last keys.
+TOP_K_ROWS = 10_000
+# Price intervals that are counted at once.
+BINS = 1024
 
 
 def _newest_first() -> list[Column]:
@@ -59,41 +59,89 @@ def filter_sales(
 
 def newest_first(sales: DataFrame, limit: int = QUERY_LIMIT, offset: int = 0) -> DataFrame:
     """The page of the newest sales: by date, then price, then event id."""
-    if limit + offset <= SMALL_LIMIT:
+    if limit + offset <= TOP_K_ROWS:
         ordered = sales.orderBy(*_newest_first())
         return (ordered.offset(offset) if offset else ordered).limit(limit)
-    return _ranked_page(sales, limit, offset)
+    return _long_page(sales, limit, offset)
 
 
-def _ranked_page(sales: DataFrame, limit: int, offset: int) -> DataFrame:
-    """A long page without passing it through one task.
+def _place(counts: Sequence[tuple], rank: int) -> tuple | None:
+    """Of (value, n) in order, the value that holds the row of this rank, and its rank in there."""
+    for value, n in counts:
+        if rank < n:
+            return value, n, rank
+        rank -= n
+    return None
 
-    Rows are range-partitioned into sorted files; a file's position and a row's place
-    in it give the row's rank once the files' counts are summed up. Only counts, one
-    per file, are put in one place.
+
+def _key_at(sales: DataFrame, rank: int) -> tuple | None:
+    """(sale_date, price, event_id) of the row with this rank, newest first; None beyond the last.
+
+    Counting narrows the rows down to a few: by date, then by price interval, then by the first
+    characters of the id. Each step reads the columns it needs of the rows that are left, and
+    returns as many counts as there are dates or bins.
     """
-    ordered = stage(sales.orderBy(*_newest_first()), "ordered")
-    rows = ordered.select("*", F.col("_metadata.file_name").alias("_file"),
-                          F.col("_metadata.row_index").alias("_row"))
-    # Files are numbered in the order of their ranges; as text the numbers wouldn't sort.
-    number = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
-    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).orderBy(number).collect()
-    starts, total = [], 0
-    for row in counts:
-        starts.append((row["_file"], total))
-        total += row["n"]
-    if not starts:
-        return ordered
-    first = local_frame(sales.sparkSession, starts, "_file STRING, _start BIGINT")
-    rank = F.col("_start") + F.col("_row")
-    return (
-        rows.join(F.broadcast(first), "_file")
-        .filter((rank >= offset) & (rank < offset + limit))
-        .drop("_file", "_row", "_start")
-        .orderBy(*_newest_first())
+    by_date = sales.groupBy("sale_date").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("sale_date"))
+    found = _place([tuple(r) for r in by_date.collect()], rank)
+    if found is None:
+        return None
+    day, n, rank = found
+    left = sales.filter(F.col("sale_date") == F.lit(day))
+    low, high = None, None
+    while n > TOP_K_ROWS and (low is None or low < high):
+        if low is None:
+            low, high = left.agg(F.min("price"), F.max("price")).first()
+        width = (high - low) // BINS + 1
+        number = F.floor((F.col("price") - F.lit(low)) / F.lit(width))
+        bins = left.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bin"))
+        chosen, n, rank = _place([tuple(r) for r in bins.collect()], rank)
+        low, high = low + chosen * width, min(high, low + (chosen + 1) * width - 1)
+        left = left.filter(F.col("price").between(low, high))
+    prefix = ""
+    while n > TOP_K_ROWS:  # one price
+        longer = F.substring("event_id", 1, len(prefix) + 2)
+        heads = left.groupBy(longer.alias("head")).agg(F.count(F.lit(1)).alias("n")).orderBy("head")
+        head, n, rank = _place([tuple(r) for r in heads.collect()], rank)
+        if head == prefix:
+            break  # equal ids
+        prefix, left = head, left.filter(F.col("event_id").startswith(head))
+    few = left.select("sale_date", "price", "event_id").orderBy(*_newest_first())
+    return tuple(few.offset(rank).limit(1).first())
+
+
+def _from(key: tuple) -> Column:
+    """Rows at this key or behind it."""
+    day, price, event_id = (F.lit(value) for value in key)
+    same_day, same_price = F.col("sale_date") == day, F.col("price") == price
+    return (F.col("sale_date") < day) | (
+        same_day & ((F.col("price") < price) | (same_price & (F.col("event_id") >= event_id)))
+    )
+
+
+def _until(key: tuple) -> Column:
+    """Rows at this key or before it."""
+    day, price, event_id = (F.lit(value) for value in key)
+    same_day, same_price = F.col("sale_date") == day, F.col("price") == price
+    return (F.col("sale_date") > day) | (
+        same_day & ((F.col("price") > price) | (same_price & (F.col("event_id") <= event_id)))
     )
 
 
+def _long_page(sales: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page of any length at any offset: its first and last keys are found by counting.
+
+    Only the page's own rows are sorted, in parallel, and nothing is written. Keys are unique.
+    """
+    first = _key_at(sales, offset) if limit else None
+    if first is None:
+        return sales.limit(0)
+    last = _key_at(sales, offset + limit - 1)
+    page = sales.filter((F.col("sale_date") <= F.lit(first[0])) & _from(first))
+    if last is not None:
+        page = page.filter((F.col("sale_date") >= F.lit(last[0])) & _until(last))
+    return page.orderBy(*_newest_first())
+
+
 def query_sales(
     sales: DataFrame, *, limit: int = QUERY_LIMIT, offset: int = 0, **conditions
 ) -> DataFrame:

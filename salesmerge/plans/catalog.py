@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
@@ -21,6 +23,7 @@ from ..functions import addresses, amounts, paths, places, prose
 from ..operators import columns as layer_columns
 from ..operators import query, runs
 from ..operators.areas import match_area
+from ..operators.market import area_month_stats, bucket_sketches
 from ..operators.nearest import nearest_event
 from ..operators.places import extract_reports_from_text, gazetteer_match, known_places
 from ..operators.qualify import label_reports, qualify, reject_counts, source_counts
@@ -32,18 +35,21 @@ from ..operators.resolve import (
     resolve_events,
     run_totals,
 )
+from ..operators.sessions import sessionize_events
 from ..schema import PAGE_RECORD_BITS, RECORD_BITS, SourceSpec, local_frame, page_record_ord
 from ..session import configure, shared_folder, spread, stage
 from ..sources.feature_json import feature_reports, scan_feature_json
+from ..sources.feed_files import scan_feed_files
 from ..sources.feeds import scan_feed_xml
 from ..sources.floors import source_pushdown as price_and_date_floor
 from ..sources.html_rows import html_reports, scan_html_rows
+from ..sources.json_files import scan_json_files
 from ..sources.json_records import record_reports, scan_json_records
 from ..sources.landed import as_text
 from ..sources.tables import read_sales, write_csv, write_sales
 from ..streaming.incremental import incremental_resolve
 from . import fixtures as X
-from .collect import collect_run
+from .collect import collect_and_store, collect_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -310,6 +316,31 @@ def _resolve(specs=X.SPECS, window=14):
     )
 
 
+def _sessions(spark, folder):
+    return sessionize_events(kept(spark, folder), X.SPECS).select(
+        "property_key", "event_seq", "first_date", "last_date", "reports", "sale_date", "source", "price",
+        "beds", "sqft", "buyer", "unit", "area",
+    )
+
+
+def _area_months(spark, folder):
+    stored = stage(bucket_sketches(sales(spark, folder), _BUCKETS), "sketches")
+    return area_month_stats(stored)
+
+
+def _second_run(spark, folder):
+    """All sources but the first in one run, the first, of highest rank, in a second."""
+    base = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    rows = X.raw_reports(spark, folder)
+    best = X.SPECS[0].name
+    for run, part in (("run1", F.col("source") != best), ("run2", F.col("source") == best)):
+        collect_and_store(
+            base, [rows.filter(part)], X.SPECS, X.AREAS, X.TODAY, X.RUN_TS, run, lookback_days=X.LONG_LOOKBACK_DAYS
+        )
+    stored = read_sales(spark, f"{base}/sales")
+    return stored.select("property_key", "sale_date", "price", "source", "beds", "sqft", "buyer")
+
+
 def _merge_records(spark, folder):
     ranked = rank_lookup(kept(spark, folder, X.REVERSED_SPECS), X.REVERSED_SPECS)
     assigned = assign_events(ranked, 45)
@@ -516,6 +547,82 @@ def _scan_records(spark, folder):
     )
 
 
+def _documents(rows: DataFrame, head: str, glue: str, tail: str) -> DataFrame:
+    """(record_ord, text) to lines of documents, one for each range of the order."""
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = head
+        for batch in batches:
+            lines = []
+            for text in batch.column(1).to_pylist():
+                lines.append(before + text)
+                before = glue
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        end = tail if before != head else head + tail
+        yield pa.RecordBatch.from_arrays([pa.array([end])], names=["value"])
+
+    parts = rows.repartitionByRange(4, "record_ord").sortWithinPartitions("record_ord")
+    return parts.select("record_ord", "text").mapInArrow(wrap, "value string")
+
+
+def _landed(spark: SparkSession, name: str, documents: DataFrame) -> tuple[str, Column]:
+    """Write documents as files; their folder, and the page number out of a file's name."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    documents.write.text(path)
+    return f"{path}/part-*", F.regexp_extract("file", r"part-(\d+)", 1)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """`place`: the number of each record in its source, from 1."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("record_ord")))
+
+
+def _scan_json_files(spark, folder):
+    records = _numbered(spark, folder).select("record_ord", F.to_json(F.struct(
+        F.struct(F.col("address").alias("line1"), F.col("municipality").alias("town"), F.col("zip_code").alias("code")).alias("address"),
+        F.struct(F.struct(F.col("amount").alias("total")).alias("amount"), F.col("sale_date_text").alias("day")).alias("sale"),
+        F.array(F.struct((F.col("record_ord") % 5000).alias("size"))).alias("building"),
+    )).alias("text"))
+    head = '{"page":{"property":[]},"result":{"property":['
+    path, page_no = _landed(spark, "json", _documents(records, head, ",", '],"n":1}}'))
+    rows, _ = scan_json_files(spark, path, "result.property", "vendor", page_no)
+    return _placed(record_reports(rows, _VENDOR_MAP, "https://api.example.com")).select(
+        "place", "address", "price_num", "sale_date_text", "municipality", "zip_code", "sqft"
+    )
+
+
+def _scan_feed_files(spark, folder):
+    """The same headlines as RSS and as Atom."""
+
+    def escaped(name: str):
+        text = F.replace(F.col(name), F.lit("&"), F.lit("&amp;"))
+        return F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    rows = headlines(spark, folder)
+    item = F.concat(
+        F.lit("<item><title>"), escaped("title"), F.lit("</title><description>"), escaped("summary"),
+        F.lit("</description><link>"), F.col("link"), F.lit("</link><pubDate>"), F.col("published"),
+        F.lit("</pubDate></item>"),
+    )
+    entry = F.concat(
+        F.lit("<entry><title>"), escaped("title"), F.lit("</title><content>"), escaped("summary"),
+        F.lit('</content><link href="'), F.col("link"), F.lit('"/><link href="other"/><published>'),
+        F.col("published"), F.lit("</published></entry>"),
+    )
+    found = None
+    for kind, text, head, tail in (
+        ("rss", item, '<?xml version="1.0"?><rss version="2.0"><channel><title>Local</title>', "</channel></rss>"),
+        ("atom", entry, '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">', "</feed>"),
+    ):
+        path, page_no = _landed(spark, kind, _documents(rows.select("record_ord", text.alias("text")), head, "", tail))
+        entries, _ = scan_feed_files(spark, path, kind, page_no)
+        found = entries if found is None else found.unionByName(entries)
+    return _placed(found).select(
+        F.col("source").alias("kind"), "place", "title", "summary", "link",
+        prose.parse_feed_date(F.col("published")).alias("published_on"),
+    )
+
+
 def _scan_html(spark, folder):
     pages = spread(X.table(spark, folder, "pages"), "page_id").select(
         F.lit("pages").alias("source"), F.col("page_id").alias("page_no"), F.col("html").alias("body"), "url"
@@ -611,6 +718,11 @@ def queries() -> dict[str, Query]:
         "dry_run_preview": _dry_run,
         "source_pushdown": _pushdown,
         "resolve_events": _resolve(),
+        "sessionize_events": _sessions,
+        "area_month_stats": _area_months,
+        "second_run_outranks": _second_run,
+        "scan_json_files": _scan_json_files,
+        "scan_feed_files": _scan_feed_files,
         "resolve_events_reversed": _resolve(X.REVERSED_SPECS, 45),
         "merge_records": _merge_records,
         "run_totals": _run_totals,

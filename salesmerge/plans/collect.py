@@ -16,6 +16,7 @@ from ..operators.resolve import assign_events, merge_events, rank_lookup, run_to
 from ..operators.runs import drop_failed_sources, run_row, source_runs
 from ..schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, START_SCHEMA, Area, SourceSpec
 from ..session import stage
+from ..sources.by_name import TypedSource, read_sources
 from ..sources.landed import read_landed
 from ..sources.tables import (
     append_log,
@@ -207,3 +208,14 @@ def collect_landed(
         failures = failures.unionByName(failed)
     failures = stage(failures, "failures")
     return collect_and_store(folder, frames, specs, *args, failures=failures, **kwargs)
+
+
+def collect_named(
+    spark: SparkSession, folder: str, sources: Sequence[TypedSource], *args, only: Sequence[str] | None = None, **kwargs
+) -> CollectionRun:
+    """A run over sources that are read by the type names of their registered readers."""
+    frames, failures = read_sources(spark, sources, only)
+    specs = [source.spec for source in sources]
+    return collect_and_store(
+        folder, frames, specs, *args, failures=stage(failures, "failures"), only=only, **kwargs
+    )

@@ -1,3 +1,5 @@
+import glob
+import random
 from datetime import date
 
 import pytest
@@ -42,11 +44,41 @@ def test_newest_first_and_paging(sales):
 
 
 def test_long_page_equals_short_page(sales):
-    long = query.newest_first(sales, limit=query.SMALL_LIMIT, offset=1).collect()
+    long = query.newest_first(sales, limit=query.TOP_K_ROWS, offset=1).collect()
     short = query.newest_first(sales, limit=100, offset=1).collect()
     assert [r.event_id for r in long] == [r.event_id for r in short]
 
 
+def test_long_pages_are_bounded_by_counting(spark, monkeypatch):
+    """Any offset and limit, with ties in date and price, against a plain sort; nothing is written."""
+    rng = random.Random(3)
+    rows = [(date(2026, 1, rng.choice([1, 2, 2, 2, 9])), rng.choice([1, 5, 5, 7, 10**9, 10**12]), f"{k * 7919 % 10007:020x}")
+            for k in range(600)]
+    sales = spark.createDataFrame(rows, "sale_date DATE, price BIGINT, event_id STRING")
+    ordered = sorted(rows, key=lambda r: (-r[0].toordinal(), -r[1], r[2]))
+    monkeypatch.setattr(query, "TOP_K_ROWS", 8)
+    monkeypatch.setattr(query, "BINS", 4)
+    written = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/staged/*"))
+    for limit, offset in [(9, 0), (1, 599), (50, 100), (600, 0), (1000, 590), (3, 600), (0, 20)]:
+        page = query.newest_first(sales, limit, offset).collect()
+        assert list(map(tuple, page)) == ordered[offset : offset + limit]
+    assert set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/staged/*")) == written
+
+
+def test_area_month_sketches_merge(spark):
+    from salesmerge.operators.market import area_month_stats, bucket_sketches
+
+    rows = [(f"k{k}", ["North", "South"][k % 3 == 0], date(2026, 1 + k % 2, 3), 1_000_000 + (k * 7919) % 50_021) for k in range(20_000)]
+    sales = spark.createDataFrame(rows, "property_key STRING, area STRING, sale_date DATE, price BIGINT").repartition(5)
+    stats = {(r.level, r.area, r.month): r for r in area_month_stats(bucket_sketches(sales, 4)).collect()}
+    assert len(stats) == 4 + 2 + 1
+    for (level, area, month), found in stats.items():
+        own = sorted(r[3] for r in rows if level == 2 or r[1] == area and (level == 1 or f"{r[2]:%Y-%m}" == month))
+        assert (found.n, found.volume) == (len(own), sum(own))
+        rank = sum(p <= found.median_price for p in own) / len(own)
+        assert abs(rank - 0.5) < 0.001
+
+
 def test_counts_values_and_stats(sales):
     assert query.count_sales(sales, min_price=1_300_000).first().n == 3
     assert [r.value for r in query.distinct_values(sales, "area").collect()] == [

@@ -246,3 +246,19 @@ def test_nearest_event(spark):
         "seq BIGINT, property_key STRING, sale_date DATE")
     got = {r.seq: (r.event_seq, r.distance) for r in nearest_event(reports, events).collect()}
     assert got == {0: (3, 10), 1: (4, 9), 2: (None, None), 3: (None, None), 4: (3, 14)}
+
+
+def test_sessions_differ_where_a_chain_spans_more_than_the_window(spark, make_reports):
+    from salesmerge.operators.sessions import sessionize_events
+
+    days = ("2026-03-01", "2026-03-15", "2026-03-29")
+    rows = make_reports(
+        *({"sale_date": d, "source": "news", "beds": b} for d, b in zip(days, (None, "4", "5"), strict=True)),
+        {"sale_date": "2026-04-13", "source": "county"}, {"sale_date": "2026-04-27", "buyer": "Late"},
+    )
+    sessions = sessionize_events(rows, SPECS).orderBy("first_date").collect()
+    assert [(r.first_date.isoformat(), r.last_date.isoformat(), r.reports) for r in sessions] == [
+        ("2026-03-01", "2026-03-29", 3), ("2026-04-13", "2026-04-27", 2)]
+    assert [(r.sale_date.isoformat(), r.source, r.beds, r.buyer) for r in sessions] == [
+        ("2026-03-01", "news", 4.0, None), ("2026-04-13", "county", None, "Late")]
+    assert resolve_events(rows, SPECS).count() == 3  # one after the other, the third report opens an event

@@ -5,13 +5,15 @@ from conftest import AREAS, RUN_TS, SPECS, TODAY
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from salesmerge.schema import ingest_seq, page_record_ord
 from salesmerge.operators import runs
 from salesmerge.operators.places import extract_reports_from_text, known_places
 from salesmerge.plans import collect
-from salesmerge.plans.collect import collect_and_store, collect_landed, collect_run
+from salesmerge.plans.collect import collect_and_store, collect_landed, collect_named, collect_run
 from salesmerge.schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, SourceSpec
+from salesmerge.sources.by_name import SourceMisconfigured, TypedSource, register_source
 from salesmerge.sources.feature_json import feature_reports, scan_feature_json
 from salesmerge.sources.feeds import scan_feed_xml
 from salesmerge.sources.html_rows import html_reports, scan_html_rows
@@ -222,3 +224,60 @@ def test_reports_before_the_stored_events_are_refused(spark):
     with pytest.raises(ValueError, match="higher number"):
         collect_run([frame], SPECS, AREAS, TODAY, RUN_TS, "run2", stored=stored)
     assert collect_run([frame], SPECS, AREAS, TODAY, RUN_TS, "run2", run_no=4, stored=stored).sales.count() == 1
+
+
+def given_sales():
+    """A reader class made here, so that workers get it by value."""
+
+    class GivenSales(DataSource):
+        """Records out of the options, in two partitions."""
+
+        @classmethod
+        def name(cls):
+            return "given_sales"
+
+        def schema(self):
+            return self.options.get("columns", "record_ord BIGINT, address STRING, price_text STRING, sale_date_text STRING, zip_code STRING")
+
+        def reader(self, schema):
+            if "rows" not in self.options:
+                raise SourceMisconfigured("rows is missing")
+            return GivenReader(json.loads(self.options["rows"]), self.options.get("breaks"))
+
+    class GivenReader(DataSourceReader):
+        def __init__(self, rows, breaks):
+            self.rows, self.breaks = rows, breaks
+
+        def partitions(self):
+            return [InputPartition(k) for k in range(2)]
+
+        def read(self, partition):
+            if self.breaks:
+                raise ValueError("page 3 is cut off")
+            for k, row in enumerate(self.rows):
+                if k % 2 == partition.value:
+                    yield (k, *row)
+
+    return GivenSales
+
+
+def test_sources_by_name(spark, tmp_path):
+    register_source(spark, given_sales())
+    rows = lambda *r: {"rows": json.dumps(r)}
+    sources = [
+        TypedSource(SourceSpec("county", 90, county="Delaware"), "given_sales", rows(SALE, ("9 Other Rd", "1700000", "2026-03-02", "19087"))),
+        TypedSource(SourceSpec("broken", 50), "given_sales", rows(SALE) | {"breaks": "1"}),
+        TypedSource(SourceSpec("bare", 40), "given_sales"),
+        TypedSource(SourceSpec("typo", 30), "no_such_reader"),
+        TypedSource(SourceSpec("odd", 20), "given_sales", rows(SALE) | {"columns": "record_ord BIGINT, address INT"}),
+        TypedSource(SourceSpec("off", 10, enabled=False), "given_sales"),
+    ]
+    result = collect_named(spark, str(tmp_path), sources, AREAS, TODAY, RUN_TS, "run1")
+    assert {r.address for r in result.sales.collect()} == {"123 N Wayne Ave", "9 Other Rd"}
+    log = {r.source: r for r in result.source_runs.collect()}
+    assert {name: r.status for name, r in log.items()} == {
+        "county": "ok", "broken": "error", "bare": "misconfigured", "typo": "misconfigured", "odd": "misconfigured"}
+    assert "page 3 is cut off" in log["broken"].message and "no_such_reader" in log["typo"].message
+    assert "address is int, not string" in log["odd"].message
+    only = collect_named(spark, str(tmp_path), sources, AREAS, TODAY, RUN_TS, "run2", only=["bare"])
+    assert [(r.source, r.kept) for r in only.source_runs.collect()] == [("bare", 0)]
