@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
@@ -14,6 +13,7 @@ from ..fixed_values import ROW_TEXT_CHARS
 from ..schema import RAW_REPORT_SCHEMA, page_record_ord
 from ..functions.text import blank_to_null
 from .landed import failure
+from .selectors import Node, Selector
 
 _VOID = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
@@ -33,18 +33,8 @@ _ENDS = {
 }
 
 
-class _Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "place", "count")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent = tag, attrs, parent
-        self.children: list = []
-        self.count = 0
-        self.place = 0
-        if parent is not None:
-            parent.count += 1
-            self.place = parent.count
-            parent.children.append(self)
+class _Element(Node):
+    __slots__ = ()
 
     def descendants(self):
         """All elements below, in page order; iterative, since pages may nest deeply."""
@@ -105,69 +95,6 @@ class _Page(HTMLParser):
         self.open.children.append(data)
 
 
-_STEP = re.compile(r"\s*(>)\s*|\s+")
-_PART = re.compile(r"\.([\w-]+)|#([\w-]+)|:nth-child\((\d+)\)|^([\w-]+|\*)")
-
-
-def _compile(selector: str) -> list[tuple[str, list[tuple[str, str]]]]:
-    """A selector as (combinator, conditions) steps, left to right."""
-    steps, combinator, at = [], " ", 0
-    text = selector.strip()
-    for piece in [*_STEP.finditer(text), None]:
-        simple = text[at : piece.start() if piece else len(text)]
-        conditions, end = [], 0
-        for m in _PART.finditer(simple):
-            if m.start() != end:
-                break
-            end = m.end()
-            kind = ("class", "id", "nth", "tag")[m.lastindex - 1]
-            value = m.group(m.lastindex)
-            conditions.append((kind, value.lower() if kind == "tag" else value))
-        if not simple or end != len(simple):
-            raise ValueError(f"selector not supported: {selector!r}")
-        steps.append((combinator, conditions))
-        if piece:
-            combinator, at = piece.group(1) or " ", piece.end()
-    return steps
-
-
-def _compile_list(selectors: str) -> list:
-    return [_compile(selector) for selector in selectors.split(",")]
-
-
-def _selected_by(element: _Element, selectors) -> bool:
-    return any(_selected(element, steps) for steps in selectors)
-
-
-def _fits(element: _Element, conditions) -> bool:
-    for kind, value in conditions:
-        if kind == "tag" and value not in ("*", element.tag):
-            return False
-        if kind == "class" and value not in (element.attrs.get("class") or "").split():
-            return False
-        if kind == "id" and element.attrs.get("id") != value:
-            return False
-        if kind == "nth" and element.place != int(value):
-            return False
-    return True
-
-
-def _selected(element: _Element, steps) -> bool:
-    combinator, conditions = steps[-1]
-    if not _fits(element, conditions):
-        return False
-    if len(steps) == 1:
-        return True
-    above = element.parent
-    while above is not None and above.tag:
-        if _selected(above, steps[:-1]):
-            return True
-        if combinator == ">":
-            return False
-        above = above.parent
-    return False
-
-
 _SCHEMA = (
     "source STRING, page_no BIGINT, pos INT, cells MAP<STRING, STRING>, row_text STRING, url STRING, "
     "error STRING"
@@ -183,23 +110,23 @@ def scan_html_rows(
 
     Rows have source, page_no, pos, cells, row_text, url. Cell text has its blanks joined and
     trimmed; empty cells are absent. The cell mapped to `source_url` yields its link. Selectors
-    know tags (any case), classes, ids, `:nth-child(n)`, descendants, children, and lists of these
-    separated by commas. Table parts and list items may lack their end tags. One page is parsed at a
+    know tags (any case), classes, ids, attributes, places among siblings, `:not` and `:is`, all
+    four combinators, and lists separated by commas; others are refused. Table parts and list items may lack their end tags. One page is parsed at a
     time, and its rows are handed on in chunks.
     """
-    rows_by = _compile_list(row_selector)
-    cells_by = {target: _compile_list(selector) for target, selector in cell_map.items()}
+    for selector in (row_selector, *cell_map.values()):
+        Selector(selector)  # refused here, not on the executors
     has_url = "url" in payloads.columns
 
-    def read(source, page_no, body, url):
+    def read(source, page_no, body, url, rows_by, cells_by):
         page = _Page()
         page.feed(body or "")
         page.close()
-        rows = (e for e in page.root.descendants() if _selected_by(e, rows_by))
+        rows = (e for e in page.root.descendants() if rows_by.matches(e))
         for pos, row in enumerate(rows):
             cells, missing = {}, dict(cells_by)
             for e in row.descendants():  # all targets in one walk
-                for target in [t for t, steps in missing.items() if _selected_by(e, steps)]:
+                for target in [t for t, selector in missing.items() if selector.matches(e)]:
                     del missing[target]
                     if text := e.text():
                         cells[target] = text
@@ -212,10 +139,14 @@ def scan_html_rows(
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["source", "page_no", "pos", "cells", "row_text", "url", "error"]
         out = []
+        rows_by = Selector(row_selector)
+        cells_by = {target: Selector(selector) for target, selector in cell_map.items()}
         for batch in batches:
             for source, page_no, body, url in batch.itertuples(index=False):
+                for selector in (rows_by, *cells_by.values()):
+                    selector.page_ends()
                 try:
-                    for row in read(source, page_no, body, url):
+                    for row in read(source, page_no, body, url, rows_by, cells_by):
                         out.append(row)
                         if len(out) == _CHUNK:
                             yield pd.DataFrame(out, columns=columns)
