@@ -42,3 +42,26 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark):
     assert driver.entry(spark).count() > 0
+
+
+def test_the_rest_works_without_the_training_text_operators(tmp_path):
+    """A copy without both folders and the pipeline imports, with all other queries and SQL."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    copy = tmp_path / "repo"
+    shutil.copytree(
+        root, copy, ignore=lambda folder, names: [
+            n for n in names if n in ("llm", ".git", "__pycache__") or n == "corpus_pipeline.py"
+        ],
+    )
+    script = (
+        "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); "
+        "assert not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q; "
+        "assert set(o) <= set(q) and len(q) > 60; print(len(q))"
+    )
+    ran = subprocess.run([sys.executable, "-c", script], cwd=copy, capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr
