@@ -34,6 +34,8 @@ SHINGLE = 5
 BUCKETS = 1 << 18
 _DAMPING = 0.5
 _POOL = 1 << 14
+#: Bytes of text read at once; bounds a task's memory beside a single longer text.
+SLICE = 1 << 19
 #: Texts of one tile; a task compares two tiles at most.
 TILE = 500
 #: Up to so many rows of 40 bytes a join side is broadcast; beyond, both sides are shuffled.
@@ -77,7 +79,7 @@ def frequencies(documents: DataFrame, text_column: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for piece in slices(batch.column(0)):
+            for piece in slices(batch.column(0), SLICE):
                 row, hashes, _ = bags(piece)
                 total += np.bincount(_bucket(hashes), minlength=BUCKETS)
                 texts += int((np.diff(row, prepend=-1) != 0).sum())
@@ -140,7 +142,7 @@ def _signatures(
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, factor = _Sampler(samples), factors.value
         for batch in batches:
-            for piece in slices(batch.column(1)):
+            for piece in slices(batch.column(1), SLICE):
                 size = piece.last - piece.first
                 row, hashes, count = bags(piece)
                 signs = sampler.of(row, hashes, count * factor[_bucket(hashes)], size)
@@ -187,7 +189,7 @@ def _similar(pairs: DataFrame, factors, threshold: float) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch.column(2)):
+            for piece in slices(batch.column(2), SLICE):
                 size = piece.last - piece.first
                 for other in slices(batch.column(3).slice(piece.first, size)):
                     at = np.arange(other.last - other.first)

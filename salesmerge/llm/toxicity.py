@@ -17,6 +17,7 @@ with the machine of the round before, and clean texts contribute their units of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,9 @@ _STEPS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 RIDGE = 3.0
 #: Units of a block of the kernel matrix; bounds the driver's memory.
 BLOCK = 256
+#: Characters of a block of units that are scored at once, and bytes of text read at once.
+CHARACTERS, SLICE = 1 << 15, 1 << 19
+_CUT = re.compile(rb"[A-Za-z0-9]{2}[ \t\n\r]+(?=[A-Za-z0-9]{2})")
 #: Share of the toxic learning texts that must have a candidate unit or one like it.
 SUPPORT = 0.04
 _BEGIN, _END = 1, 2
@@ -108,6 +112,20 @@ def _vectors(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return own, keys, weights / np.maximum(length, 1e-12)[own]
 
 
+def _long_vector(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of one unit longer than a block, its subsequences added up piece by piece."""
+    text = np.concatenate([[_BEGIN], unit, [_END]]).astype(np.int64)
+    keys, weights = np.zeros(0, np.int64), np.zeros(0)
+    for lo in range(0, len(text), CHARACTERS):
+        for a, b in _STEPS:
+            at = np.arange(lo, min(lo + CHARACTERS, len(text) - b))
+            found = text[at] << 42 | text[at + a] << 21 | text[at + b]
+            new, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            weights = np.bincount(back, np.concatenate([weights, np.full(len(at), DECAY ** (b - 2))]), len(new))
+            keys = new
+    return keys, weights / max(float(np.sqrt((weights**2).sum())), 1e-12)
+
+
 def _spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -138,13 +156,25 @@ class Machine:
     shift: float = 0.0
 
     def margins(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Margin of each unit."""
-        own, keys, values = _vectors(points, starts, ends)
+        """Margin of each unit, by blocks of bounded characters."""
+        out = np.full(len(starts), self.bias)
         if not len(self.keys):
-            return np.full(len(starts), self.bias)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return np.bincount(own[hit], values[hit] * self.weights[at[hit]], len(starts)) + self.bias
+            return out
+        sizes = np.cumsum(ends - starts + 2)
+        lo = 0
+        while lo < len(starts):
+            before = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + CHARACTERS, side="right")))
+            if sizes[lo] - before > CHARACTERS:
+                keys, values = _long_vector(points[starts[lo] : ends[lo]])
+                own, hi = np.zeros(len(keys), np.int64), lo + 1
+            else:
+                own, keys, values = _vectors(points, starts[lo:hi], ends[lo:hi])
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[lo:hi] += np.bincount(own[hit], values[hit] * self.weights[at[hit]], hi - lo)
+            lo = hi
+        return out
 
 
 def _train(words: list[str], target: np.ndarray, weight: np.ndarray, landmarks: list[str], ridge: float) -> Machine:
@@ -175,37 +205,60 @@ def _train(words: list[str], target: np.ndarray, weight: np.ndarray, landmarks:
     return Machine(columns, basis @ w[:-1], float(w[-1]))
 
 
+def _pieces(column: pa.Array) -> Iterator[Slice]:
+    """Slices of a column; a longer text comes in several, cut where no unit is torn.
+
+    A cut lies between two words of two or more plain letters or digits each, which are never joined.
+    """
+    for piece in slices(column, SLICE):
+        raw = piece.data.tobytes() if len(piece.data) > SLICE else b""
+        lo = 0
+        while len(raw) - lo > SLICE:
+            cut = _CUT.search(raw, lo + SLICE // 2)
+            if cut is None:
+                break
+            part = piece.data[lo : cut.end()]
+            yield Slice(piece.first, piece.last, part, np.array([0, len(part)]))
+            lo = cut.end()
+        if lo:
+            yield Slice(piece.first, piece.last, piece.data[lo:], np.array([0, len(raw) - lo]))
+        else:
+            yield piece
+
+
+def _best_margins(column: pa.Array, machine: Machine, memo: Memo) -> np.ndarray:
+    """The largest margin of the units of each text; NaN without units."""
+    best = np.full(len(column), np.nan)
+    for piece in _pieces(column):
+        read = units(piece)
+        if not len(read.starts):
+            continue
+        distinct, one, back = np.unique(
+            span_hashes(read.points, read.starts, read.ends), return_index=True, return_inverse=True
+        )
+        known = memo.get(distinct)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            margin = machine.margins(read.points, read.starts[one[new]], read.ends[one[new]])
+            known[new] = np.round((np.clip(margin, -900, 900) + _SHIFT) * _SCALE)
+            memo.put(distinct[new], known[new])
+        has = np.flatnonzero(np.diff(read.rows))
+        value = np.maximum.reduceat(known[back], read.rows[has]) / _SCALE - _SHIFT
+        best[piece.first + has] = np.fmax(best[piece.first + has], value)
+    return best
+
+
 def text_margins(rows: DataFrame, machine: Machine, id_column: str, text_column: str) -> DataFrame:
     """(id, margin): the largest margin of the units of each whole text; null without units."""
     shared = rows.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, Memo(19)
+        memo = Memo(19)
         for batch in batches:
-            for piece in slices(batch.column(1)):
-                size = piece.last - piece.first
-                read = units(piece)
-                best = np.full(size, np.nan)
-                if len(read.starts):
-                    distinct, one, back = np.unique(
-                        span_hashes(read.points, read.starts, read.ends),
-                        return_index=True, return_inverse=True,
-                    )
-                    known = memo.get(distinct)
-                    new = np.flatnonzero(known < 0)
-                    if len(new):
-                        margin = own.margins(read.points, read.starts[one[new]], read.ends[one[new]])
-                        known[new] = np.round((np.clip(margin, -900, 900) + _SHIFT) * _SCALE)
-                        memo.put(distinct[new], known[new])
-                    has = np.flatnonzero(np.diff(read.rows))
-                    best[has] = np.maximum.reduceat(known[back], read.rows[has]) / _SCALE - _SHIFT
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(piece.first, size),
-                        pa.array(best, mask=np.isnan(best)),
-                    ],
-                    names=["id", "margin"],
-                )
+            best = _best_margins(batch.column(1), shared.value, memo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(best, mask=np.isnan(best))], names=["id", "margin"]
+            )
 
     narrow = rows.select(id_column, text_column)
     kind = narrow.schema[0].dataType.simpleString()
@@ -217,7 +270,7 @@ def _unit_rows(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch.column(2)):
+            for piece in slices(batch.column(2), SLICE):
                 found = units(piece)
                 if not len(found.starts):
                     continue
@@ -398,3 +451,21 @@ def toxicity(
     return margin.select(id_column, F.coalesce(probability, F.lit(0.0)).alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
+
+
+def clean_documents(documents: DataFrame, machine: Machine, text_column: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose text isn't toxic; they are scored where they are read.
+
+    Null texts and texts without letters or digits stay. No key, no join and no shuffle.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(machine)
+    place, names = documents.columns.index(text_column), documents.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, memo = shared.value, Memo(19)
+        for batch in batches:
+            margin = _best_margins(batch.column(place), own, memo)
+            # A score below 0.5; NaN, which has none, stays.
+            yield batch.filter(pa.array(~(margin * own.slope + own.shift >= 0))).rename_columns(names)
+
+    return documents.mapInArrow(keep, documents.schema)
