@@ -121,3 +121,54 @@ def test_units_join_what_marks_split():
     shown = read.points.tobytes().decode("utf-32-le")
     assert [shown[a:b] for a, b in zip(read.starts, read.ends, strict=True)] == ["stupid", "abc", "word", "x"]
     assert read.rows.tolist() == [0, 3, 3, 4]
+
+
+def test_more_than_32_languages_are_kept_apart(spark):
+    """All have the same words, and each one of its own; their counts don't mix."""
+    own = [2 * (chr(97 + k // 100) + chr(107 + k // 10 % 10) + chr(97 + k % 10)) for k in range(300)]
+    rows = [(k, f"common words here {own[k]} {own[k]}", f"l{k:03d}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
+    counted = language_id.count_grams(frame, "text", "lang", 5)
+    assert counted.groupBy("lang").agg(F.sum("n").alias("n")).select("n").distinct().count() == 1
+    assert counted.where("gram = 'ommon'").select("lang").distinct().count() == 300
+    asked = spark.createDataFrame([(k, f"{own[k]} words") for k in range(0, 300, 3)], "doc_id bigint, text string")
+    told = language_id.predict(asked, language_id.fit(frame, F.lit(True)), reject=False).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in told) >= 95
+
+
+def test_a_language_whose_ngrams_are_cut_is_still_told(spark):
+    rows = [(k, "often the same words again", "aa") for k in range(50)] + [(99, "zyxwv", "zz")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(frame, F.lit(True), max_grams=10)
+    assert model.languages == ["aa", "zz"]
+    assert language_id.predict(frame, model, reject=False).where("doc_id = 0").first().lang_pred == "aa"
+
+
+def test_units_of_long_texts_are_scored_in_blocks(monkeypatch):
+    """Texts and units of any length score as they do whole."""
+    random = np.random.default_rng(0)
+    words = ["".join(random.choice(list("abcdefghij-."), random.integers(1, 9))) for _ in range(300)]
+    text = " ".join(random.choice(words, 5000))
+    machine = toxicity.Machine(np.unique(toxicity._vectors(*toxicity._spell(words[:50]))[1]), np.zeros(0), -0.1)
+    machine.weights = random.normal(size=len(machine.keys))
+    column = pa.array([text, None, "", "a b c d " * 10, "x" * 5000, text[:300]])
+    monkeypatch.setattr(toxicity, "SLICE", 1 << 30)
+    monkeypatch.setattr(toxicity, "CHARACTERS", 1 << 30)
+    whole = toxicity._best_margins(column, machine, toxicity.Memo(12))
+    monkeypatch.setattr(toxicity, "SLICE", 1000)
+    monkeypatch.setattr(toxicity, "CHARACTERS", 64)
+    blocks = toxicity._best_margins(column, machine, toxicity.Memo(12))
+    assert np.allclose(whole, blocks, equal_nan=True) and np.isnan(whole[1]) and np.isnan(whole[2])
+
+
+def test_clean_documents_keep_their_rows(spark):
+    machine = toxicity.Machine(*toxicity._vectors(*toxicity._spell(["zorbag"]))[1:], bias=-0.8, slope=4.0)
+    order = np.argsort(machine.keys)
+    machine.keys, machine.weights = machine.keys[order], machine.weights[order]
+    rows = [(1, "you z-orbag there", "a", 1.5), (2, "fine words", None, 2.5), (None, None, "x", None), (2, "", "y", 0.0), (1, "zorbag", "b", 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, margin string, score double")
+    kept = toxicity.clean_documents(frame, machine)
+    assert kept.schema == frame.schema
+    scored = {r.doc_id for r in toxicity.toxicity(frame, machine).where("predicted = 1").collect()}
+    assert scored == {1}
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([r for r in rows if r[0] != 1], key=repr)
