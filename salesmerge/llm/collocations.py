@@ -27,7 +27,7 @@ from salesmerge.llm.words import Slice, gather, mix, slices, words
 BLANKS = frozenset(b"\x20\x09")
 STOPS = frozenset(b".,;:!?\x0a\x0b\x0c\x0d")
 #: N-gram occurrences of a hash cell, about, and the most cells.
-CELL_MASS = 1 << 22
+CELL_MASS = 1 << 20
 MAX_CELL_BITS = 20
 #: A summary's capacity as a multiple of mass / threshold: the larger, the fewer false survivors.
 SLACK = 4
@@ -264,17 +264,30 @@ def _survivors(summaries: DataFrame, bits: int, mass: np.ndarray, threshold: int
         return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([packed], pa.binary())], names=["cell", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, whole = None, None
+        cell, whole, waiting = None, None, []
+
+        def settle() -> None:
+            keys, counts, given = zip(*waiting, strict=True)
+            whole.merge(np.concatenate(keys), np.concatenate(counts), sum(given))
+            waiting.clear()
+
         for batch in batches:
             own, given = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in range(batch.num_rows):
                 if own[k] != cell:
+                    if waiting:
+                        settle()
                     if whole is not None:
                         yield told(cell, whole)
                     cell, whole = own[k], Summary.empty(int(shared.value[own[k]]))
                 keys = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64)
                 counts = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint32).astype(np.int64)
-                whole.merge(keys, counts, given[k])
+                waiting.append((keys, counts, given[k]))
+                # Many at once, as each merge sorts all counters.
+                if sum(len(x) for x, _, _ in waiting) > max(HELD // 16, len(whole.keys)):
+                    settle()
+        if waiting:
+            settle()
         if whole is not None:
             yield told(cell, whole)
 
