@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from salesmerge.llm import byte_bpe, queries, toxicity
 from salesmerge.llm.decontamination import contamination
-from salesmerge.llm.minhash_dedup import near_duplicates
+from salesmerge.llm.minhash_dedup import BROADCAST_ROWS, near_duplicates
 from salesmerge.llm.rows import keys, staged
 from salesmerge.llm.substring_dedup import remove_repeats
 from salesmerge.session import configure
@@ -28,16 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = queries.toxicity_machine(docs.select("doc_id", "text"), labels)
-    keyed = _with_keys(docs)
-    scored = toxicity.toxicity(keyed.withColumn("__key", F.struct("__a", "__b")), machine, "__key")
-    toxic = staged(scored.where("predicted = 1").select("__key.*").distinct(), "toxic")
-    return keyed.join(toxic, ["__a", "__b"], "left_anti").select(*docs.columns)
+    return toxicity.clean_documents(docs, machine)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of least doc_id."""
     groups = staged(near_duplicates(docs), "near-duplicates")
-    gone = groups.where("NOT kept").select("doc_id").distinct()
+    gone = staged(groups.where("NOT kept").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:  # of 8 bytes each
+        gone = F.broadcast(gone)
     once = docs.join(gone, "doc_id", "left_anti")
     # A row that repeats with its id is one document, too.
     twice = staged(
