@@ -1,5 +1,7 @@
 """Vector links and page texts against brute force."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -87,6 +89,26 @@ def test_main_text(spark):
     assert main_text(frame.limit(0)).count() == 0
 
 
+def test_articles_are_compared_too(spark):
+    page = (
+        "<article><h1>{0}</h1><div class='ad-slot'>Buy now</div><p>Text of {0}</p><p>As always.</p>"
+        "<div class='related-posts'>Own to {0}</div></article>"
+    )
+    pages = [(k, f"http://h.example/s/{k}", page.format(f"story {k}")) for k in range(3)]
+    pages.append((9, "http://alone.example/", page.format("one")))
+    rows = {r.page_id: r for r in main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    for k in range(3):  # a part that only hints at an advert goes if the neighbour has it; plain text stays
+        assert rows[k].text == f"story {k}\n\nText of story {k}\n\nAs always.\n\nOwn to story {k}"
+        assert (rows[k].n_chars, rows[k].n_shared) == (len(rows[k].text), 2)
+    assert (rows[9].text.split("\n\n")[1], rows[9].n_shared) == ("Buy now", 0)
+
+
+def test_alignment_of_repeated_lines_is_quick():
+    begin = time.perf_counter()
+    assert len(shared_lines(["a", "b"] * 2000, ["b", "a"] * 2000)) == 3999
+    assert time.perf_counter() - begin < 2
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(8)
     for _ in range(200):
