@@ -547,8 +547,12 @@ def _scan_records(spark, folder):
     )
 
 
+# Records of a landed document, so that a larger table gives more documents, and those a task can sort.
+_DOCUMENT_ROWS = 500_000
+
+
 def _documents(rows: DataFrame, head: str, glue: str, tail: str) -> DataFrame:
-    """(record_ord, text) to lines of documents, one for each range of the order."""
+    """(record_ord, text) to lines of documents, one for each range of the order, four at least."""
 
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = head
@@ -561,7 +565,8 @@ def _documents(rows: DataFrame, head: str, glue: str, tail: str) -> DataFrame:
         end = tail if before != head else head + tail
         yield pa.RecordBatch.from_arrays([pa.array([end])], names=["value"])
 
-    parts = rows.repartitionByRange(4, "record_ord").sortWithinPartitions("record_ord")
+    number = max(4, -(-rows.count() // _DOCUMENT_ROWS))
+    parts = rows.repartitionByRange(number, "record_ord").sortWithinPartitions("record_ord")
     return parts.select("record_ord", "text").mapInArrow(wrap, "value string")
 
 
@@ -572,9 +577,23 @@ def _landed(spark: SparkSession, name: str, documents: DataFrame) -> tuple[str,
     return f"{path}/part-*", F.regexp_extract("file", r"part-(\d+)", 1)
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """`place`: the number of each record in its source, from 1."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("record_ord")))
+def _placed(rows: DataFrame, share: int = 1 << 16) -> DataFrame:
+    """`place`: the number of each record in its source, from 1.
+
+    Records are numbered within shares of the order, at most `share` to a share; the counts of the
+    shares before are added. So no task holds a source.
+    """
+    shared = stage(rows, "placed").withColumn("share", F.floor(F.col("record_ord") / share))
+    counts = shared.groupBy("source", "share").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("source").orderBy("share").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("source", "share", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("source", "share").orderBy("record_ord"))
+    return (
+        shared.withColumn("own", own)
+        .join(before, ["source", "share"])
+        .withColumn("place", (F.col("before") + F.col("own")).cast("int"))
+        .drop("share", "own", "before")
+    )
 
 
 def _scan_json_files(spark, folder):
