@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from salesmerge.operators.reports import build_report
 from salesmerge.plans import catalog
 from salesmerge.schema import RAW_REPORT_SCHEMA
+from salesmerge import session
 
 
 def test_report_columns_are_pruned_and_conditions_pushed(spark, tmp_path):
@@ -35,3 +36,11 @@ def test_documents_grow_in_number_and_records_are_numbered_in_shares(spark, monk
     assert got == {(s, o): k for s in ("rss", "atom") for k, o in enumerate(order, 1)}
     windows = [w for w in placed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in w]
     assert windows and all("share" in w for w in windows)  # no task holds a source
+
+
+def test_spread_tables_have_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    rows = spark.range(0, 2000, 1, 5)
+    assert session.spread(rows, "id").rdd.getNumPartitions() == 20  # as many as cores before
+    assert session.spread(rows.repartition(30), "id").rdd.getNumPartitions() == 30
+    assert sorted(r.id for r in session.spread(rows, "id").collect()) == list(range(2000))
