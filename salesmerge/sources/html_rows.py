@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +94,20 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         self.open.children.append(data)
 
+    def forget(self):
+        """Take the page apart: elements know their parents, and such circles wait long to be freed."""
+        for element in [self.root, *self.root.descendants()]:
+            element.children.clear()
+
 
 _SCHEMA = (
     "source STRING, page_no BIGINT, pos INT, cells MAP<STRING, STRING>, row_text STRING, url STRING, "
     "error STRING"
 )
+_TYPES = {
+    "source": pa.string(), "page_no": pa.int64(), "pos": pa.int32(), "cells": pa.map_(pa.string(), pa.string()),
+    "row_text": pa.string(), "url": pa.string(), "error": pa.string(),
+}
 # Rows that are handed on together.
 _CHUNK = 1000
 
@@ -118,8 +127,7 @@ def scan_html_rows(
         Selector(selector)  # refused here, not on the executors
     has_url = "url" in payloads.columns
 
-    def read(source, page_no, body, url, rows_by, cells_by):
-        page = _Page()
+    def read(page, source, page_no, body, url, rows_by, cells_by):
         page.feed(body or "")
         page.close()
         rows = (e for e in page.root.descendants() if rows_by.matches(e))
@@ -134,32 +142,39 @@ def scan_html_rows(
                         cells[target] = e.attrs["href"]
                 if not missing:
                     break
-            yield source, page_no, pos, cells, row.text(), url, None
+            yield source, page_no, pos, [*cells.items()], row.text(), url, None
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(_TYPES)
+        arrays = [pa.array(list(c), t) for c, t in zip(columns, _TYPES.values(), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=list(_TYPES))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["source", "page_no", "pos", "cells", "row_text", "url", "error"]
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         rows_by = Selector(row_selector)
         cells_by = {target: Selector(selector) for target, selector in cell_map.items()}
         for batch in batches:
-            for source, page_no, body, url in batch.itertuples(index=False):
+            for k in range(len(batch)):  # one page as a Python text
+                source, page_no, body, url = (column[k].as_py() for column in batch.columns)
                 for selector in (rows_by, *cells_by.values()):
                     selector.page_ends()
+                page = _Page()
                 try:
-                    for row in read(source, page_no, body, url, rows_by, cells_by):
+                    for row in read(page, source, page_no, body, url, rows_by, cells_by):
                         out.append(row)
                         if len(out) == _CHUNK:
-                            yield pd.DataFrame(out, columns=columns)
+                            yield batch_of(out)
                             out = []
                 except Exception as error:  # whatever a page holds, the others are read
                     message = f"{source}: page can't be read ({type(error).__name__})"
-                    out.append((source, page_no, None, {}, None, url, message))
-        yield pd.DataFrame(out, columns=columns)
+                    out.append((source, page_no, None, [], None, url, message))
+                page.forget()
+        yield batch_of(out)
 
     pages = payloads.select(
         "source", "page_no", "body", F.col("url") if has_url else F.lit(None).cast("string").alias("url")
     )
-    parsed = pages.mapInPandas(parse, _SCHEMA)
+    parsed = pages.mapInArrow(parse, _SCHEMA)
     failures = parsed.filter("error IS NOT NULL").select(*failure("misconfigured", F.col("error")))
     return parsed.filter("error IS NULL").drop("error"), failures
 
