@@ -144,6 +144,26 @@ def test_a_language_whose_ngrams_are_cut_is_still_told(spark):
     assert language_id.predict(frame, model, reject=False).where("doc_id = 0").first().lang_pred == "aa"
 
 
+def test_no_ngram_is_left_out_of_a_model_in_tables(spark, documents, monkeypatch):
+    """Beyond `max_grams` the model, its limits and every prediction are those of all n-grams."""
+    monkeypatch.setattr(language_id, "HEAD", 60)  # most words meet their scores in the join
+    learn = F.col("doc_id") % 4 != 2
+    whole = language_id.fit(documents, learn)
+    tables = language_id.fit(documents, learn, max_grams=10)
+    assert tables.temperature == whole.temperature
+    assert np.allclose(tables.limits, whole.limits, atol=1e-4)
+    odd = spark.createDataFrame([*ODD, (903, "ばび ka"), (903, "ばび ka")], "doc_id bigint, text string")
+    asked = documents.select("doc_id", "text").union(odd)
+    for reject in (True, False):
+        told = [language_id.predict(asked, m, reject).collect() for m in (whole, tables)]
+        a, b = (sorted(x, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang_pred)) for x in told)
+        assert [r[:2] for r in a] == [r[:2] for r in b] and [r.rejected for r in a] == [r.rejected for r in b]
+        for x, y in zip(a, b, strict=True):
+            assert abs(x.score - y.score) < 1e-3
+            assert (x.cross_entropy is None) == (y.cross_entropy is None)
+            assert x.cross_entropy is None or abs(x.cross_entropy - y.cross_entropy) < 1e-4
+
+
 def test_units_of_long_texts_are_scored_in_blocks(monkeypatch):
     """Texts and units of any length score as they do whole."""
     random = np.random.default_rng(0)
