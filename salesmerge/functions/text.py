@@ -31,8 +31,8 @@ def blank_to_null(text: Column) -> Column:
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match; null without one."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
+    """A group, never an empty one, of the first match; null without one."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

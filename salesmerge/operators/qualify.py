@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import LOOKBACK_DAYS, MIN_PRICE, REJECT_REASONS
 from ..schema import Area
 from .areas import match_area
+from .reports import finish_reports, usable_reports
 
 
 def label_reports(
@@ -39,6 +40,19 @@ def qualify(labelled: DataFrame) -> DataFrame:
     return labelled.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
+def kept_reports(
+    raw: DataFrame,
+    areas: Sequence[Area],
+    today: date,
+    run_ts: datetime | None = None,
+    min_price: int = MIN_PRICE,
+    lookback_days: int = LOOKBACK_DAYS,
+) -> DataFrame:
+    """Conformed raw reports to the finished reports to keep; addresses of others aren't taken apart."""
+    labelled = label_reports(usable_reports(raw), areas, today, min_price, lookback_days)
+    return finish_reports(qualify(labelled), run_ts)
+
+
 def reject_counts(labelled: DataFrame) -> DataFrame:
     """Rejected reports per source and reason."""
     return (

@@ -105,16 +105,21 @@ def quarantine(raw: DataFrame) -> DataFrame:
     return _parsed_once(parse_reports(raw), F.lit(False))
 
 
-def build_report(raw: DataFrame, run_ts: datetime | None = None) -> DataFrame:
-    """Usable reports in the fixed layout, each with the key of its property."""
+def usable_reports(raw: DataFrame) -> DataFrame:
+    """Usable reports with parsed price, date and zip code; addresses aren't taken apart yet."""
     usable = _parsed_once(parse_reports(raw), F.lit(True))
+    return usable.withColumn("zip_code", normalize_zip(F.col("zip_code")))
+
+
+def finish_reports(usable: DataFrame, run_ts: datetime | None = None) -> DataFrame:
+    """Usable reports in the fixed layout, each with the key of its property; an `area` stays.
+
+    Taking addresses apart is the costliest part, so whoever drops reports by price, date or
+    area does so before.
+    """
     base, unit = split_unit(F.col("address"))
     split = usable.withColumns(
-        {
-            "base": base,
-            "unit": F.coalesce(blank_to_null(F.col("unit")), unit, F.col("unit")),
-            "zip_code": normalize_zip(F.col("zip_code")),
-        }
+        {"base": base, "unit": F.coalesce(blank_to_null(F.col("unit")), unit, F.col("unit"))}
     )
     cased = split.withColumn("address", title_case_address(F.col("base")))
     shown = cased.withColumn("_shown", display_address(F.col("address"), F.col("unit")))
@@ -123,10 +128,15 @@ def build_report(raw: DataFrame, run_ts: datetime | None = None) -> DataFrame:
         {
             "property_key": property_key(F.col("_shown"), F.col("zip_code"), F.col("municipality")),
             "state": F.coalesce(F.col("state"), F.lit(DEFAULT_STATE)),
-            "area": F.lit(None).cast("string"),
+            "area": F.col("area") if "area" in usable.columns else F.lit(None).cast("string"),
             "first_seen": seen,
             "last_seen": seen,
             **{name: optional_number(F.col(name), kind) for name, kind in _NUMERIC.items()},
         }
     )
     return finished.select(*REPORT_SCHEMA.fieldNames())
+
+
+def build_report(raw: DataFrame, run_ts: datetime | None = None) -> DataFrame:
+    """Usable reports in the fixed layout, each with the key of its property."""
+    return finish_reports(usable_reports(raw), run_ts)

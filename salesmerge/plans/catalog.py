@@ -26,7 +26,7 @@ from ..operators.areas import match_area
 from ..operators.market import area_month_stats, bucket_sketches
 from ..operators.nearest import nearest_event
 from ..operators.places import extract_reports_from_text, gazetteer_match, known_places
-from ..operators.qualify import label_reports, qualify, reject_counts, source_counts
+from ..operators.qualify import kept_reports, label_reports, qualify, reject_counts, source_counts
 from ..operators.reports import build_report, parse_reports, quarantine, reports_union
 from ..operators.resolve import (
     assign_events,
@@ -74,7 +74,9 @@ def labelled(
 
 
 def kept(spark: SparkSession, folder: str, specs=X.SPECS) -> DataFrame:
-    return qualify(labelled(spark, folder, specs))
+    return kept_reports(
+        raw(spark, folder, specs), X.AREAS, X.TODAY, X.RUN_TS, lookback_days=X.LONG_LOOKBACK_DAYS
+    )
 
 
 _stored: dict[tuple[str, str], DataFrame] = {}

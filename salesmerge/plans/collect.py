@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DEDUPE_WINDOW_DAYS, LOOKBACK_DAYS, MIN_PRICE
 from ..operators.qualify import label_reports, qualify
-from ..operators.reports import build_report, reports_union
+from ..operators.reports import finish_reports, reports_union, usable_reports
 from ..operators.resolve import assign_events, merge_events, rank_lookup, run_totals
 from ..operators.runs import drop_failed_sources, run_row, source_runs
 from ..schema import RUN_SCHEMA, SOURCE_RUN_SCHEMA, START_SCHEMA, Area, SourceSpec
@@ -44,7 +44,6 @@ def _labelled(
     specs: Sequence[SourceSpec],
     areas: Sequence[Area],
     today: date,
-    run_ts: datetime,
     run_no: int,
     failures: DataFrame | None,
     only: Sequence[str] | None,
@@ -57,10 +56,15 @@ def _labelled(
         raw = drop_failed_sources(raw, failures)
     # Parsing is the costly part and has several readers: the accounting and the matching.
     return stage(
-        label_reports(build_report(raw, run_ts), areas, today, min_price, lookback_days), "labelled"
+        label_reports(usable_reports(raw), areas, today, min_price, lookback_days), "labelled"
     )
 
 
+def _kept(labelled: DataFrame, run_ts: datetime) -> DataFrame:
+    """The finished reports to keep; staged, since several steps read them."""
+    return stage(finish_reports(qualify(labelled), run_ts), "kept")
+
+
 def collect_run(
     frames: Sequence[DataFrame],
     specs: Sequence[SourceSpec],
@@ -85,14 +89,14 @@ def collect_run(
     the log rows hold that time and the time when the matching ended; otherwise both are `run_ts`.
     """
     labelled = _labelled(
-        frames, specs, areas, today, run_ts, run_no, failures, only, min_price, lookback_days
+        frames, specs, areas, today, run_no, failures, only, min_price, lookback_days
     )
-    kept = qualify(labelled)
+    kept = _kept(labelled, run_ts)
     before = None
     if stored is not None:
         check_order(kept, stored)
         before = rank_lookup(stored, specs)
-    # Qualifying and ranking are cheap, so the staged rows are read again as they are.
+    # Ranking is cheap, so the staged rows are read again as they are.
     assigned = assign_events(rank_lookup(kept, specs), window_days, before, staged=stored is None)
     begun = started_at or run_ts
     ended = datetime.now(timezone.utc) if started_at else run_ts
@@ -155,9 +159,9 @@ def collect_and_store(
     run_no, started = start_run(spark, folder, run_id)
     path, name = f"{folder}/sales", f"run {run_id}"
     labelled = _labelled(
-        frames, specs, areas, today, run_ts, run_no, failures, only, min_price, lookback_days
+        frames, specs, areas, today, run_no, failures, only, min_price, lookback_days
     )
-    kept = qualify(labelled)
+    kept = _kept(labelled, run_ts)
     version = committed_version(spark, path, name, run_no)
     buckets = table_buckets(spark, path)
     touched, concerned, others = stored_beside(kept, path, buckets, version)

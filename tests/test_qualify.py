@@ -1,12 +1,14 @@
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from conftest import AREAS, SPECS, TODAY
 from pyspark.sql import functions as F
 
-from salesmerge.operators.qualify import label_reports, qualify, reject_counts, source_counts
-from salesmerge.operators.reports import parse_reports, quarantine, reports_union
+from salesmerge.operators.qualify import kept_reports, label_reports, qualify, reject_counts, source_counts
+from salesmerge.operators.reports import build_report, parse_reports, quarantine, reports_union
 from salesmerge.schema import SourceSpec
 
+RUN_TS = datetime(2026, 1, 1)
+
 
 def test_messy_record_is_normalized(make_reports):
     row = make_reports(
@@ -106,3 +108,22 @@ def test_only_known_json_zip_numbers(spark):
     got = map_fields(rows, {"zip_code": "z", "nonsense": "z"}).orderBy("record_ord").collect()
     assert [r.zip_code for r in got] == ["19087", None, "19087-1"]
     assert "nonsense" not in got[0]
+
+
+def test_addresses_of_dropped_reports_are_not_taken_apart(spark):
+    """The same reports stay, and their keys are computed above the filter that drops the others."""
+    day = TODAY.isoformat()
+    rows = spark.createDataFrame(
+        [(0, "county", "1 Elm St Apt 2", "1500000", day, "19087-1234"), (1, "county", "2 Elm St", "5", day, "19087"),
+         (2, "county", "3 Elm St", "1500000", "1990-01-01", "19087"), (3, "county", "4 Elm St", "1500000", day, "99999"),
+         (3, "county", "4 Elm St", "1500000", day, None), (0, "county", "1 Elm St Apt 2", "1500000", day, "19087-1234")],
+        "record_ord BIGINT, source STRING, address STRING, price_text STRING, sale_date_text STRING, zip_code STRING",
+    )
+    raw = reports_union([rows], SPECS)
+    wanted = qualify(label_reports(build_report(raw, RUN_TS), AREAS, TODAY))
+    kept = kept_reports(raw, AREAS, TODAY, RUN_TS)
+    assert kept.schema == wanted.schema and kept.count() == 2
+    assert kept.drop("raw").exceptAll(wanted.drop("raw")).isEmpty()
+    plan = kept.select("property_key")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    key = max(k for k, line in enumerate(plan) if "sha1" in line.lower())
+    assert key < min(k for k, line in enumerate(plan) if "Filter" in line)
