@@ -1,15 +1,17 @@
 """Near-duplicate vectors: a navigable small-world graph in each shard, every shard queried.
 
 Equal vectors are one class from the start. Classes are dealt into shards by hash; a task builds
-each shard's graph. Every class then queries every shard, in blocks of queries, so a task holds one
-shard and one block. A query whose whole beam lies above the threshold is asked again
-with a beam twice as wide, until its links end inside the beam. The block's audit queries are
-compared with the whole shard, each weighing the same; while their recall is too low, all its beams
-are doubled. Where a beam would read as many nodes as the shard has, the shard is compared whole.
+each shard's graph. Of two shards, the classes of one query the other, and every class queries its own
+shard; queries come in blocks, so a task holds one shard and one block. The first beam is narrow, as
+most queries have few links. A query whose whole beam lies above the threshold is asked again
+with a beam twice as wide, until its links end inside the beam. The audit queries of a part of the block
+are compared with the whole shard, each weighing the same; if their recall is too low, wider beams rarely
+help (a group that no walk enters), and the part is compared with the whole shard, which costs less than
+walking twice. Where a beam would read as many nodes as the shard has, the shard is compared whole, too.
 
-Found pairs are verified by cosine in double precision. A task keeps, for each query, the number
-of its links, and a spanning set of links that connects the same components, so the rows that leave
-a task grow with its queries and not with the pairs.
+Found pairs are verified by cosine in double precision. A task keeps the number of links of each
+query, and of each node that a query from elsewhere has found, and a spanning set of links that connects
+the same components, so the rows that leave a task grow with its queries and nodes and not with the pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmerge.llm.hnsw import BEAM, LINKS, Graph
+from salesmerge.llm.hnsw import LINKS, Graph
 from salesmerge.llm.rows import components, staged
 
 #: Vectors of a shard and queries of a block; shards are `MIN_SHARDS` at least.
-SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 100_000, 4_000, 6
+SHARD_ROWS, BLOCK_ROWS, MIN_SHARDS = 100_000, 16_000, 6
+#: Queries of a part, which is audited by itself, and the beam that the first one begins with.
+PART_ROWS, FIRST_BEAM = 4_000, 16
 #: Audited queries of each stratum, their mean recall, and the recall each must reach.
 _AUDIT, _RECALL, _LEAST = 128, 0.999, 0.99
 
@@ -137,39 +141,56 @@ def _spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[label[moved]], ids[moved]
 
 
+def _pairs(graph: Graph, exact: np.ndarray, asked: np.ndarray, selves: np.ndarray, threshold: float):
+    """Query and node of each pair at the threshold or above; all there are if the audit of the walks fails."""
+    for beam in (FIRST_BEAM, len(exact)):
+        row, node = _hits(graph, asked, threshold, beam)
+        cosine = np.concatenate(
+            [np.einsum("kd,kd->k", asked[row[lo : lo + 200_000]], exact[node[lo : lo + 200_000]])
+             for lo in range(0, len(row), 200_000)] or [np.zeros(0)]
+        )
+        good = cosine >= threshold
+        row, node = row[good], node[good]
+        if beam * LINKS >= len(exact) or _audit(graph, asked, row, node, threshold, selves) >= _RECALL:
+            break
+    return row, node
+
+
 def _query(threshold: float):
     def run(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"x": [], "y": [], "n": []}, dtype=np.int64)
         if not len(queries) or not len(nodes):
             return empty
         graph, exact = _restore(nodes.sort_values("place", ignore_index=True))
-        asked = _unit(queries["vector"])
-        own, other = queries["id"].to_numpy(), nodes.sort_values("place")["id"].to_numpy()
+        asked, own = _unit(queries["vector"]), queries["id"].to_numpy()
+        nodes = nodes.sort_values("place")
+        other, size = nodes["id"].to_numpy(), nodes["n"].to_numpy()
+        weight = queries["n"].to_numpy() if "n" in queries else np.ones(len(queries), np.int64)
         at = np.minimum(np.searchsorted(other, own), len(other) - 1)  # places are in the order of ids
-        selves = np.where(other[at] == own, at, -1)
-        beam = BEAM
-        while True:
-            row, node = _hits(graph, asked, threshold, beam)
-            cosine = np.concatenate(
-                [np.einsum("kd,kd->k", asked[row[lo : lo + 200_000]], exact[node[lo : lo + 200_000]])
-                 for lo in range(0, len(row), 200_000)] or [np.zeros(0)]
-            )
-            good = cosine >= threshold
-            row, node = row[good], node[good]
-            if beam * LINKS >= len(exact) or _audit(graph, asked, row, node, threshold, selves) >= _RECALL:
-                break
-            beam *= 2
-        size = nodes.sort_values("place")["n"].to_numpy()
-        apart = own[row] != other[node]
-        row, node = row[apart], node[apart]
-        links = np.bincount(row, size[node], len(own)).astype(np.int64)
-        some = links > 0
-        x, y = _spanning(own[row], other[node])
+        inside = other[at] == own
+        selves = np.where(inside, at, -1)
+        links, back = np.zeros(len(own), np.int64), np.zeros(len(other), np.int64)
+        x, y = [], []
+        for lo in range(0, len(own), PART_ROWS):
+            part = slice(lo, lo + PART_ROWS)
+            row, node = _pairs(graph, exact, asked[part], selves[part], threshold)
+            row += lo
+            apart = own[row] != other[node]
+            row, node = row[apart], node[apart]
+            np.add.at(links, row, size[node])
+            # A query from another shard isn't asked for from here.
+            cross = ~inside[row]
+            np.add.at(back, node[cross], weight[row[cross]])
+            a, b = _spanning(own[row], other[node])
+            x.append(a)
+            y.append(b)
+        x, y = _spanning(np.concatenate(x), np.concatenate(y))
         return pd.concat(
             [
-                pd.DataFrame({"x": own[some], "y": own[some], "n": links[some]}),
-                pd.DataFrame({"x": x, "y": y, "n": np.zeros(len(x), np.int64)}),
+                pd.DataFrame({"x": ids[n > 0], "y": ids[n > 0], "n": n[n > 0]})
+                for ids, n in ((own, links), (other, back))
             ]
+            + [pd.DataFrame({"x": x, "y": y, "n": np.zeros(len(x), np.int64)})]
         )
 
     return run
@@ -233,13 +254,18 @@ def near_duplicate_vectors(
         "graphs",
     )
     nodes = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = classes.select(
+    queries = own.select(
         "dim",
         "id",
+        "n",
         "vector",
         F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int").alias("block"),
+        F.col("shard").alias("home"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )
+    # Each two shards meet once; every shard asks half of the others.
+    asks = (F.col("shard") > F.col("home")) == ((F.col("shard") + F.col("home")) % 2 == 0)
+    queries = queries.where((F.col("shard") == F.col("home")) | asks).drop("home")
     task = ["dim", "shard", "block"]
     tasks = 3 * shards * blocks
     found = staged(

@@ -13,6 +13,7 @@ import numpy as np
 LINKS, BEAM, BATCH = 32, 64, 1024
 _LAYER = 16  # each layer has one of so many vectors of the layer below
 _WIDE = 4  # nodes a query expands at once
+_WIDTHS = (8, 24, 2 * LINKS)  # new links of a node that are chosen from together
 
 
 @dataclass
@@ -101,6 +102,8 @@ class Graph:
             chosen = np.zeros(part.shape, bool)
             count = np.zeros(len(part), int)
             for k in range(part.shape[1]):
+                if not np.isfinite(sims[:, k]).any() or (count >= LINKS).all():
+                    break
                 hidden = (chosen & (between[:, k] > sims[:, k, None])).any(1)
                 take = ~hidden & np.isfinite(sims[:, k]) & (count < LINKS)
                 chosen[:, k] = take
@@ -122,12 +125,13 @@ class Graph:
         row = np.repeat(np.arange(len(nodes)), count)[keep]
         fresh = np.full((len(nodes), 2 * LINKS), -1, np.int64)
         fresh[row, place[keep]] = source[keep]
-        held = self.links[level][nodes]
-        again = (fresh[:, :, None] == held[:, None, :]).any(2)
-        fresh[again] = -1
-        self.links[level][nodes] = self._select(
-            self.vectors[nodes], np.concatenate([held, fresh], axis=1)
-        )
+        least = 0
+        for width in _WIDTHS:  # most nodes get few new links
+            some = np.flatnonzero((count > least) & ((count <= width) | (width == 2 * LINKS)))
+            own, new, least = nodes[some], fresh[some, :width], width
+            held = self.links[level][own]
+            new[(new[:, :, None] == held[:, None, :]).any(2)] = -1
+            self.links[level][own] = self._select(self.vectors[own], np.concatenate([held, new], axis=1))
 
     def search(
         self, queries: np.ndarray, beam: int, level: int = 0, entry: np.ndarray | None = None,

@@ -169,3 +169,36 @@ def test_unreachable_nodes_are_found():
     linked = got[got.x == got.y].set_index("x").n
     true = (x @ x.T >= 0.95).sum(1) - 1
     assert linked.to_dict() == {k: v for k, v in enumerate(true) if v}
+
+
+def test_small_shards_are_walked_as_large_ones(monkeypatch):
+    # Input of any size takes the same way: the first, narrow beam reads less than a shard of 1,000.
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1000, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    walked = []
+    search = Graph.search
+    graph = Graph.build(vectors)
+    monkeypatch.setattr(Graph, "search", lambda *a, **k: walked.append(len(a[1])) or search(*a, **k))
+    row, node = embedding_dedup._hits(graph, vectors.astype(float), 0.95, embedding_dedup.FIRST_BEAM)
+    assert walked and sorted(zip(row.tolist(), node.tolist())) == [(k, k) for k in range(1000)]
+
+
+def test_two_shards_meet_once_and_count_links_on_both_sides(spark):
+    # About 700 vectors a shard, groups of 1 to 60 near copies spread over all shards.
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(1200, 32))
+    sizes = rng.choice([1, 2, 3, 60], 1200, p=[0.5, 0.3, 0.18, 0.02])
+    vectors = np.repeat(centres, sizes, axis=0)
+    vectors = vectors + rng.normal(size=vectors.shape) * 0.03
+    rows = [(int(k), v.tolist()) for k, v in enumerate(vectors)]
+    rows += [(int(k + len(vectors)), rows[k][1]) for k in range(0, len(vectors), 50)]  # exact copies
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()}
+    owner = np.arange(len(rows))
+    while not np.array_equal(owner, new := np.where(near, owner, len(rows)).min(1)):
+        owner = new
+    assert got == {rows[k][0]: (int(near[k].sum()) - 1, int(owner[k])) for k in range(len(rows))}
