@@ -33,8 +33,10 @@ MAX_CELL_BITS = 20
 SLACK = 4
 #: Bits of the filter, as a power of two: 16 MB. Fuller, it only lets more through to the count.
 FILTER_BITS = 27
-#: Counters that a task holds before it hands its summaries on.
-HELD = 1 << 20
+#: Counters that a task holds before it hands its summaries on, and those of a row of them.
+HELD, ROW_COUNTERS = 1 << 20, 1 << 10
+#: Rows of an Arrow batch: at most 6 MB of summaries, about as many texts as a slice holds.
+BATCH_ROWS = 512
 #: Bytes of text that a task reads at once; a longer text is read whole.
 SLICE = 1 << 20
 #: Shares in which the phrases that begin or end with a word meet the word's count.
@@ -198,6 +200,12 @@ class Summary:
             keys, counts, given = keys[counts > 0], counts[counts > 0], given + out
         self.keys, self.counts, self.given = keys, counts, self.given + given
 
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(given, keys, counts) of rows of bounded size; what was given up goes with the first."""
+        for lo in range(0, max(1, len(self.keys)), ROW_COUNTERS):
+            part = slice(lo, lo + ROW_COUNTERS)
+            yield 0 if lo else self.given, self.keys[part], self.counts[part]
+
     def can_reach(self, threshold: int) -> np.ndarray:
         return self.keys[self.counts + self.given >= threshold]
 
@@ -233,13 +241,14 @@ def _summaries(texts: DataFrame, longest: int, bits: int, mass: np.ndarray, thre
         for a, b in zip(at, [*at[1:], len(keys)], strict=True):
             part = Summary.empty(int(capacity[cells[a]]))
             part.merge(keys[a:b], counts[a:b])
-            own.append(part)
+            own.extend((int(cells[a]), *row) for row in part.rows())
+        cell, given, keys, counts = zip(*own, strict=True)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(cells[at]),
-                pa.array([s.given for s in own], pa.int64()),
-                pa.array([s.keys.tobytes() for s in own], pa.binary()),
-                pa.array([s.counts.astype(np.uint32).tobytes() for s in own], pa.binary()),
+                pa.array(cell, pa.int64()),
+                pa.array(given, pa.int64()),
+                pa.array([x.tobytes() for x in keys], pa.binary()),
+                pa.array([x.astype(np.uint32).tobytes() for x in counts], pa.binary()),
             ],
             names=["cell", "given", "keys", "counts"],
         )
@@ -264,7 +273,7 @@ def _survivors(summaries: DataFrame, bits: int, mass: np.ndarray, threshold: int
         return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([packed], pa.binary())], names=["cell", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, whole, waiting = None, None, []
+        cell, whole, waiting, held = None, None, [], 0
 
         def settle() -> None:
             keys, counts, given = zip(*waiting, strict=True)
@@ -277,15 +286,18 @@ def _survivors(summaries: DataFrame, bits: int, mass: np.ndarray, threshold: int
                 if own[k] != cell:
                     if waiting:
                         settle()
+                        held = 0
                     if whole is not None:
                         yield told(cell, whole)
                     cell, whole = own[k], Summary.empty(int(shared.value[own[k]]))
                 keys = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64)
                 counts = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint32).astype(np.int64)
                 waiting.append((keys, counts, given[k]))
+                held += len(keys)
                 # Many at once, as each merge sorts all counters.
-                if sum(len(x) for x, _, _ in waiting) > max(HELD // 16, len(whole.keys)):
+                if held > max(HELD // 16, len(whole.keys)):
                     settle()
+                    held = 0
         if waiting:
             settle()
         if whole is not None:
@@ -346,7 +358,7 @@ def frequent_phrases(
     (lang, n), both exact.
     """
     bits = _cell_bits(texts, longest)
-    masses = staged(_masses(texts, longest, bits), "masses")
+    masses = staged(_masses(texts, longest, bits), "masses", BATCH_ROWS)
     mass = np.zeros(1 << bits, np.int64)
     # At most 2^MAX_CELL_BITS rows.
     held = masses.where("cell IS NOT NULL").select("cell", "n").toArrow()
@@ -354,6 +366,7 @@ def frequent_phrases(
     parts = staged(
         _survivors(_summaries(texts, longest, bits, mass, threshold), bits, mass, threshold, filter_bits),
         "survivors",
+        BATCH_ROWS,
     )
     bitmap = np.zeros((1 << bits, 1 << (filter_bits - bits - 3)), np.uint8)
     told = parts.toArrow()  # as many bytes as the filter at most
@@ -362,7 +375,7 @@ def frequent_phrases(
     counted = _counted(texts, longest, bitmap.reshape(-1), filter_bits)
     exact = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f"))
     words_of = masses.where("cell IS NULL").select("lang", "n")
-    return staged(exact.where(F.col("f") >= threshold), "phrases"), words_of
+    return staged(exact.where(F.col("f") >= threshold), "phrases", BATCH_ROWS), words_of
 
 
 # --- scores ---------------------------------------------------------------------------------

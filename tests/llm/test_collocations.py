@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from salesmerge.llm import collocations as co
+from salesmerge.llm.rows import staged
 from salesmerge.llm.words import slices
 
 SCHEMA = "doc_id bigint, text string, lang string, phrase string"
@@ -126,3 +127,31 @@ def test_equal_phrases_have_equal_second_hashes():
     second = found.check().tolist()
     assert len(set(zip(text, second, strict=True))) == len(set(text)) == len(set(second))
     assert sorted(text) == sorted(["a", "b", "c", "a", "b", "a b", "b c", "c a", "a b", "zz", "a", "b", "a b", "b", "a", "b a"])
+
+
+def test_summaries_leave_a_task_in_rows_of_bounded_size():
+    # One cell with 5,000 counters: rows of 1,024 at most, whose merge is the summary itself.
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(1, 2**63, 6000).astype(np.uint64))
+    whole = co.Summary.empty(5000)
+    whole.merge(keys, rng.integers(1, 50, len(keys)))
+    again = co.Summary.empty(5000)
+    rows = list(whole.rows())
+    assert len(rows) > 4 and max(len(k) for _, k, _ in rows) <= co.ROW_COUNTERS
+    for given, part, counts in rows:
+        again.merge(part, counts, given)
+    assert again.given == whole.given > 0
+    assert (again.keys == whole.keys).all() and (again.counts == whole.counts).all()
+
+
+def test_staging_in_small_batches_leaves_the_session_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    told = staged(spark.range(5000).mapInArrow(sizes, "n long"), "sizes", 512).toPandas()["n"]
+    assert told.sum() == 5000 and told.max() <= 512
+    assert spark.conf.get(name) == before
