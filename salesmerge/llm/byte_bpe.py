@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from salesmerge.llm.token_counts import word_starts
-from salesmerge.llm.words import Slice, slices, span_hashes
+from salesmerge.llm.words import Slice, kept, slices, span_hashes
 
 #: Words and bytes of one recursive query; positions must fit in 24 bits.
 WORDS, BYTES = 50_000, 1 << 22
@@ -123,6 +123,10 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS FROM listed")
         self.known: dict[int, tuple[np.ndarray, bytes, bytes]] = {}
 
+    def close(self) -> None:
+        self.db.close()
+        self.known.clear()
+
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each non-empty word."""
         out: list[np.ndarray | None] = [None] * len(words)
@@ -223,13 +227,11 @@ class Codec:
         return [self.known[key] for key in keys], back, np.searchsorted(at, piece.offsets)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    own = kept("byte_bpe")
+    if path not in own:
+        own[path] = Codec(path)
+    return own[path]
 
 
 def encode(

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from salesmerge.llm.rows import staged
 from salesmerge.llm.token_counts import LETTER, NUMBER, SPACE, _classes
-from salesmerge.llm.words import Memo, Slice, gather, slices, span_hashes
+from salesmerge.llm.words import Memo, Slice, gather, kept, slices, span_hashes
 
 DECAY, SPAN = 0.7, 4
 #: Second and third character of a subsequence, counted from its first.
@@ -253,6 +253,7 @@ def text_margins(rows: DataFrame, machine: Machine, id_column: str, text_column:
     shared = rows.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         memo = Memo(19)
         for batch in batches:
             best = _best_margins(batch.column(1), shared.value, memo)
@@ -269,6 +270,7 @@ def _unit_rows(rows: DataFrame) -> DataFrame:
     """(id, toxic, unit): the distinct units of each learning text (id, toxic, text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in batches:
             for piece in slices(batch.column(2), SLICE):
                 found = units(piece)
@@ -462,6 +464,7 @@ def clean_documents(documents: DataFrame, machine: Machine, text_column: str = "
     place, names = documents.columns.index(text_column), documents.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         own, memo = shared.value, Memo(19)
         for batch in batches:
             margin = _best_margins(batch.column(place), own, memo)

@@ -10,7 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from salesmerge.llm import byte_bpe, token_counts
-from salesmerge.llm.words import slices
+from salesmerge.llm.words import kept, slices
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,3 +68,13 @@ def test_encoding_equals_the_library_and_decodes(documents):
         assert own.n_tokens == len(ids)
         assert own.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert own.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_worker_drops_the_codec_when_another_operator_takes_up():
+    codec = byte_bpe._codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert byte_bpe._codec(public_tokenizers.path("byte_bpe_50k.tiktoken")) is codec
+    codec.encode([b"contraction"])
+    kept("toxicity")
+    assert not kept("byte_bpe") and not codec.known
+    with pytest.raises(Exception, match="closed"):
+        codec.db.execute("SELECT 1")
