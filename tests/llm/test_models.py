@@ -164,6 +164,31 @@ def test_no_ngram_is_left_out_of_a_model_in_tables(spark, documents, monkeypatch
             assert x.cross_entropy is None or abs(x.cross_entropy - y.cross_entropy) < 1e-4
 
 
+def test_limits_and_temperature_come_from_all_learning_rows(spark):
+    """Rows past the first thousand ids by hash are labelled amiss, and ids repeat or are null."""
+    rng = random.Random(11)
+    ids = [r.id for r in spark.range(1300).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(k, text(rng, "aa" if n < 1000 else "bb", rng.randint(1, 9)), "aa") for n, k in enumerate(ids)]
+    rows += [(k % 40, text(rng, "bb", rng.randint(1, 9)), "bb") for k in range(1200)]
+    rows += [(None, text(rng, "cc", 5), "cc") for _ in range(20)] + [(7, "12 ...", "aa"), (7, None, "aa")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for model in (language_id.fit(frame, F.lit(True)), language_id.fit(frame, F.lit(True), max_grams=10)):
+        assert model.languages == ["aa", "bb", "cc"]
+        told = language_id.cross_entropies(frame, model, "lang", "text").where("places > 0").collect()
+        assert len(told) == 2520
+        truth = np.array([model.languages.index(r.lang) for r in told])
+        rates = np.array([r.entropies for r in told])
+        own = rates[np.arange(len(told)), truth]
+        limits = [own[truth == k].mean() + 4 * own[truth == k].std() + 0.5 for k in range(3)]
+        assert model.limits.tolist() == pytest.approx(limits, rel=1e-9)
+        losses = {}
+        for t in (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
+            weights = np.exp(t * (rates.min(1, keepdims=True) - rates))
+            shares = weights[np.arange(len(told)), truth] / weights.sum(1)
+            losses[t] = -np.log(np.maximum(shares, 1e-9)).mean()
+        assert model.temperature == min(losses, key=losses.get)
+
+
 def test_units_of_long_texts_are_scored_in_blocks(monkeypatch):
     """Texts and units of any length score as they do whole."""
     random = np.random.default_rng(0)
